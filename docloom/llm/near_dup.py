@@ -8,9 +8,11 @@ registers are the candidate buckets, a joint likelihood over all registers
 drops candidates that cannot reach the threshold, and the full sets decide.
 
 Documents with equal sets form one node, so exact copies cost nothing further.
-Within a bucket no pairs are listed: every member is compared with a few hubs,
-the links found are closed into components, and only members that are still in
-different components of the same bucket are compared again. Pairs inside one
+Shingles that no other candidate holds bound what a set's best link can be; sets
+that cannot reach the threshold leave their bucket. Within a bucket no pairs are
+listed: every member is compared with a few hubs, the links found are closed
+into components, and only members that are still in different components of the
+same bucket, and can be similar enough, are compared again. Pairs inside one
 component need no comparison, as they cannot change the result.
 """
 
@@ -66,7 +68,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches.append(registers(items).tobytes() if len(items) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n_shingles", "node", "sketch"],
+            names=["doc_id", "n_shingles", "digest", "sketch"],
         )
 
 
@@ -76,7 +78,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for items in shingle_sets(batch.column("text")):
             nodes.append(xxhash.xxh3_128_digest(items.tobytes()))
             sets.append(items.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "items"])
 
 
 def log_likelihoods(more: np.ndarray, less: np.ndarray, same: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, js: np.ndarray) -> np.ndarray:
@@ -121,18 +123,31 @@ def _linked(percent: int):
     return run
 
 
-def _attach(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")[at : at + 512]]
+            nodes = np.repeat(batch.column("node")[at : at + 512].to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets))], names=["node", "item"])
+
+
+def _attach(pairs: DataFrame, table: DataFrame, **columns: str) -> DataFrame:
     for side in ("a", "b"):
-        own = table.select(F.col("node").alias(side), *[F.col(c).alias(f"{t}_{side}") for c, t in zip(columns, [x.split("_")[0] for x in columns], strict=True)])
+        own = table.select(F.col("node").alias(side), *[F.col(c).alias(f"{name}_{side}") for name, c in columns.items()])
         pairs = pairs.join(own, side)
     return pairs
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets confirm, as a written table."""
-    sized = nodes.select("node", F.col("sketch").alias("sketch"), F.col("n_shingles").alias("n"))
-    likely = _attach(pairs, sized, ["sketch", "n"]).mapInArrow(_likely(percent), "a binary, b binary")
-    return written(_attach(likely, sets, ["items"]).mapInArrow(_linked(percent), "a binary, b binary"), "links")
+    likely = _attach(pairs, nodes, sketch="sketch", n="n_shingles").mapInArrow(_likely(percent), "a long, b long")
+    return written(_attach(likely, sets, items="items").mapInArrow(_linked(percent), "a long, b long"), "links")
+
+
+def _able(n: str, own: str, m: str, other: str, percent: int) -> str:
+    """Whether sets of n and m items, of which ``own`` and ``other`` occur in no other set, can be similar enough."""
+    both = f"least({n} - {own}, {m} - {other})"
+    return f"100 * {both} >= {percent} * ({n} + {m} - {both})"
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -147,57 +162,70 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     docs = pick(docs, "doc_id", "text")
     sketched = written(
-        docs.mapInArrow(_sketches, "doc_id long, n_shingles long, node binary, sketch binary"), "sketches"
+        docs.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches"
     )
     nodes = written(
-        sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")),
+        sketched.where("digest is not null")
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     width = 2 * ROWS
     banded = nodes.select(
-        "node",
-        "n_shingles",
-        F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * width + 1, width)) for k in range(BANDS)])).alias("key"),
+        "node", F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * width + 1, width)) for k in range(BANDS)])).alias("key")
     )
-    hub = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), *[hub(k).alias(f"hub{k}") for k in range(HUBS)]).where("n > 1")
-    buckets = buckets.select("key", *[F.col(f"hub{k}.node").alias(f"hub{k}") for k in range(HUBS)])
-    members = written(banded.join(buckets, "key"), "members")
-    pairs = written(
-        members.select("node", F.explode(F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)]))).alias("hub"))
-        .where("node <> hub")
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        .distinct(),
-        "pairs",
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = written(banded.join(shared, "key"), "members")
+
+    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "digest"), "node")
+    texts = docs.alias("d").join(wanted.select("doc_id").distinct().alias("w"), F.expr("d.doc_id <=> w.doc_id"), "left_semi")
+    full = texts.select("text").mapInArrow(_full_sets, "digest binary, items binary")
+    sets = written(wanted.select("node", "digest").join(full, "digest").select("node", "items").dropDuplicates(["node"]), "sets")
+
+    # A shingle that no other candidate holds counts against every link of its set. Sets with too many of these can
+    # have no link in a bucket, which ends most comparisons within families of heavily edited copies.
+    single = sets.mapInArrow(_exploded, "node long, item long").groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    single = single.groupBy("node").agg(F.count("*").alias("alone"))
+    sized = nodes.select("node", "n_shingles").join(single, "node", "left").select("node", F.col("n_shingles").alias("size"), F.coalesce("alone", F.lit(0)).alias("alone"))
+    members = members.join(sized, "node").where(f"100 * (size - alone) >= {percent} * size")
+    least = members.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least")).where("n > 1")
+    # the best partner of a set is a subset of its shared shingles, as small as the bucket has it
+    members = members.join(least.select("key", "least"), "key").where(
+        f"100 * (size - alone) >= {percent} * (size + least - least(size - alone, least))"
     )
-    wanted = members.select("node").distinct().join(nodes, "node").select("doc_id")
-    sets = written(
-        docs.alias("d").join(wanted.distinct().alias("w"), F.expr("d.doc_id <=> w.doc_id"), "left_semi")
-        .select("text")
-        .mapInArrow(_full_sets, "node binary, items binary")
-        .dropDuplicates(["node"]),
-        "sets",
+    members = written(members.select("key", "node", "size", "alone"), "members")
+
+    hubs = members.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.min_by("node", F.expr("alone / size + (xxhash64(node) & 1023) * 1e-9")).alias("hub0"),
+        *[F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"hub{k}") for k in range(1, HUBS)],
+    )
+    hubs = hubs.where("n > 1").select("key", F.explode(F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)]))).alias("hub"))
+    pairs = written(
+        members.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs"
     )
-    links = _confirmed(pairs, nodes, sets, percent)
-    found = components(links)
+    found = components(_confirmed(pairs, nodes, sets, percent))
 
     # members of one bucket that are in different components so far
-    placed = members.select("key", "node", "n_shingles").join(found, "node", "left").select(
-        "key", "node", "n_shingles", F.coalesce("component", "node").alias("component")
-    )
+    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(placed, "placed")
     main = (
-        placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        .groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
+        placed.groupBy("key", "component")
+        .agg(F.count("*").alias("n"))
+        .groupBy("key")
+        .agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"))
         .where("parts > 1")
-        .select("key", F.col("top.component").alias("main"))
+        .select("key", "main")
     )
     mixed = placed.join(main, "key")
-    others = mixed.where("component <> main").select("key", F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"))
+    others = mixed.where("component <> main").select(
+        "key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("alone").alias("alone_x"), F.col("component").alias("cx")
+    )
     rest = (
         others.join(mixed, "key")
         .where("component <> cx and (component = main or x < node)")
-        .where(f"100 * least(nx, n_shingles) >= {percent} * greatest(nx, n_shingles)")
+        .where(_able("size_x", "alone_x", "size", "alone", percent))
         .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
@@ -206,11 +234,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not late.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
 
-    grouped = nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    grouped = nodes.select("node", "digest", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(lowest, "component").select("node", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    named = grouped.join(lowest, "component").select("digest", "component_id")
+    out = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 

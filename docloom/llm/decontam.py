@@ -68,8 +68,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         pick(docs, "doc_id", "text")
         .where("text is not null")
         .select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
-        .where("size(words) > 0")
-        .select("doc_id", "text_hash", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK))).alias("at"))
+        .select("doc_id", "text_hash", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(BLOCK))).alias("at"))
         .select(
             "doc_id",
             "text_hash",
@@ -86,7 +85,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
     ours_left = F.reverse(F.expr(f"slice(block, greatest(i - {reach}, 0) + 1, least(i, {reach}))"))
     ours_right = F.expr(f"slice(block, i + 2, {reach})")
-    runs = probed.where(lower_ascii(F.col("word")) == lower_ascii(F.col("word"))).select(
+    runs = probed.select(
         "doc_id",
         "text_hash",
         "item_id",
@@ -95,10 +94,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         _run(ours_left, F.col("left")).alias("before"),
         _run(ours_right, F.col("right")).alias("after"),
     )
-    runs = runs.where("before + 1 + after >= need")
-    return runs.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.struct((F.col("p") - F.col("before")).cast("long").alias("first"), (F.col("p") + F.col("after")).cast("long").alias("last")))).alias("spans"),
-        F.collect_set("item_id").alias("items"),
+    # Runs that are too short become null, which the collections leave out. As a filter this would move into the
+    # join, whose probe of every word must stay plain compiled code.
+    whole = F.col("before") + 1 + F.col("after") >= F.col("need")
+    span = F.struct((F.col("p") - F.col("before")).cast("long").alias("first"), (F.col("p") + F.col("after")).cast("long").alias("last"))
+    return (
+        runs.groupBy("doc_id", "text_hash")
+        .agg(F.sort_array(F.collect_set(F.when(whole, span))).alias("spans"), F.collect_set(F.when(whole, F.col("item_id"))).alias("items"))
+        .where("size(spans) > 0")
     )
 
 

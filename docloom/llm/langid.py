@@ -190,30 +190,43 @@ def train(docs: DataFrame) -> Model:
     return Model({k: list(dict.fromkeys(v)) for k, v in samples.items()})
 
 
+def _predicted(shared, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
+    """Parts of a batch of about LANE_CHARS characters, with their predictions."""
+    texts = batch.column("text")
+    sizes, at = np.cumsum([0, *[len(t) if t else 0 for t in texts.to_pylist()]]), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + LANE_CHARS, "right")) - 1)
+        yield batch.slice(at, to - at), *shared.value.predict(texts.slice(at, to - at).to_pylist())
+        at = to
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), one row for each row of ``docs``; ``und`` with score 0 for null and letterless texts."""
-    model = model or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """(doc_id, held_out, lang_pred, score), one row for each row of ``docs``; ``und`` with score 0 for null and letterless texts.
+
+    Without learned languages every text is ``und``; with one, its score is 1.
+    Ties go to the language that sorts first. An empty table gives an empty result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            sizes, at = np.cumsum(np.array([0, *[len(t) if t else 0 for t in texts.to_pylist()]])), 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + LANE_CHARS, "right")) - 1)
-                names, scores = shared.value.predict(texts.slice(at, to - at).to_pylist())
-                part = batch.slice(at, to - at)
+            for part, names, scores in _predicted(shared, batch):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     names=["doc_id", "held_out", "lang_pred", "score"],
                 )
-                at = to
 
     ready = pick(docs, "doc_id", "text").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return ready.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """``docs`` without those whose language stays unknown or whose score is below ``least_score``."""
-    bad = identify(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score)).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
+def keep_identified(docs: DataFrame, least_score: float = 0.0, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known and whose score is ``least_score`` or more; no row moves."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, names, scores in _predicted(shared, batch):
+                yield part.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

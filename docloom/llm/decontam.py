@@ -15,21 +15,33 @@ from pyspark.sql import functions as F
 from .shared import lower_ascii, pick
 
 WINDOW = 13
-#: Words with either case; lower-casing A-Z afterwards gives the words of the lower-cased text.
+#: ASCII that is neither letter nor digit ends a word; everything else is part of one.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK = 1024
 #: Benchmark characters up to which its anchors are broadcast; beyond it the probe becomes a shuffled join.
 BROADCAST_CHARS = 64_000_000
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _split(text: Column) -> Column:
+    return F.split(lower_ascii(text), GAP, -1)
+
+
+def _bare(parts: Column) -> Column:
+    """Split parts without the empty ones that a gap at either end leaves."""
+    lead, tail = (F.get(parts, F.lit(0)) == "").cast("int"), ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
+    return F.slice(parts, lead + 1, F.size(parts) - lead - tail)
+
+
+def _with_words(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and the lower-cased words of each text."""
+    return docs.select(*columns, _split(F.col("text")).alias("parts")).select(*columns, _bare(F.col("parts")).alias("words"))
 
 
 def anchors(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, key, next_key, left, right, need): anchors that together cover every window of every item."""
     reach = window - 1
-    items = pick(benchmark, "item_id", "text").distinct().select("item_id", _words(lower_ascii(F.col("text"))).alias("words"))
+    items = _with_words(pick(benchmark, "item_id", "text").distinct(), "item_id")
     items = items.where("size(words) > 0").withColumn("need", F.least(F.size("words"), F.lit(window)))
     starts = items.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("need"))).alias("s"))
     # the last word of a window is no anchor, so that an anchor's neighbour lies in the window too
@@ -39,8 +51,8 @@ def anchors(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return places.select(
         "item_id",
         "need",
-        F.lower(F.get("words", F.col("q"))).alias("key"),
-        F.when(F.col("need") > 1, F.lower(F.get("words", F.col("q") + 1))).alias("next_key"),
+        F.get("words", F.col("q")).alias("key"),
+        F.when(F.col("need") > 1, F.get("words", F.col("q") + 1)).alias("next_key"),
         F.reverse(F.expr(f"slice(words, greatest(q - {reach}, 0) + 1, least(q, {reach}))")).alias("left"),
         F.expr(f"slice(words, q + 2, {reach})").alias("right"),
     )
@@ -48,7 +60,7 @@ def anchors(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _run(ours: Column, theirs: Column) -> Column:
     """How many leading words agree."""
-    differs = F.array_position(F.zip_with(ours, theirs, lambda x, y: lower_ascii(x).eqNullSafe(y)), F.lit(False))
+    differs = F.array_position(F.zip_with(ours, theirs, lambda x, y: x.eqNullSafe(y)), F.lit(False))
     return F.when(differs > 0, differs - 1).otherwise(F.greatest(F.size(ours), F.size(theirs)))
 
 
@@ -64,10 +76,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     probes = anchors(benchmark, window)
     if size <= BROADCAST_CHARS:
         probes = F.broadcast(probes)
+    texts = pick(docs, "doc_id", "text").where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     blocks = (
-        pick(docs, "doc_id", "text")
-        .where("text is not null")
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
+        _with_words(texts, "doc_id", "text_hash")
         .select("doc_id", "text_hash", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(BLOCK))).alias("at"))
         .select(
             "doc_id",
@@ -81,7 +92,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     ).where(f"base + i >= at and base + i < at + {BLOCK}")
     probed = placed.join(
         probes,
-        (F.lower("word") == F.col("key")) & (F.col("next_key").isNull() | (F.lower(F.get("block", F.col("i") + 1)) == F.col("next_key"))),
+        (F.col("word") == F.col("key")) & (F.col("next_key").isNull() | (F.get("block", F.col("i") + 1) == F.col("next_key"))),
     )
     ours_left = F.reverse(F.expr(f"slice(block, greatest(i - {reach}, 0) + 1, least(i, {reach}))"))
     ours_right = F.expr(f"slice(block, i + 2, {reach})")
@@ -124,11 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found = find_overlaps(docs, benchmark, window).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans", "items"
     )
-    base = pick(docs, "doc_id", "text").select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-    )
+    base = pick(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    base = _with_words(base, "doc_id", "text_hash").select("doc_id", "text_hash", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"))
     out = base.join(found, (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     n_hit = F.coalesce(n_covered(F.col("spans")), F.lit(0).cast("long"))
     return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), "spans", F.coalesce("items", F.expr("array()")).alias("items")).withColumn(

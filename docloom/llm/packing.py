@@ -12,11 +12,13 @@ greedily in many independent groups.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
+from itertools import chain, combinations_with_replacement, filterfalse
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ WINDOW = 4096
 UNIT = 64
 END_ID = 2
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
 #: Pieces that one greedy group or one rank bucket holds about.
 GROUP_PIECES = 8000
 
@@ -38,42 +40,75 @@ _state: dict = {}
 _ODD = re.compile("[\x1c-\x1f]")
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers.
+class WordTokenizer:
+    """A tokenizer that drops white space and never joins across it, with the ids of the words seen.
 
-    The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its white-space separated parts; those are remembered.
+    Words of lower-case letters in composed form need no normalising and are one
+    piece before merging; these skip the patterns of the full tokenizer.
     """
-    if path not in _state:
+
+    def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _state[path] = (tokenizer, {})
-    tokenizer, known = _state[path]
-    encode = lambda parts: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-    split = [t.encode("utf-8", "replace").lower().decode().split() if not _ODD.search(t) else None for t in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    fresh = set().union(*[s for s in split if s]) - known.keys()
-    # a letter before a final comma or full stop ends a token, so such parts share the ids of what precedes
-    ended = {w for w in fresh if w[-1] in ",." and len(w) > 1 and w[-2].isalpha()}
-    plain = list(({w[:-1] for w in ended} | (fresh - ended) | {",", "."}) - known.keys())
-    known.update(zip(plain, encode(plain), strict=True))
-    for w in ended:
-        known[w] = known[w[:-1]] + known[w[-1]]
-    return [encode([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
-
-
-def _cut(path: str, window: int, unit: int, end_id: int, with_ids: bool):
+        self.full = Tokenizer.from_str(definition)
+        self.full.encode_special_tokens = True
+        plain = {"normalizer": None, "post_processor": None, "decoder": None, "added_tokens": []}
+        to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, to_bytes]}
+        parts = json.loads(definition)
+        self.plain = Tokenizer.from_str(json.dumps(parts | plain))
+        self.mark = parts["model"].get("end_of_word_suffix") or ""
+        words = self.plain.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[k for w, k in words.items() if self.mark and w.endswith(self.mark)]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _plain(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of which each ends with an id that the vocabulary marks as an end; many share one call."""
+        for e in self.plain.encode_batch_fast([" ".join(words[k : k + 500]) for k in range(0, len(words), 500)], add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            raw, cuts = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            yield from (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        easy = [bool(self.mark) and w.isalpha() and w == w.lower() and is_normalized("NFC", w) for w in parts]
+        rest = self.full.encode_batch_fast([w for w, x in zip(parts, easy, strict=True) if not x], add_special_tokens=False)
+        ids = (iter([array("I", e.ids).tobytes() for e in rest]), self._plain([w for w, x in zip(parts, easy, strict=True) if x]))
+        return [next(ids[x]) for x in easy]
+
+    def token_bytes(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers: those of its white-space separated parts in turn."""
+        known = self.known
+        split = [t.encode("utf-8", "replace").lower().decode().split() if not _ODD.search(t) else None for t in texts]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        fresh = set(filterfalse(known.__contains__, chain.from_iterable(s for s in split if s)))
+        # a letter before a final comma or full stop ends a token, so such parts share the ids of what precedes
+        ended = {w for w in fresh if w[-1] in ",." and len(w) > 1 and w[-2].isalpha()}
+        rest = list(filterfalse(known.__contains__, {w[:-1] for w in ended} | (fresh - ended) | {",", "."}))
+        known.update(zip(rest, self.encode(rest), strict=True))
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1]]
+        return [self.encode([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+
+
+def tokenizer_of(definition: str) -> WordTokenizer:
+    """One tokenizer per Python worker and definition."""
+    if definition not in _state:
+        _state[definition] = WordTokenizer(definition)
+    return _state[definition]
+
+
+def _cut(definition, window: int, unit: int, end_id: int, with_ids: bool):
     tail = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = tokenizer_of(definition.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list[list] = [[] for _ in range(6)]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), token_bytes([t or "" for t in part.column("text").to_pylist()], path), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenizer.token_bytes([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     ids += tail
                     n = len(ids) // 4
                     whole, rest = n // window * window, n % window // unit * unit
@@ -191,8 +226,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, unit: int =
     """
     if window % unit:
         raise ValueError("the window must be a multiple of the unit")
+    with open(tokenizer_path, encoding="utf-8") as f:
+        definition = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, whatever the data's size
     pieces = pick(docs, "doc_id", "text").mapInArrow(
-        _cut(tokenizer_path, window, unit, end_id, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+        _cut(definition, window, unit, end_id, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     )
     pieces = written(pieces if with_ids else pieces.drop("ids"), "pieces")
     spark = pieces.sparkSession

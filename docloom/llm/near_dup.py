@@ -12,7 +12,7 @@ Shingles that no other candidate holds bound what a set's best link can be; sets
 that cannot reach the threshold leave their bucket. Within a bucket no pairs are
 listed: every member is compared with a few hubs, the links found are closed
 into components, and only members that are still in different components of the
-same bucket, and can be similar enough, are compared again. Pairs inside one
+same bucket are looked up again, by their rarest shingles. Pairs inside one
 component need no comparison, as they cannot change the result.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import mix, slices, windows, words_of
@@ -144,10 +144,27 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
     return written(_attach(likely, sets, items="items").mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
-def _able(n: str, own: str, m: str, other: str, percent: int) -> str:
-    """Whether sets of n and m items, of which ``own`` and ``other`` occur in no other set, can be similar enough."""
-    both = f"least({n} - {own}, {m} - {other})"
-    return f"100 * {both} >= {percent} * ({n} + {m} - {both})"
+def _prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components, one of them aside, that can be similar enough.
+
+    Sets of n and m items need an intersection of percent * (n + m) / (100 + percent)
+    items, so all but that many of a set's items, and one more, hold a common
+    one: only its rarest items are looked up. Sets that a family's members have
+    in common are so left to the last, and mostly not reached.
+    """
+    items = sets.join(mixed, "node").select("node", "items").mapInArrow(_exploded, "node long, item long")
+    counts = items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
+    spare = lambda n, m: f"{n} - ceil({percent} * ({n} + {m}) / {100 + percent}) + 1"
+    aside = mixed.where("aside").select(F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("component").alias("cx"))
+    rarity = Window.partitionBy("x").orderBy("n", "item")
+    # items that no other set holds come first and lead nowhere; they only move the others back
+    own = items.join(aside, F.col("node") == F.col("x")).join(counts, "item", "left").select("x", "size_x", "cx", "item", F.coalesce("n", F.lit(1)).alias("n"))
+    lead = own.withColumn("place", F.row_number().over(rarity)).where(f"n > 1 and place <= size_x - ceil({percent} * size_x / 100) + 1")
+    others = items.join(mixed.drop("aside"), "node")
+    found = lead.join(others, "item").where(
+        f"component <> cx and 100 * least(size, size_x) >= {percent} * greatest(size, size_x) and place <= {spare('size_x', 'size')}"
+    )
+    return found.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -218,18 +235,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .where("parts > 1")
         .select("key", "main")
     )
-    mixed = placed.join(main, "key")
-    others = mixed.where("component <> main").select(
-        "key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("alone").alias("alone_x"), F.col("component").alias("cx")
-    )
-    rest = (
-        others.join(mixed, "key")
-        .where("component <> cx and (component = main or x < node)")
-        .where(_able("size_x", "alone_x", "size", "alone", percent))
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
+    mixed = placed.join(main, "key").select("node", "size", "component", (F.col("component") != F.col("main")).alias("aside"))
+    mixed = written(mixed.groupBy("node").agg(F.first("size").alias("size"), F.first("component").alias("component"), F.max("aside").alias("aside")), "mixed")
+    rest = _prefix_pairs(mixed, sets, percent).join(pairs, ["a", "b"], "left_anti")
     late = _confirmed(rest, nodes, sets, percent)
     if not late.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))

@@ -18,9 +18,16 @@ def query(sql: str | None = None):
     return add
 
 
+def load() -> None:
+    """Imports the modules that register queries."""
+    from docloom.plans import graph_queries, quality_queries, relational_queries, retrieval_queries, scalar_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict:
+    load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return _ORACLES

@@ -83,7 +83,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         _spans(text, ACCESS, F.col("m_access"), 1),
         _spans(text, HEX, F.col("m_hex"), 2),
         F.filter(
-            F.when(F.col("n_more") > 0, _spans(text, MORE, every(MORE), _more_kind)),
+            F.when(F.col("n_more") > 0, _spans(text, MORE, every(MORE), _more_kind)).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")),
             lambda s: (s["kind"] == 3) | (s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")),
         ),
     )

@@ -17,10 +17,10 @@ from .bytewords import SAME, SPACE, slices, windows, words_of
 from .shared import pick
 
 #: (bytes from, least ratio, largest ratio) of whole texts; no least ratio below 256 bytes, where the frame's header weighs too much.
-BANDS = ((0, 0.0, 3.0), (256, 1.15, 3.5), (1024, 1.3, 4.0), (4096, 1.3, 4.5), (16384, 1.3, 5.0), (131072, 1.3, 6.0))
+BANDS = ((0, 0.0, 3.0), (256, 1.2, 3.5), (1024, 1.4, 4.0), (4096, 1.4, 4.5), (16384, 1.4, 5.0), (131072, 1.4, 6.0))
 CHUNK = 2048
 #: Ratios of a chunk, and the share of a text's chunk bytes that may lie outside them.
-CHUNK_BAND, BAD_SHARE = (1.2, 4.0), 0.25
+CHUNK_BAND, BAD_SHARE = (1.4, 4.0), 0.25
 LEVEL = 3
 #: Base rules.
 LEAST_WORDS, REPEAT_PERCENT = 50, 50

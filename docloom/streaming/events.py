@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MESSAGE = "message_id string, text string, thinking string, references string, status string, n_events long"
@@ -128,6 +128,15 @@ def reconcile(tasks: DataFrame, now: Column, grace: str = "5 minutes", silence:
 
 
 def latest_trace(traces: DataFrame) -> DataFrame:
-    """The trace kept for each exchange by the ordered rule: an automatic one replaces any other, but a later one of any mode replaces it."""
-    order = Window.partitionBy("exchange_id").orderBy(F.desc("seq"))
-    return traces.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    """The trace that each exchange ends up with (exchange_id, seq, mode, at): in order of arrival, an automatic one replaces
+    any that is not, and otherwise one that is not older replaces what is there.
+
+    Because a later one of another mode can replace an automatic one again, this
+    is a fold over each exchange's few traces, not a sort.
+    """
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "mode", "at")))
+    first = F.get("traces", F.lit(0))
+    step = lambda kept, t: F.when(((t["mode"] == "auto") & (kept["mode"] != "auto")) | (t["at"] >= kept["at"]), t).otherwise(kept)
+    folded = F.aggregate(F.slice("traces", 2, F.size("traces")), first, step)
+    grouped = traces.where("exchange_id is not null").groupBy("exchange_id").agg(ordered.alias("traces"))
+    return grouped.select("exchange_id", folded.alias("t")).select("exchange_id", "t.*")

@@ -138,3 +138,29 @@ def test_reconcile(spark):
     df = spark.sql("select 1 id, timestamp'2024-01-01 11:59:00' d, null h, 1 n union all select 2, timestamp'2024-01-01 11:50:00', null, 1 union all select 3, timestamp'2024-01-01 09:00:00', null, 1 union all select 4, timestamp'2024-01-01 11:50:00', null, 12")
     tasks = df.selectExpr("id task_id", "d dispatched", "cast(h as timestamp) heartbeat", "n dispatches")
     assert {r.task_id: r.action for r in E.reconcile(tasks, F.expr(now)).collect()} == {2: "REDISPATCH", 3: "STALE"}
+
+
+def test_latest_trace_is_the_ordered_fold(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(r.randrange(6), k, r.choice(["auto", "shadow", "manual"]), r.randrange(9)) for k in range(80)]
+    want = {}
+    for x, seq, mode, at in rows:
+        kept = want.get(x)
+        if kept is None or (mode == "auto" and kept[1] != "auto") or at >= kept[2]:
+            want[x] = (seq, mode, at)
+    out = E.latest_trace(spark.createDataFrame(rows, "exchange_id long, seq long, mode string, at long")).collect()
+    assert {x.exchange_id: (x.seq, x.mode, x["at"]) for x in out} == want
+
+
+def test_semantic_chunks_hold_all_sentences(spark):
+    from docloom.operators.blocks import semantic_chunks, strategy_pipeline
+
+    texts = ["\n".join(f"alpha beta gamma {k} " + "x" * 60 for k in range(30)), "one", None, ""]
+    out = semantic_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    first = [c for c in out if c.doc_id == 0]
+    assert sum(c.n_sentences for c in first) == 30 and all(c.n_chars <= 700 for c in first) and {c.doc_id for c in out} == {0, 1}
+    assert strategy_pipeline(["SEMANTIC", "STRUCTURE", "SEMANTIC"]) == ["STRUCTURE", "SEMANTIC"]
+    with pytest.raises(ValueError):
+        strategy_pipeline(["OTHER"])

@@ -18,14 +18,13 @@ RRF = 60
 WEIGHTS = {"vector": 1.0, "keyword": 1.1, "table": 1.2, "graph": 1.1, "tree": 1.05}
 
 
-def postings(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, term, tf, dl): the inverted index; terms are counted before anything is joined."""
+def postings(docs: DataFrame, id_column: str, text_column: str, terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl): the inverted index, or the part of it that ``terms`` asks for, cut out before anything is counted."""
     tokens = docs.select(F.col(id_column).alias("id"), eval_tokens(F.col(text_column)).alias("tokens"))
-    return (
-        tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    )
+    each = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        each = each.join(terms, "term", "left_semi")
+    return each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str) -> DataFrame:
@@ -40,7 +39,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, do
     )
     terms = asked.select("term").distinct()
     lengths = docs.agg(F.count("*").alias("n"), F.avg(F.size(eval_tokens(F.col(doc_text)))).alias("avgdl"))
-    index = postings(docs, doc_id, doc_text).join(terms, "term")
+    index = postings(docs, doc_id, doc_text, terms)
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     weighted = index.join(df, "term").crossJoin(F.broadcast(lengths))  # one row of corpus totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

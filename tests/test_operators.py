@@ -9,7 +9,7 @@ from docloom.operators.table_query import PlanError, TablePlan, run, validate
 from docloom.streaming import events as E
 
 
-def test_filter_errors():
+def test_filter_errors(spark):
     fields, c = {"a": F.lit("x"), "d": F.lit(None)}, lambda **t: {"version": 1, "and": [t]}
     for bad in (c(field="z", op="=", value=1), c(field="a", op="~", value=1), c(field="a", op="in", value=["x", None]), c(field="a", op="=", value=None), c(field="d", op="=", value=1), {"version": 2, "and": []}, {"version": 1}):
         with pytest.raises(FilterError):

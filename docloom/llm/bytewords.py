@@ -55,7 +55,7 @@ class Words:
     hashes: np.ndarray
 
 
-def slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, bounds) of successive runs of whole texts of about ``most_bytes``; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .shared import pick
 SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_CHARS = 48, 3000, 32_000
 #: Texts are parsed in runs of this many characters, so that a very long text is many short lanes.
 RUN = 1024
-LANE_CHARS = 3_000_000
+LANE_CHARS = 800_000
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -193,7 +194,7 @@ def train(docs: DataFrame) -> Model:
 def _predicted(shared, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
     """Parts of a batch of about LANE_CHARS characters, with their predictions."""
     texts = batch.column("text")
-    sizes, at = np.cumsum([0, *[len(t) if t else 0 for t in texts.to_pylist()]]), 0
+    sizes, at = np.cumsum([0, *pc.fill_null(pc.utf8_length(texts), 0).to_pylist()]), 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + LANE_CHARS, "right")) - 1)
         yield batch.slice(at, to - at), *shared.value.predict(texts.slice(at, to - at).to_pylist())

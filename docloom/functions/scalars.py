@@ -99,6 +99,7 @@ def crop_box(box: Column, width: Column, height: Column) -> Column:
 
 # --- dates --------------------------------------------------------------------
 
+# Weekday names.
 WEEKDAYS = ["星期一", "星期二", "星期三", "星期四", "星期五", "星期六", "星期日"]
 
 
@@ -178,6 +179,7 @@ def offset_hours(hours: Column) -> Column:
 
 # --- ids ----------------------------------------------------------------------
 
+# The epochs of both id layouts, in milliseconds and in seconds.
 SNOWFLAKE_EPOCH = 1288834974657
 UID_EPOCH_SECONDS = 1716134400
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pick
+from .shared import pick, worker_state
 
 #: Bounds of the training sample: rows of each language, their longest text, and characters of each language.
 SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_CHARS = 48, 3000, 32_000
@@ -193,6 +193,7 @@ def train(docs: DataFrame) -> Model:
 
 def _predicted(shared, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
     """Parts of a batch of about LANE_CHARS characters, with their predictions."""
+    worker_state("langid")
     texts = batch.column("text")
     sizes, at = np.cumsum([0, *pc.fill_null(pc.utf8_length(texts), 0).to_pylist()]), 0
     while at < batch.num_rows:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import mix, slices, windows, words_of
-from .shared import components, pick, written
+from .shared import components, pick, worker_state, written
 
 WIDTH = 5
 #: Bands x registers a band: two sets with a similarity of 0.85 share no bucket once in 13 million pairs.
@@ -60,6 +60,7 @@ def registers(items: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("near_dup")
     for batch in batches:
         sizes, nodes, sketches = [], [], []
         for items in shingle_sets(batch.column("text")):
@@ -73,6 +74,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("near_dup")
     for batch in batches:
         nodes, sets = [], []
         for items in shingle_sets(batch.column("text")):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pick, written
+from .shared import pick, worker_state, written
 
 WINDOW = 4096
 UNIT = 64
@@ -35,7 +35,6 @@ CACHE_WORDS = 1_500_000
 #: Pieces that one greedy group or one rank bucket holds about.
 GROUP_PIECES = 8000
 
-_state: dict = {}
 #: Control characters that Python, but not the tokenizer, takes for white space.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -94,9 +93,10 @@ class WordTokenizer:
 
 def tokenizer_of(definition: str) -> WordTokenizer:
     """One tokenizer per Python worker and definition."""
-    if definition not in _state:
-        _state[definition] = WordTokenizer(definition)
-    return _state[definition]
+    kept = worker_state("packing")
+    if definition not in kept:
+        kept[definition] = WordTokenizer(definition)
+    return kept[definition]
 
 
 def _cut(definition, window: int, unit: int, end_id: int, with_ids: bool):

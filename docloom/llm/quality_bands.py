@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytewords import SAME, SPACE, slices, windows, words_of
-from .shared import pick
+from .shared import pick, worker_state
 
 #: (bytes from, least ratio, largest ratio) of whole texts; no least ratio below 256 bytes, where the frame's header weighs too much.
 BANDS = ((0, 0.0, 3.0), (256, 1.2, 3.5), (1024, 1.4, 4.0), (4096, 1.4, 4.5), (16384, 1.4, 5.0), (131072, 1.4, 6.0))
@@ -86,6 +86,7 @@ _COLUMNS = (
 def _assess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
+    worker_state("quality_bands")
     compress = zstandard.ZstdCompressor(level=LEVEL).compress
     for batch in batches:
         texts = batch.column("text")

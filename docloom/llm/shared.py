@@ -10,6 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: dict[str, str] = {}
+_worker_state: dict[str, dict] = {}
+
+
+def worker_state(operator: str) -> dict:
+    """What tasks of one operator keep in a Python worker between them.
+
+    Workers serve one operator after another; what an earlier one has kept is let
+    go first, so that its memory does not add up with that of the next.
+    """
+    if operator not in _worker_state:
+        _worker_state.clear()
+        _worker_state[operator] = {}
+    return _worker_state[operator]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import pick
+from .shared import pick, worker_state
 
 MARK = "▁"
 #: Words whose counts a Python worker remembers.
@@ -24,7 +24,6 @@ CACHE_WORDS = 1_000_000
 UNKNOWN_PENALTY = 10.0
 
 _WHITE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-_state: dict = {}
 
 
 def vocabulary(model_file: str) -> list[tuple[str, float]]:
@@ -91,9 +90,8 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _state.get(shared.id) if hasattr(shared, "id") else None
-        if counter is None:
-            counter = Counter(shared.value)
+        kept, key = worker_state("token_counts"), hash(tuple(shared.value))
+        counter = kept.get(key) or kept.setdefault(key, Counter(shared.value))
         for batch in batches:
             n_words, n_tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for k, text in enumerate(batch.column("text")):

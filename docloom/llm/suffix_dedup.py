@@ -4,10 +4,12 @@ Every window of LENGTH bytes holds an anchor: the gram with the smallest hash in
 it, a choice that depends on the window's bytes alone. Equal windows thus meet at
 equal anchors, and anchors are some two hundred times fewer than positions.
 
-1. Anchors are counted over the corpus together with a hash of all bytes that
-   windows around them can touch (the context). A context that occurs twice is
-   repeated as a whole; an anchor that occurs once repeats nothing.
-2. Where an anchor has several contexts, each distinct one is cut into cores that
+1. Anchors are counted over the corpus; one that occurs once repeats nothing. The
+   others carry a hash of all bytes that windows around them can touch (the
+   context): a context that occurs twice is repeated as a whole.
+2. Where an anchor has several contexts, each distinct one is halved: windows
+   left and right of the anchor share a longer string each, and a half whose
+   string no other context has is done. What is left is cut into cores that
    STEP + 1 window positions share. Strings with equal cores are laid side by
    side as flank, core symbol, flank; a suffix array over these, built by the
    grouping construction, and its common prefixes say which windows recur.
@@ -28,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import _BYTE, mix, powers, slices
-from .shared import pick, written
+from .shared import pick, worker_state, written
 
-LENGTH, GRAM, STEP = 400, 100, 10
+LENGTH, GRAM, STEP = 400, 40, 20
 #: Strings with one core that a suffix array takes, and symbols of a block of cores sorted together.
 MOST, BLOCK = 1000, 20_000
 
@@ -146,8 +148,11 @@ def _sliding(values: np.ndarray, width: int, pick_of) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, position in it, gram hash, context hash) of every anchor in a run of texts, which no window crosses."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64))
+    """(text, position in it, hashes of gram, context, left and right half) of every anchor in a run of texts, which no window crosses.
+
+    A half's hash is 0 where the text ends before it does.
+    """
+    none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if len(data) < length:
         return none
     total = _prefix_hash(data)
@@ -165,19 +170,31 @@ def anchors_of(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) ->
     left, right = np.maximum(bounds[text], at - (length - gram)), np.minimum(bounds[text + 1], at + length)
     with np.errstate(over="ignore"):
         context = mix(_span_hash(total, left, right) + mix((at - left).astype(_U)))
-    return text, at - bounds[text], grams[at].view(np.int64), context.view(np.int64)
+    half = (length - gram) // 2
+    from_left, to_right = at - half, at + length - half
+    halves = []
+    for start, end, fits in ((from_left, at + gram, from_left >= bounds[text]), (at, to_right, to_right <= bounds[text + 1])):
+        hashed = np.zeros(len(at), _U)
+        hashed[fits] = _span_hash(total, start[fits], end[fits])
+        halves.append(hashed.view(np.int64))
+    return text, at - bounds[text], grams[at].view(np.int64), context.view(np.int64), *halves
+
+
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+NAMES = ["doc_id", "text_hash", "at", "gram", "context", "left", "right", "n", "places"]
 
 
 def _scan(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("suffix_dedup")
         for batch in batches:
             for first, data, bounds in slices(batch.column("text")):
-                text, at, grams, contexts = anchors_of(data, bounds, length, gram)
+                text, at, grams, contexts, lefts, rights = anchors_of(data, bounds, length, gram)
                 if not len(at):
                     continue
                 # equal contexts within one text stand once, with their number and, where they recur, all their places
                 order = np.lexsort((at, contexts, grams, text))
-                text, at, grams, contexts = text[order], at[order], grams[order], contexts[order]
+                text, at, grams, contexts, lefts, rights = (x[order] for x in (text, at, grams, contexts, lefts, rights))
                 new = np.ones(len(at), bool)
                 new[1:] = (text[1:] != text[:-1]) | (grams[1:] != grams[:-1]) | (contexts[1:] != contexts[:-1])
                 heads = np.flatnonzero(new)
@@ -186,8 +203,8 @@ def _scan(length: int, gram: int):
                 ids, hashes = batch.column("doc_id"), batch.column("text_hash")
                 rows = pa.array(first + text[heads])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), hashes.take(rows), *[pa.array(x) for x in (at[heads], grams[heads], contexts[heads], counts)], pa.array([None] * len(heads), pa.list_(pa.int64()))],
-                    names=["doc_id", "text_hash", "at", "gram", "context", "n", "places"],
+                    [ids.take(rows), hashes.take(rows), *[pa.array(x) for x in (at[heads], grams[heads], contexts[heads], lefts[heads], rights[heads], counts)], pa.array([None] * len(heads), pa.list_(pa.int64()))],
+                    names=NAMES,
                 )
                 if recur.any():
                     owner, spots = text[recur], at[recur]
@@ -200,24 +217,54 @@ def _scan(length: int, gram: int):
                         breaks = np.flatnonzero(np.diff(part) > gram) + 1  # contexts closer than that overlap
                         merged.append(np.ravel([[p[0], p[-1]] for p in np.split(part, breaks)]).tolist())
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(rows), hashes.take(rows), empty, empty, empty, empty, pa.array(merged, pa.list_(pa.int64()))],
-                        names=["doc_id", "text_hash", "at", "gram", "context", "n", "places"],
+                        [ids.take(rows), hashes.take(rows), *[empty] * 6, pa.array(merged, pa.list_(pa.int64()))],
+                        names=NAMES,
                     )
 
     return run
 
 
+# --- texts on their way through shuffles ---
+
+
+def _zipped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, zipped) of docs with these columns and text: what a join then shuffles is compressed, null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                zipped = [compress(t.as_buffer()) if t.is_valid else None for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(zipped, pa.binary())], names=["doc_id", "text_hash", "zipped"])
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, zipped binary")
+
+
+def _unzipped(zipped: pa.Array) -> list[bytes]:
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(z.as_buffer()) if z.is_valid else b"" for z in zipped]
+
+
 # --- cores and flanks ---------------------------------------------------------
 
 
 def _cores(length: int, gram: int, step: int):
-    """Cores around the listed anchors of each text: (core, left, right, doc_id, text_hash, at, single)."""
+    """Cores around the listed anchors of each text: (core, left, right, doc_id, text_hash, at, single, many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offsets = np.arange(0, length - gram, step)
+        half = (length - gram) // 2
+        offsets = np.arange(0, 2 * half, step)
+        leftmost = offsets >= half
         for batch in batches:
-            texts, spots = batch.column("text"), batch.column("spots").to_pylist()
-            for first, data, bounds in slices(texts):
+            spots = batch.column("spots").to_pylist()
+            raws = [np.frombuffer(t, np.uint8) for t in _unzipped(batch.column("zipped"))]
+            for first, data in enumerate(raws):
+                bounds = np.array([0, len(data)])
                 total = _prefix_hash(data)
                 for k in range(len(bounds) - 1):
                     lo, hi = int(bounds[k]), int(bounds[k + 1])
@@ -225,16 +272,16 @@ def _cores(length: int, gram: int, step: int):
                     listed = spots[first + k]
                     places = np.array([s["at"] for s in listed], np.int64)
                     single = np.array([s["single"] for s in listed], bool)
+                    wanted = np.where(leftmost[None, :], *[np.array([s[side] for s in listed], bool)[:, None] for side in ("left", "right")])
                     begin = (places[:, None] - offsets[None, :]).ravel()
                     flags = np.repeat(single, len(offsets))
-                    fits = (begin >= 0) & (begin + length - step <= hi - lo)
-                    begin, flags = begin[fits], flags[fits]
-                    # one core position stands once, as single if any of its anchors is
-                    order = np.lexsort((~flags, begin))
-                    begin, flags = begin[order], flags[order]
-                    keep = np.ones(len(begin), bool)
-                    keep[1:] = begin[1:] != begin[:-1]
-                    begin, flags = begin[keep], flags[keep]
+                    many = np.repeat(np.array([s["many"] for s in listed], bool), len(offsets))
+                    fits = (begin >= 0) & (begin + length - step <= hi - lo) & wanted.ravel()
+                    begin, flags, many = begin[fits], flags[fits], many[fits]
+                    # one core position stands once, as single or crowded if any of its anchors is
+                    begin, owner = np.unique(begin, return_inverse=True)
+                    flags = np.bincount(owner, flags, len(begin)) > 0
+                    many = np.bincount(owner, many, len(begin)) > 0
                     if not len(begin):
                         continue
                     ends = begin + length - step
@@ -247,8 +294,9 @@ def _cores(length: int, gram: int, step: int):
                             pa.array([batch.column("text_hash")[first + k].as_py()] * len(begin), pa.int64()),
                             pa.array(begin),
                             pa.array(flags),
+                            pa.array(many),
                         ],
-                        names=["core", "left", "right", "doc_id", "text_hash", "at", "single"],
+                        names=["core", "left", "right", "doc_id", "text_hash", "at", "single", "many"],
                     )
 
     return run
@@ -279,14 +327,21 @@ def _solve(length: int, step: int):
     """Covered spans of the single strings among those that arrive sorted by core."""
 
     def spans(group: list[tuple]) -> Iterator[tuple]:
-        # the same flanks at one core need one copy in the array, and a second one where they occur twice
+        # a string that stands twice recurs as a whole; the others of its core are compared with one copy of it
         kinds: dict[tuple, int] = {}
         for core, left, right, *_ in group:
             kinds[core, left, right] = kinds.get((core, left, right), 0) + 1
-        strings = [s for s, n in kinds.items() for _ in range(min(n, 2))]
-        found = dict(zip(strings, repeated_windows(strings, step), strict=True))
+        several: dict[int, int] = {}
+        for core, _, _ in kinds:
+            several[core] = several.get(core, 0) + 1
+        unclear = {s[0] for s, n in kinds.items() if n == 1 and several[s[0]] > 1}
+        strings = [s for s in kinds if s[0] in unclear]
+        found = dict(zip(strings, repeated_windows(strings, step), strict=True)) if strings else {}
+        for (core, left, right), n in kinds.items():
+            if n > 1:
+                found[core, left, right] = list(range(max(0, step - len(right)), len(left) + 1))
         for core, left, right, doc_id, text_hash, at, single in group:
-            if single and (windows := found[core, left, right]):
+            if single and (windows := found.get((core, left, right))):
                 # windows that start at most ``step`` bytes apart overlap, so the first and the last one bound one run
                 yield doc_id, text_hash, at - windows[-1], at - windows[0] + length
 
@@ -298,7 +353,12 @@ def _solve(length: int, step: int):
         def close() -> None:
             nonlocal rows
             if len(rows) > 1 and any(r[6] for r in rows):
-                block.extend(rows)
+                # two anchors may have led to one place, which must not count as two
+                places: dict[tuple, tuple] = {}
+                for r in rows:
+                    if r[6] or r[3:6] not in places:
+                        places[r[3:6]] = r
+                block.extend(places.values())
             rows = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -327,12 +387,12 @@ def _solve(length: int, step: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
     """(doc_id, text_hash, spans): for texts with repeated bytes, the sorted, merged (first, last) byte spans to remove, end exclusive."""
-    if not 0 < gram < length or (length - gram) % step:
-        raise ValueError("the gram must be shorter than the length, and the step divide what lies between")
+    if not 0 < gram < length or (length - gram) % (2 * step):
+        raise ValueError("the gram must be shorter than the length, and twice the step divide what lies between")
     reach = length - gram
     docs = pick(docs, "doc_id", "text").where(F.octet_length("text") >= length).withColumn("text_hash", F.xxhash64("text"))
     scanned = written(
-        docs.mapInArrow(_scan(length, gram), "doc_id long, text_hash long, at long, gram long, context long, n long, places array<long>"), "anchors"
+        docs.mapInArrow(_scan(length, gram), "doc_id long, text_hash long, at long, gram long, context long, left long, right long, n long, places array<long>"), "anchors"
     )
     found = scanned.where("places is null").drop("places")
     contexts = found.groupBy("gram", "context").agg(F.sum("n").alias("total"))
@@ -348,22 +408,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
         .select("doc_id", "text_hash", F.greatest(F.col("p.a") - reach, F.lit(0)).alias("first"), (F.col("p.b") + length).alias("last"))
     )
 
-    single = placed.where("kinds > 1 and total = 1").select("doc_id", "text_hash", "at", F.lit(True).alias("single"))
-    others = placed.where("kinds > 1 and total > 1").dropDuplicates(["gram", "context"]).select("doc_id", "text_hash", "at", F.lit(False).alias("single"))
-    wanted = single.unionByName(others).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "single")).alias("spots"))
-    texts = docs.join(wanted.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), "spots"), F.expr("doc_id <=> i and text_hash = h")).select("doc_id", "text_hash", "text", "spots")
-    cores = texts.dropDuplicates(["doc_id", "text_hash"]).mapInArrow(
-        _cores(length, gram, step), "core long, left binary, right binary, doc_id long, text_hash long, at long, single boolean"
+    # each distinct context once, with the halves that another one has too
+    one = F.struct("doc_id", "text_hash", "at", "left", "right", (F.col("total") == 1).alias("single"))
+    listed = placed.where("kinds > 1 and total = 1").select("gram", "kinds", one.alias("o"))
+    others = placed.where("kinds > 1 and total > 1").dropDuplicates(["gram", "context"]).select("gram", "kinds", one.alias("o"))
+    listed = listed.unionByName(others).select("gram", "kinds", "o.*")
+    for side in ("left", "right"):
+        shared = listed.where(f"{side} <> 0").groupBy("gram", side).agg(F.count("*").alias("m")).where("m > 1").select("gram", side, F.lit(True).alias(f"{side}_too"))
+        listed = listed.join(shared, ["gram", side], "left")
+    listed = written(listed.where("left_too or right_too").drop("left", "right"), "listed")
+    # a core has at most as many different flanks as its anchor has contexts, so only anchors with many can crowd one
+    spot = F.struct("at", F.coalesce("left_too", F.lit(False)).alias("left"), F.coalesce("right_too", F.lit(False)).alias("right"), "single", (F.col("kinds") > MOST).alias("many"))
+    wanted = listed.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).agg(F.collect_list(spot).alias("spots"))
+    texts = _zipped(docs).join(wanted, F.expr("doc_id <=> i and text_hash = h")).select("doc_id", "text_hash", "zipped", "spots")
+    # repeated rows have no single context, but one of them may stand for its context; the solver drops its copies
+    cores = texts.mapInArrow(
+        _cores(length, gram, step), "core long, left binary, right binary, doc_id long, text_hash long, at long, single boolean, many boolean"
     )
     cores = written(cores, "cores")
-    hot = cores.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("core")
-    crowded = not hot.isEmpty()
-    few = cores.join(hot, "core", "left_anti") if crowded else cores
+    hot = cores.where("many").groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("core")
+    few, crowded = cores, None
+    if not hot.isEmpty():
+        hot = written(hot, "hot")
+        few, crowded = cores.join(hot, "core", "left_anti"), cores.join(hot, "core", "left_semi")
     schema = "doc_id long, text_hash long, first long, last long"
     near = few.repartition("core").sortWithinPartitions("core").mapInArrow(_solve(length, step), schema)
     spans = whole.unionByName(inner).unionByName(near)
-    if crowded:
-        spans = spans.unionByName(_window_keys(cores.join(hot, "core", "left_semi"), length, step))
+    if crowded is not None:
+        spans = spans.unionByName(_window_keys(crowded, length, step))
     return spans.groupBy("doc_id", "text_hash").agg(_merged(F.sort_array(F.collect_set(F.struct("first", "last")))).alias("spans"))
 
 
@@ -402,15 +474,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     found = repeated_spans(docs, length).select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), "spans")
     rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    joined = rows.join(found, F.expr("doc_id <=> i and text_hash = h"), "left")
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    n = F.octet_length(raw).cast("long")
-    none = F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)")
-    inside = F.transform(F.coalesce("spans", none), lambda s: F.struct(s["first"].alias("first"), F.least(s["last"], n).alias("last")))
-    ready = joined.select("doc_id", raw.alias("raw"), n.alias("n_bytes"), inside.alias("spans"))
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["last"]))
-    ends = F.concat(F.transform("spans", lambda s: s["first"]), F.array(F.col("n_bytes")))
-    pieces = F.zip_with(starts, ends, lambda a, b: F.substring(F.col("raw"), (a + 1).cast("int"), (b - a).cast("int")))
-    kept = F.when(F.size("spans") == 0, F.col("raw")).otherwise(F.aggregate(pieces, F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x)))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"])
-    return ready.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", kept.alias("kept"))
+    joined = _zipped(rows).join(found, F.expr("doc_id <=> i and text_hash <=> h"), "left").select("doc_id", "zipped", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sizes, kept, inside = [], [], []
+                for raw, spans in zip(_unzipped(part.column("zipped")), part.column("spans").to_pylist(), strict=True):
+                    spans = [(s["first"], min(s["last"], len(raw))) for s in spans or []]
+                    ends = [0, *[b for _, b in spans]], [*[a for a, _ in spans], len(raw)]
+                    sizes.append(len(raw))
+                    kept.append(b"".join(raw[a:b] for a, b in zip(*ends, strict=True)))
+                    inside.append([{"first": a, "last": b} for a, b in spans])
+                removed = [n - len(k) for n, k in zip(sizes, kept, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *[pa.array(x, pa.int64()) for x in (sizes, removed, [len(s) for s in inside])], pa.array(inside, SPANS), pa.array(kept, pa.binary())],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
+                )
+
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<first:long,last:long>>, kept binary")

@@ -440,14 +440,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
 
 
 def _window_keys(cores: DataFrame, length: int, step: int) -> DataFrame:
-    """Covered spans where every window is a key: the core and the bytes of the flanks that belong to the window."""
-    shifts = F.sequence(F.greatest(F.lit(0), F.lit(step) - F.octet_length("right")), F.octet_length("left"))
-    windows = cores.select("*", F.explode(F.when(F.octet_length("left") + F.octet_length("right") >= step, shifts)).alias("x"))
+    """Covered spans of crowded cores.
+
+    A string (core and flanks) that stands twice recurs as a whole. For the
+    others every window is a key, the core and the bytes of the flanks that
+    belong to it, compared with the windows of each distinct string.
+    """
+    string = ["core", "left", "right"]
+    first = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "at", "single")]
+    strings = cores.groupBy(*string).agg(F.count("*").alias("n"), *first).where(F.octet_length("left") + F.octet_length("right") >= step)
+    strings = written(strings, "strings")
+    least, most = F.greatest(F.lit(0), F.lit(step) - F.octet_length("right")), F.octet_length("left")
+    twice = strings.where("n > 1").select(*string)
+    whole = cores.where("single").join(twice, string).select("doc_id", "text_hash", (F.col("at") - most).alias("first"), (F.col("at") - least + length).alias("last"))
+
+    windows = strings.select("*", F.explode(F.sequence(least, most)).alias("x"))
     lead = F.expr("substring(left, octet_length(left) - x + 1, x)")
-    windows = windows.select("doc_id", "text_hash", "at", "single", "x", F.xxhash64("core", "x", lead, F.expr(f"substring(right, 1, {step} - x)")).alias("key"))
-    again = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    first = F.col("at") - F.col("x")
-    return windows.where("single").join(again, "key").select("doc_id", "text_hash", first.alias("first"), (first + length).alias("last"))
+    key = F.xxhash64("core", "x", lead, F.expr(f"substring(right, 1, {step} - x)"))
+    windows = windows.select("doc_id", "text_hash", "at", (F.col("single") & (F.col("n") == 1)).alias("lone"), "x", key.alias("key"))
+    again = windows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    start = F.col("at") - F.col("x")
+    near = windows.where("lone").join(again, "key").select("doc_id", "text_hash", start.alias("first"), (start + length).alias("last"))
+    return whole.unionByName(near)
 
 
 def _merged(spans: Column) -> Column:

@@ -164,3 +164,31 @@ def test_semantic_chunks_hold_all_sentences(spark):
     assert strategy_pipeline(["SEMANTIC", "STRUCTURE", "SEMANTIC"]) == ["STRUCTURE", "SEMANTIC"]
     with pytest.raises(ValueError):
         strategy_pipeline(["OTHER"])
+
+
+def test_label_propagation_takes_every_order(spark, tmp_path):
+    import random
+    from collections import Counter
+
+    from docloom.plans import catalogue
+
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    r = random.Random(6)
+    orders = [(k, r.randrange(1, 9), r.choice([10.0, 500000.0])) for k in range(40)]
+    lines = [(k, r.randrange(1, 7)) for k in range(40) for _ in range(2)]
+    put("customer", [(k,) for k in range(1, 9)], "c_custkey long")
+    put("supplier", [(k,) for k in range(1, 7)], "s_suppkey long")
+    put("orders", orders, "o_orderkey long, o_custkey long, o_totalprice double")
+    put("lineitem", lines, "l_orderkey long, l_suppkey long")
+
+    def communities(least):
+        links = {(2 * c, 2 * s + 1) for k, c, price in orders if price > least for o, s in lines if o == k}
+        links |= {(b, a) for a, b in links}
+        label = {n: n for n in [*range(2, 17, 2), *range(3, 14, 2)]}
+        for _ in range(5):
+            votes = {n: Counter(label[a] for a, b in links if b == n) for n in label}
+            label = {n: min(v, key=lambda c: (-v[c], c)) if v else label[n] for n, v in votes.items()}
+        return {n: min(m for m in label if label[m] == label[n]) for n in label}
+
+    out = {x.node: x.community for x in catalogue.queries()["graph_label_propagation"](spark, str(tmp_path)).collect()}
+    assert out == communities(0) != communities(400000)

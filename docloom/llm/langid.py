@@ -10,6 +10,8 @@ whole texts are parsed in the tasks, many of them in step with one another.
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .shared import pick, worker_state
 
-#: Bounds of the training sample: rows of each language, their longest text, and characters of each language.
+#: Bounds of the training sample: rows of each language, their longest run of text, and characters of each language.
 SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_CHARS = 48, 3000, 32_000
+#: Codes with a column of their own in the table of moves; moves by rarer letters are looked up in a sorted list.
+DENSE = 252
 #: Texts are parsed in runs of this many characters, so that a very long text is many short lanes.
 RUN = 1024
 LANE_CHARS = 800_000
@@ -37,21 +41,16 @@ def held_out(doc_id: Column) -> Column:
 
 def normal(text: str, codes: np.ndarray) -> np.ndarray:
     """Codes of the lower-cased text; what is no letter is a space (1), and runs of spaces are one."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-    out = codes[np.minimum(points, len(codes) - 1)]
+    out = codes[np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")]
     return out[~((out == 1) & np.concatenate([[False], out[:-1] == 1]))]
 
 
 def alphabet(texts: list[str]) -> np.ndarray:
-    """Code of each character below 0x3000: 0 unseen letters, 1 what is no letter, 2 and up the sample's letters."""
-    codes = np.zeros(0x3001, np.uint8)
-    codes[[k for k in range(0x3000) if not chr(k).isalpha()]] = 1
-    seen: dict[str, int] = {}
-    for text in texts:
-        for c in text.lower():
-            if c.isalpha() and ord(c) < 0x3000:
-                seen[c] = seen.get(c, 0) + 1
-    for k, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c))[:250]):
+    """Code of each character: 0 unseen letters, 1 what is no letter, 2 and up the sample's letters, the most frequent first."""
+    seen = Counter(c for text in texts for c in text.lower() if c.isalpha())
+    codes = np.zeros(sys.maxunicode + 1, np.uint8 if len(seen) + 2 <= 256 else np.int32)
+    codes[[k for k in range(len(codes)) if not chr(k).isalpha()]] = 1
+    for k, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c))):
         codes[ord(c)] = k + 2
     return codes
 
@@ -91,7 +90,8 @@ class Model:
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         self.codes = alphabet([t for x in self.languages for t in samples[x]])
-        self.width = int(self.codes.max()) + 1
+        self.n_codes = int(self.codes.max()) + 1
+        self.width = min(self.n_codes, DENSE)
         edges, self.roots, scale, states = [], [], [], 1  # state 0 means that there is no move
         for x in self.languages:
             symbols: list[int] = []
@@ -104,7 +104,12 @@ class Model:
             scale.append(np.log2(max(2, len(symbols))))
             states += len(move)
         self.states, self.scale = states, np.array(scale)
-        self.edges = np.array(edges, np.int32).reshape(-1, 3)
+        edges = np.array(edges, np.int32).reshape(-1, 3)
+        rare = edges[:, 1] >= self.width
+        self.edges = edges[~rare]
+        keys = edges[rare, 0].astype(np.int64) * self.n_codes + edges[rare, 1]
+        order = np.argsort(keys)
+        self.rare_keys, self.rare_moves = keys[order], edges[rare, 2][order]
         self._table: np.ndarray | None = None
 
     def table(self) -> np.ndarray:
@@ -115,15 +120,26 @@ class Model:
             self._table = table
         return self._table
 
+    def _after(self, now: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Next states (times width) of ``now`` (times width, a row per language) by ``code``; 0 where there is none."""
+        rare = np.flatnonzero(code >= self.width)
+        if not len(rare):
+            return self.table()[now + code]
+        after = self.table()[now + np.where(code < self.width, code, 0)]  # no edge has code 0
+        keys = now[:, rare].astype(np.int64) // self.width * self.n_codes + code[rare]
+        at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+        after[:, rare] = np.where(self.rare_keys[at] == keys, self.rare_moves[at] * self.width, 0)
+        return after
+
     def __getstate__(self):
         return self.__dict__ | {"_table": None}
 
     def phrases(self, runs: list[np.ndarray]) -> np.ndarray:
         """Phrases that each language needs for each run, a row per run."""
-        table, order = self.table(), np.argsort([-len(r) for r in runs], kind="stable")
+        order = np.argsort([-len(r) for r in runs], kind="stable")
         sizes = np.array([len(runs[k]) for k in order])
         longest = int(sizes[0]) if len(sizes) else 0
-        grid = np.zeros((len(runs), longest), np.uint8)
+        grid = np.zeros((len(runs), longest), self.codes.dtype)
         for lane, k in enumerate(order):
             grid[lane, : len(runs[k])] = runs[k]
         grid = np.ascontiguousarray(grid.T)
@@ -134,9 +150,9 @@ class Model:
         for t in range(longest):
             n = int(lanes[t])
             code, now = grid[t, :n], state[:, :n]
-            after = table[now + code]
+            after = self._after(now, code)
             miss = after == 0
-            again = table[roots + code]
+            again = self._after(np.broadcast_to(roots, now.shape), code) if self.n_codes > self.width else self.table()[roots + code]
             lost = again == 0
             count[:, :n] += (miss & (now != roots)).view(np.int8) + (miss & lost).view(np.int8)
             state[:, :n] = np.where(miss, np.where(lost, roots, again), after)
@@ -174,15 +190,21 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Learns from texts and languages of documents that are not held out.
 
-    Of each language the SAMPLE_ROWS texts of at most SAMPLE_TEXT characters
-    that come first by a hash of their id are used, and SAMPLE_CHARS characters
-    of these; rows without text, language or id are left out.
+    Of each language the SAMPLE_ROWS texts that come first by a hash of their id
+    are used, and SAMPLE_CHARS characters of these. A text longer than
+    SAMPLE_TEXT gives a run of that many characters at a place drawn by another
+    hash of its id, or from its first letter on if that run has none; rows
+    without text, language or id are left out.
     """
     from pyspark.sql import Window
 
     rows = pick(docs, "doc_id", "text", "lang").where(
-        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_TEXT)
+        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")
     )
+    place = F.pmod(F.xxhash64("doc_id", F.lit("run")), F.length("text") - SAMPLE_TEXT + 1).cast("int") + 1
+    drawn = F.when(F.length("text") > SAMPLE_TEXT, F.substring("text", place, SAMPLE_TEXT)).otherwise(F.col("text"))
+    lettered = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{SAMPLE_TEXT - 1}}}", 0)
+    rows = rows.select("doc_id", "lang", F.when(drawn.rlike(r"\p{L}"), drawn).otherwise(lettered).alias("text"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     chosen = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE_ROWS)
     samples: dict[str, list[str]] = {}

@@ -70,3 +70,30 @@ def test_nothing_to_learn_and_empty(spark):
     assert L.identify(df.limit(0)).count() == 0
     kept = L.keep_identified(df)
     assert kept.columns == df.columns and all(r.text is not None for r in kept.collect())
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(k, text_of(x, k, 20 if x == "aa" else 1200), x, "s", 1, "", "", "", 1) for k in range(40) for x in [["aa", "bb"][k % 2]]]
+    rows.append((101, "7 " * 300 + "eau " + "7 " * 4000, "cc", "s", 1, "", "", "", 1))
+    assert all(len(r[1]) > L.SAMPLE_TEXT for r in rows if r[2] != "aa")
+    model = L.train(spark.createDataFrame(rows, SCHEMA))
+    assert model.languages == ["aa", "bb", "cc"]
+    assert model.predict([text_of("aa", 500, 30), text_of("bb", 501, 30), "eau"])[0] == ["aa", "bb", "cc"]
+
+
+def test_letters_of_large_scripts_are_told_apart():
+    pools = {"ja": range(0x3041, 0x3090), "ko": range(0xAC00, 0xAC00 + 900), "zh": range(0x4E00, 0x4E00 + 900), "xx": range(0x20000, 0x20000 + 300)}
+
+    def line(x, seed, n):
+        r = random.Random(seed)
+        return "".join(chr(r.choice(pools[x])) + r.choice(["", "", "a ", "。"]) for _ in range(n))
+
+    texts = {x: line(x, 1, 3000) for x in pools}
+    model = L.Model({x: [t] for x, t in texts.items()})
+    assert model.predict([line(x, 2, 40) for x in pools])[0] == list(pools)
+    assert L.normal("日😀。", L.alphabet(["日"])).tolist() == [2, 1]
+    runs = [L.normal(line(x, 3, 60) + line("zh", 4, 20), model.codes) for x in pools]
+    back = lambda codes: "".join(chr(0x10000 + int(c)) for c in codes)
+    for j, x in enumerate(model.languages):
+        sample = back(np.concatenate([[1], L.normal(texts[x], model.codes)]))
+        assert [phrases(back(r), sample) for r in runs] == model.phrases(runs)[:, j].tolist()

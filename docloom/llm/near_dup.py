@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import mix, slices, windows, words_of
@@ -68,8 +68,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
             sketches.append(registers(items).tobytes() if len(items) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n_shingles", "digest", "sketch"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())],
+            names=["doc_id", "text_hash", "n_shingles", "digest", "sketch"],
         )
 
 
@@ -179,14 +179,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     one result each; a null doc_id is kept only if no other id is in its
     component. An empty table gives an empty result; other columns are ignored.
     """
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    found = _grouped(docs, percent)
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, digest, component_id, lead), one row for each row of ``docs``.
+
+    lead is the (no_id, doc_id, text_hash) of the component that sorts first, where a missing id sorts last.
+    """
     docs = pick(docs, "doc_id", "text")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sketched = written(
-        docs.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches"
+        hashed.mapInArrow(_sketches, "doc_id long, text_hash long, n_shingles long, digest binary, sketch binary"), "sketches"
     )
     nodes = written(
         sketched.where("digest is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min(_place()).alias("lead"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -244,16 +255,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not late.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
 
-    grouped = nodes.select("node", "digest", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(lowest, "component").select("digest", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    grouped = nodes.select("node", "digest", "doc_id", "lead").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("lead").alias("lead"))
+    named = grouped.drop("lead").join(lowest, "component").select("digest", "component_id", "lead")
+    return sketched.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
+
+
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``docs`` without the near-duplicates: of each component the document with the smallest id stays."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    gone = gone.select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """``docs`` without the near-duplicates: of each component one row stays, one with the smallest id and, under that, text hash.
+
+    Rows go by id and text, so that a row of another text with the same id stays. Null and wordless texts all stay.
+    """
+    rows = _grouped(docs, percent).where("digest is not null")
+    rows = written(rows.select("doc_id", "text_hash", _place().eqNullSafe(F.col("lead")).alias("leads")), "rows")
+    keyed = docs.withColumns({"__id": F.col("doc_id"), "__hash": F.xxhash64("text")})
+
+    def key(marks: DataFrame) -> tuple[DataFrame, Column]:
+        marks = marks.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text"))
+        return marks, (keyed["__hash"] == marks["__text"]) & keyed["__id"].eqNullSafe(marks["__gone"])
+
+    gone = key(rows.where("not leads").distinct())
+    again = rows.where("leads").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return keyed.join(*gone, "left_anti").drop("__id", "__hash")
+    again = key(again)
+    repeated = keyed.join(*again, "left_semi").dropDuplicates(["__id", "__hash"])
+    return keyed.join(*gone, "left_anti").join(*again, "left_anti").unionByName(repeated).drop("__id", "__hash")

@@ -79,3 +79,12 @@ def test_components(spark, edges):
         for a, b in edges:
             parent[a] = parent[b] = min(parent[a], parent[b])
     assert out == parent
+
+
+def test_keep_one_goes_by_id_and_text(spark):
+    copied, clean, again = prose(1, 50), prose(2, 50), prose(3, 50)
+    rows = [(0, copied), (5, copied), (5, clean), (6, again), (6, again), (7, again), (None, copied), (None, prose(4, 50)), (None, prose(4, 50)), (8, prose(5, 50)), (8, prose(5, 50).replace(" ", "  ")), (9, None), (9, None)]
+    kept = near_dup.keep_one(frame(spark, rows)).collect()
+    plain = lambda pairs: sorted(((k, (t or "").split()) for k, t in pairs), key=str)
+    want = [(0, copied), (5, clean), (6, again), (None, prose(4, 50)), (8, prose(5, 50)), (9, ""), (9, "")]
+    assert plain((r.doc_id, r.text) for r in kept) == plain(want)

@@ -6,6 +6,9 @@ and every later step keeps that grain, so that many queries run at once.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from docloom.functions.text import eval_tokens
 
 K1, B = 1.2, 0.75
 RRF = 60
+#: Query vectors that one broadcast block holds about.
+QUERY_BLOCK = 100_000
 #: Channel weights of the fusion.
 WEIGHTS = {"vector": 1.0, "keyword": 1.1, "table": 1.2, "graph": 1.1, "tree": 1.05}
 
@@ -55,12 +60,14 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) cosine of a broadcast, checked small set of queries (query_id, unit) with all (doc_id, unit)."""
-    n = queries.count()
-    if n > 100_000:
-        raise ValueError("search in blocks: at most 100,000 query vectors at a time")
-    pairs = vectors.join(F.broadcast(queries), F.col("query_id") != F.col("doc_id"))
-    return pairs.select("query_id", "doc_id", F.round(dot(F.col("unit_q"), F.col("unit")), 6).alias("score"))
+    """(query_id, doc_id, score) cosine of all queries (query_id, unit_q) with all (doc_id, unit).
+
+    Queries are dealt by hash to as many blocks as keep each near QUERY_BLOCK rows; each block is broadcast to all vectors.
+    """
+    n_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    pairs = [vectors.join(F.broadcast(queries if n_blocks == 1 else queries.where(block == k)), F.col("query_id") != F.col("doc_id")) for k in range(n_blocks)]
+    return reduce(DataFrame.unionByName, pairs).select("query_id", "doc_id", F.round(dot(F.col("unit_q"), F.col("unit")), 6).alias("score"))
 
 
 def relative_floor(scored: DataFrame, share: float, by: str = "query_id") -> DataFrame:

@@ -192,3 +192,15 @@ def test_label_propagation_takes_every_order(spark, tmp_path):
 
     out = {x.node: x.community for x in catalogue.queries()["graph_label_propagation"](spark, str(tmp_path)).collect()}
     assert out == communities(0) != communities(400000)
+
+
+def test_more_queries_than_a_block(spark):
+    from docloom.operators.retrieval import vector_scores
+
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "doc_id long, unit array<double>")
+    queries = spark.range(100_001).select(F.col("id").alias("query_id"), F.array(F.lit(0.0), F.lit(1.0)).alias("unit_q"))
+    out = vector_scores(queries, vectors)
+    assert out.groupBy("doc_id").agg(F.count("*"), F.countDistinct("query_id"), F.min("score"), F.max("score")).orderBy("doc_id").collect() == [
+        (0, 100_000, 100_000, 0.0, 0.0),
+        (1, 100_000, 100_000, 0.8, 0.8),
+    ]

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from docloom.operators.graph import written
 
+#: Width of the id ranges that count places on their own.
+RANGE_IDS = 4096
+
 
 def average_linkage(unit: np.ndarray, target: int) -> list[list[int]]:
     """``target`` clusters of rows of ``unit`` by merging the pair with the highest mean similarity; ties to the lowest indexes."""
@@ -51,12 +54,22 @@ def bounded_clusters(unit: np.ndarray, most: int) -> list[list[int]]:
         clusters.remove(lone)
 
 
-def cluster_level(items: DataFrame, most: int = 6, block: int = 512) -> DataFrame:
-    """(doc, item, cluster) of items (doc, item, vector); blocks of a document are ranges of its item order."""
+def _dealt(items: DataFrame, block: int) -> DataFrame:
+    """Adds ``block``, by the place in a document's item order; places are counted in ranges of ids and shifted by the ranges before."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("doc").orderBy("item")
-    dealt = items.withColumn("block", F.floor((F.row_number().over(order) - 1) / block))
+    ranged = items.withColumn("range", F.floor(F.col("item") / RANGE_IDS))
+    sizes = ranged.groupBy("doc", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("doc").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("doc", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = Window.partitionBy("doc", "range").orderBy("item")
+    placed = ranged.withColumn("place", F.row_number().over(own) - 1).join(shifts, ["doc", "range"])
+    return placed.withColumn("block", F.floor((F.col("place") + F.col("shift")) / block)).drop("range", "place", "shift")
+
+
+def cluster_level(items: DataFrame, most: int = 6, block: int = 512) -> DataFrame:
+    """(doc, item, cluster) of items (doc, item, vector); blocks of a document are ranges of its item order."""
+    dealt = _dealt(items, block)
 
     def run(key, frame):
         frame = frame.sort_values("item").reset_index(drop=True)

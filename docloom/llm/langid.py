@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pick, worker_state
+from .shared import in_batches, pick, worker_state
 
 #: Bounds of the training sample: rows of each language, their longest run of text, and characters of each language.
 SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_CHARS = 48, 3000, 32_000
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 )
 
     ready = pick(docs, "doc_id", "text").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return ready.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return ready.transform(in_batches, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.0, model: Model | None = None) -> DataFrame:
@@ -253,4 +253,4 @@ def keep_identified(docs: DataFrame, least_score: float = 0.0, model: Model | No
             for part, names, scores in _predicted(shared, batch):
                 yield part.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)

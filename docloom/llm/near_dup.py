@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import mix, slices, windows, words_of
-from .shared import components, pick, worker_state, written
+from .shared import components, in_batches, pick, worker_state, written
 
 WIDTH = 5
 #: Bands x registers a band: two sets with a similarity of 0.85 share no bucket once in 13 million pairs.
@@ -142,8 +142,8 @@ def _attach(pairs: DataFrame, table: DataFrame, **columns: str) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets confirm, as a written table."""
-    likely = _attach(pairs, nodes, sketch="sketch", n="n_shingles").mapInArrow(_likely(percent), "a long, b long")
-    return written(_attach(likely, sets, items="items").mapInArrow(_linked(percent), "a long, b long"), "links")
+    likely = _attach(pairs, nodes, sketch="sketch", n="n_shingles").transform(in_batches, _likely(percent), "a long, b long")
+    return written(_attach(likely, sets, items="items").transform(in_batches, _linked(percent), "a long, b long"), "links")
 
 
 def _prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one: only its rarest items are looked up. Sets that a family's members have
     in common are so left to the last, and mostly not reached.
     """
-    items = sets.join(mixed, "node").select("node", "items").mapInArrow(_exploded, "node long, item long")
+    items = sets.join(mixed, "node").select("node", "items").transform(in_batches, _exploded, "node long, item long")
     counts = items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
     spare = lambda n, m: f"{n} - ceil({percent} * ({n} + {m}) / {100 + percent}) + 1"
     aside = mixed.where("aside").select(F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("component").alias("cx"))
@@ -192,7 +192,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sketched = written(
-        hashed.mapInArrow(_sketches, "doc_id long, text_hash long, n_shingles long, digest binary, sketch binary"), "sketches"
+        hashed.transform(in_batches, _sketches, "doc_id long, text_hash long, n_shingles long, digest binary, sketch binary"), "sketches"
     )
     nodes = written(
         sketched.where("digest is not null")
@@ -210,12 +210,12 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
 
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "digest"), "node")
     texts = docs.alias("d").join(wanted.select("doc_id").distinct().alias("w"), F.expr("d.doc_id <=> w.doc_id"), "left_semi")
-    full = texts.select("text").mapInArrow(_full_sets, "digest binary, items binary")
+    full = texts.select("text").transform(in_batches, _full_sets, "digest binary, items binary")
     sets = written(wanted.select("node", "digest").join(full, "digest").select("node", "items").dropDuplicates(["node"]), "sets")
 
     # A shingle that no other candidate holds counts against every link of its set. Sets with too many of these can
     # have no link in a bucket, which ends most comparisons within families of heavily edited copies.
-    single = sets.mapInArrow(_exploded, "node long, item long").groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    single = sets.transform(in_batches, _exploded, "node long, item long").groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     single = single.groupBy("node").agg(F.count("*").alias("alone"))
     sized = nodes.select("node", "n_shingles").join(single, "node", "left").select("node", F.col("n_shingles").alias("size"), F.coalesce("alone", F.lit(0)).alias("alone"))
     members = members.join(sized, "node").where(f"100 * (size - alone) >= {percent} * size")

@@ -13,11 +13,12 @@ greedily in many independent groups.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, combinations_with_replacement, filterfalse
+from itertools import chain, combinations_with_replacement
 from unicodedata import is_normalized
 
 import numpy as np
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pick, worker_state, written
+from .shared import WordMemory, in_batches, pick, worker_state, written
 
 WINDOW = 4096
 UNIT = 64
 END_ID = 2
-#: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 1_500_000
+#: Bytes of words and ids that a Python worker remembers: at most two generations of about this many.
+CACHE_BYTES = 48_000_000
 #: Pieces that one greedy group or one rank bucket holds about.
 GROUP_PIECES = 8000
 
@@ -39,28 +40,47 @@ GROUP_PIECES = 8000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+# How a tokenizer file that lower-cases, drops white space and never joins across it says so.
+LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordTokenizer:
-    """A tokenizer that drops white space and never joins across it, with the ids of the words seen.
+    """A tokenizer file's ids, with those of the words seen.
 
-    Words of lower-case letters in composed form need no normalising and are one
-    piece before merging; these skip the patterns of the full tokenizer.
+    Where the file drops white space and never joins across it, a text's ids are
+    those of its words in turn. Words of lower-case letters in composed form then
+    need no normalising and are one piece before merging; these skip the patterns
+    of the full tokenizer. Texts that hold an added token literally, and all texts
+    of any other kind of file, go through the full tokenizer whole.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
+        parts = json.loads(definition)
         self.full = Tokenizer.from_str(definition)
-        self.full.encode_special_tokens = True
+        self.by_word = parts["normalizer"] == LOWERED and parts["pre_tokenizer"] == SPLIT and not any(x["normalized"] for x in parts["added_tokens"])
+        self.added = [x["content"] for x in parts["added_tokens"]]
         plain = {"normalizer": None, "post_processor": None, "decoder": None, "added_tokens": []}
         to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, to_bytes]}
-        parts = json.loads(definition)
         self.plain = Tokenizer.from_str(json.dumps(parts | plain))
         self.mark = parts["model"].get("end_of_word_suffix") or ""
         words = self.plain.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[k for w, k in words.items() if self.mark and w.endswith(self.mark)]] = True
-        self.known: dict[str, bytes] = {}
+        self.memory = WordMemory(CACHE_BYTES)
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text goes through the full tokenizer as it is."""
+        return not self.by_word or _ODD.search(text) is not None or any(x in text for x in self.added)
 
     def _plain(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words of which each ends with an id that the vocabulary marks as an end; many share one call."""
@@ -76,25 +96,27 @@ class WordTokenizer:
         return [next(ids[x]) for x in easy]
 
     def token_bytes(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers: those of its white-space separated parts in turn."""
-        known = self.known
-        split = [t.encode("utf-8", "replace").lower().decode().split() if not _ODD.search(t) else None for t in texts]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        fresh = set(filterfalse(known.__contains__, chain.from_iterable(s for s in split if s)))
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [None if self._whole(t) else t.encode("utf-8", "replace").lower().decode().split() for t in texts]
+        words = set(chain.from_iterable(s for s in split if s))
+        ids = self.memory.known(words)
+        fresh = words.difference(ids)
         # a letter before a final comma or full stop ends a token, so such parts share the ids of what precedes
         ended = {w for w in fresh if w[-1] in ",." and len(w) > 1 and w[-2].isalpha()}
-        rest = list(filterfalse(known.__contains__, {w[:-1] for w in ended} | (fresh - ended) | {",", "."}))
-        known.update(zip(rest, self.encode(rest), strict=True))
-        for w in ended:
-            known[w] = known[w[:-1]] + known[w[-1]]
-        return [self.encode([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        rest = list({w for w in chain((w[:-1] for w in ended), (",", ".")) if w not in ids} | (fresh - ended))
+        made = dict(zip(rest, self.encode(rest), strict=True))
+        ids |= made
+        made |= {w: ids[w[:-1]] + ids[w[-1]] for w in ended}
+        ids |= made
+        self.memory.add(made)
+        return [array("I", self.full.encode(t, add_special_tokens=False).ids).tobytes() if s is None else b"".join(map(ids.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
 def tokenizer_of(definition: str) -> WordTokenizer:
     """One tokenizer per Python worker and definition."""
     kept = worker_state("packing")
     if definition not in kept:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads only hold memory
         kept[definition] = WordTokenizer(definition)
     return kept[definition]
 
@@ -228,7 +250,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, unit: int =
         raise ValueError("the window must be a multiple of the unit")
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, whatever the data's size
-    pieces = pick(docs, "doc_id", "text").mapInArrow(
+    pieces = pick(docs, "doc_id", "text").transform(
+        in_batches,
         _cut(definition, window, unit, end_id, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     )
     pieces = written(pieces if with_ids else pieces.drop("ids"), "pieces")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytewords import SAME, SPACE, slices, windows, words_of
-from .shared import pick, worker_state
+from .shared import in_batches, pick, worker_state
 
 #: (bytes from, least ratio, largest ratio) of whole texts; no least ratio below 256 bytes, where the frame's header weighs too much.
 BANDS = ((0, 0.0, 3.0), (256, 1.2, 3.5), (1024, 1.4, 4.0), (4096, 1.4, 4.5), (16384, 1.4, 5.0), (131072, 1.4, 6.0))
@@ -117,7 +117,7 @@ def assess(docs: DataFrame) -> DataFrame:
     verdict is ``ok``. A null or empty text has no words and is not kept; an
     empty table gives an empty result.
     """
-    return pick(docs, "doc_id", "text").mapInArrow(_assess, _COLUMNS)
+    return pick(docs, "doc_id", "text").transform(in_batches, _assess, _COLUMNS)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

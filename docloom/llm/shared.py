@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: dict[str, str] = {}
 _worker_state: dict[str, dict] = {}
+#: Bytes of an Arrow batch that a Python worker gets at once; a longer row comes alone.
+BATCH_BYTES = "6m"
 
 
 def worker_state(operator: str) -> dict:
@@ -20,11 +27,55 @@ def worker_state(operator: str) -> dict:
     go first, so that its memory does not add up with that of the next.
     """
     if operator not in _worker_state:
-        _worker_state.clear()
+        if _worker_state:
+            _worker_state.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU library keeps freed memory and has a call for it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
         _worker_state[operator] = {}
     return _worker_state[operator]
 
 
+class WordMemory:
+    """What a Python worker remembers of the words it has seen: at most two generations of about ``most_bytes`` each.
+
+    A full young generation becomes the old one; of the old one only words that
+    are asked for again move on, so frequent words stay and rare ones go.
+    """
+
+    ENTRY_BYTES = 180
+
+    def __init__(self, most_bytes: int):
+        self.most_bytes, self.young, self.old, self.young_bytes = most_bytes, {}, {}, 0
+
+    def known(self, words: set[str]) -> dict:
+        """Those of ``words`` that are remembered, with their values."""
+        young, old = self.young, self.old
+        found = {w: young[w] for w in words if w in young}
+        again = {w: old[w] for w in words if w in old and w not in found}
+        if again:
+            self.add(again)
+        return found | again
+
+    def add(self, fresh: dict) -> None:
+        self.young.update(fresh)
+        self.young_bytes += sum(map(len, fresh)) + sum(len(v) for v in fresh.values() if isinstance(v, bytes)) + self.ENTRY_BYTES * len(fresh)
+        if self.young_bytes > self.most_bytes:
+            self.old, self.young, self.young_bytes = self.young, {}, 0
+
+
+def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches bounded by BATCH_BYTES, however long the texts are.
+
+    The bound is a session setting, made only where the session has none.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can read: ``spark.checkpoint.dir``.
 

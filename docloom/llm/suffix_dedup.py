@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import _BYTE, mix, powers, slices
-from .shared import pick, worker_state, written
+from .shared import in_batches, pick, worker_state, written
 
 LENGTH, GRAM, STEP = 400, 40, 20
 #: Strings with one core that a suffix array takes, and symbols of a block of cores sorted together.
@@ -240,7 +240,7 @@ def _zipped(docs: DataFrame) -> DataFrame:
                 zipped = [compress(t.as_buffer()) if t.is_valid else None for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(zipped, pa.binary())], names=["doc_id", "text_hash", "zipped"])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, zipped binary")
+    return docs.select("doc_id", "text_hash", "text").transform(in_batches, run, "doc_id long, text_hash long, zipped binary")
 
 
 def _unzipped(zipped: pa.Array) -> list[bytes]:
@@ -392,7 +392,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
     reach = length - gram
     docs = pick(docs, "doc_id", "text").where(F.octet_length("text") >= length).withColumn("text_hash", F.xxhash64("text"))
     scanned = written(
-        docs.mapInArrow(_scan(length, gram), "doc_id long, text_hash long, at long, gram long, context long, left long, right long, n long, places array<long>"), "anchors"
+        docs.transform(in_batches, _scan(length, gram), "doc_id long, text_hash long, at long, gram long, context long, left long, right long, n long, places array<long>"), "anchors"
     )
     found = scanned.where("places is null").drop("places")
     contexts = found.groupBy("gram", "context").agg(F.sum("n").alias("total"))
@@ -422,7 +422,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
     wanted = listed.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).agg(F.collect_list(spot).alias("spots"))
     texts = _zipped(docs).join(wanted, F.expr("doc_id <=> i and text_hash = h")).select("doc_id", "text_hash", "zipped", "spots")
     # repeated rows have no single context, but one of them may stand for its context; the solver drops its copies
-    cores = texts.mapInArrow(
+    cores = texts.transform(
+        in_batches,
         _cores(length, gram, step), "core long, left binary, right binary, doc_id long, text_hash long, at long, single boolean, many boolean"
     )
     cores = written(cores, "cores")
@@ -432,7 +433,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
         hot = written(hot, "hot")
         few, crowded = cores.join(hot, "core", "left_anti"), cores.join(hot, "core", "left_semi")
     schema = "doc_id long, text_hash long, first long, last long"
-    near = few.repartition("core").sortWithinPartitions("core").mapInArrow(_solve(length, step), schema)
+    near = few.repartition("core").sortWithinPartitions("core").transform(in_batches, _solve(length, step), schema)
     spans = whole.unionByName(inner).unionByName(near)
     if crowded is not None:
         spans = spans.unionByName(_window_keys(crowded, length, step))
@@ -507,4 +508,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
                 )
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<first:long,last:long>>, kept binary")
+    return joined.transform(in_batches, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<first:long,last:long>>, kept binary")

@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import pick, worker_state
+from .shared import WordMemory, in_batches, pick, worker_state
 
 MARK = "▁"
-#: Words whose counts a Python worker remembers.
-CACHE_WORDS = 1_000_000
+#: Bytes of words whose counts a Python worker remembers: at most two generations of about this many.
+CACHE_BYTES = 48_000_000
 UNKNOWN_PENALTY = 10.0
 
 _WHITE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
@@ -47,7 +47,7 @@ class Counter:
             self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
-        self.seen: dict[str, int] = {}
+        self.memory = WordMemory(CACHE_BYTES)
 
     def count(self, word: str) -> int:
         n = len(word)
@@ -68,16 +68,14 @@ class Counter:
                 best[to], pieces[to], lost[to] = best[to - 1] + self.unknown, pieces[to - 1] + (not lost[to - 1]), True
         return pieces[n]
 
-    def total(self, words: list[str]) -> int:
-        seen, n = self.seen, 0
-        if len(seen) > CACHE_WORDS:
-            seen.clear()
-        for w in words:
-            k = seen.get(w)
-            if k is None:
-                k = seen[w] = self.count(MARK + w)
-            n += k
-        return n
+    def totals(self, texts: list[list[str]]) -> list[int]:
+        """Pieces of each text, given as its words."""
+        words = set(chain.from_iterable(texts))
+        counts = self.memory.known(words)
+        fresh = {w: self.count(MARK + w) for w in words.difference(counts)}
+        self.memory.add(fresh)
+        counts |= fresh
+        return [sum(map(counts.__getitem__, t)) for t in texts]
 
 
 def token_counts(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
@@ -93,10 +91,11 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
         kept, key = worker_state("token_counts"), hash(tuple(shared.value))
         counter = kept.get(key) or kept.setdefault(key, Counter(shared.value))
         for batch in batches:
-            n_words, n_tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for k, text in enumerate(batch.column("text")):
-                words = [w for w in (text.as_py() or "").translate(_WHITE).split(" ") if w]
-                n_words[k], n_tokens[k] = len(words), counter.total(words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(n_tokens)], names=["doc_id", "n_words", "n_tokens"])
-
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [(t or "").translate(_WHITE).split(" ") for t in part.column("text").to_pylist()]
+                texts = [[w for w in t if w] for t in texts]
+                counts = [pa.array([len(t) for t in texts], pa.int64()), pa.array(counter.totals(texts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts], names=["doc_id", "n_words", "n_tokens"])
+
+    return pick(docs, "doc_id", "text").transform(in_batches, run, "doc_id long, n_words long, n_tokens long")

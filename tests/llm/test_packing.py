@@ -12,15 +12,14 @@ from .helpers import frame, odd_texts, prose
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def ids_of(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+def ids_of(text, path=PATH):
+    t = Tokenizer.from_file(path)
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
-def check(spark, texts, window=256, unit=16):
-    rows = packing.pack(frame(spark, texts), PATH, window, unit).collect()
-    want = {k: ids_of(t[1] if isinstance(t, tuple) else t) for k, t in enumerate(texts)}
+def check(spark, texts, window=256, unit=16, path=PATH):
+    rows = packing.pack(frame(spark, texts), path, window, unit).collect()
+    want = {k: ids_of(t[1] if isinstance(t, tuple) else t, path) for k, t in enumerate(texts)}
     for k, ids in want.items():
         mine = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.start)
         assert b"".join(r.ids for r in mine) == ids.tobytes()
@@ -46,6 +45,22 @@ def test_odd_rows(spark):
     assert packing.pack(frame(spark, []), PATH).count() == 0
 
 
+def test_literal_markers_and_other_tokenizer_files(spark):
+    texts = ["<|endoftext|> hi", "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext|", prose(7, 40), "Upper  lower\n\tcase's 12", None]
+    check(spark, texts)
+    check(spark, texts, path=public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_words_are_forgotten_within_the_bound(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
+    with open(PATH, encoding="utf-8") as f:
+        t = packing.WordTokenizer(f.read())
+    for k in range(12):
+        text = prose(k % 5, 60)
+        assert t.token_bytes([text, "to be"])[0] == ids_of(text)[:-1].tobytes()
+        assert len(t.memory.young) + len(t.memory.old) < 200
+
+
 def test_repeated_rows_are_documents_of_their_own(spark):
     rows = packing.pack(frame(spark, [(1, "some words"), (1, "some words"), (None, "x")]), PATH).collect()
     assert len([r for r in rows if r.doc_id == 1]) == 2 and len([r for r in rows if r.doc_id is None]) == 1

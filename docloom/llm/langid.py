@@ -24,8 +24,12 @@ from .shared import in_batches, pick, worker_state
 
 #: Bounds of the training sample: rows of each language, their longest run of text, and characters of each language.
 SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_CHARS = 48, 3000, 32_000
-#: Codes with a column of their own in the table of moves; moves by rarer letters are looked up in a sorted list.
-DENSE = 252
+#: Languages learned at most: those with the most labelled rows.
+LANGUAGES = 200
+#: Codes with a column of their own in the table of moves, and bytes of that table; moves by rarer letters are looked up in a sorted list.
+DENSE, DENSE_BYTES = 252, 64_000_000
+#: Codes from which on a text can be told from letters in random order, and the share of their cost that it must stay below.
+LEAST_CODES, CHANCE_SHARE = 64, 0.95
 #: Texts are parsed in runs of this many characters, so that a very long text is many short lanes.
 RUN = 1024
 LANE_CHARS = 800_000
@@ -91,7 +95,6 @@ class Model:
         self.languages = sorted(samples)
         self.codes = alphabet([t for x in self.languages for t in samples[x]])
         self.n_codes = int(self.codes.max()) + 1
-        self.width = min(self.n_codes, DENSE)
         edges, self.roots, scale, states = [], [], [], 1  # state 0 means that there is no move
         for x in self.languages:
             symbols: list[int] = []
@@ -104,6 +107,7 @@ class Model:
             scale.append(np.log2(max(2, len(symbols))))
             states += len(move)
         self.states, self.scale = states, np.array(scale)
+        self.width = min(self.n_codes, DENSE, max(2, DENSE_BYTES // (4 * states)))
         edges = np.array(edges, np.int32).reshape(-1, 3)
         rare = edges[:, 1] >= self.width
         self.edges = edges[~rare]
@@ -111,6 +115,13 @@ class Model:
         order = np.argsort(keys)
         self.rare_keys, self.rare_moves = keys[order], edges[rare, 2][order]
         self._table: np.ndarray | None = None
+        self.chance = CHANCE_SHARE * min([self._shuffled(samples[x]) for x in self.languages], default=np.inf)
+
+    def _shuffled(self, texts: list[str]) -> float:
+        """Bits a code that the best language needs for a language's sample with its codes in random order."""
+        codes = np.random.default_rng(0).permutation(np.concatenate([normal(t, self.codes) for t in texts]))[: 4 * RUN]
+        runs = [codes[at : at + RUN] for at in range(0, len(codes), RUN)]
+        return float((self.phrases(runs).sum(0) * self.scale).min() / len(codes))
 
     def table(self) -> np.ndarray:
         """Next state times width at [state times width + code]; 0 where there is none."""
@@ -161,8 +172,13 @@ class Model:
         out[order] = count.T
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text; the score is how far the second best language falls behind, 0 to 1."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score and fit of each text.
+
+        The score is how far the second best language falls behind, 0 to 1. A
+        text fits unless it has LEAST_CODES codes or more and its best language
+        needs no fewer phrases than for letters in random order.
+        """
         runs, owner, sizes = [], [], np.zeros(len(texts))
         for k, text in enumerate(texts):
             if text and _LETTER.search(text) and self.languages:
@@ -175,16 +191,18 @@ class Model:
         if runs:
             np.add.at(total, np.array(owner), self.phrases(runs))
         bits = total * self.scale / np.maximum(sizes, 1)[:, None]
-        names, scores = [], []
+        names, scores, fits = [], [], []
         for k in range(len(texts)):
             if not sizes[k]:
                 names.append(UNKNOWN)
                 scores.append(0.0)
+                fits.append(False)
                 continue
             order = np.argsort(bits[k], kind="stable")
             names.append(self.languages[order[0]])
             scores.append(float(1 - bits[k, order[0]] / bits[k, order[1]]) if len(order) > 1 else 1.0)
-        return names, scores
+            fits.append(bool(sizes[k] < LEAST_CODES or bits[k, order[0]] < self.chance))
+        return names, scores, fits
 
 
 def train(docs: DataFrame) -> Model:
@@ -194,11 +212,15 @@ def train(docs: DataFrame) -> Model:
     are used, and SAMPLE_CHARS characters of these. A text longer than
     SAMPLE_TEXT gives a run of that many characters at a place drawn by another
     hash of its id, or from its first letter on if that run has none; rows
-    without text, language or id are left out.
+    without text, language or id are left out. At most LANGUAGES languages are
+    learned, those with the most such rows (ties: by name).
     """
     from pyspark.sql import Window
 
-    rows = pick(docs, "doc_id", "text", "lang").where(
+    labelled = pick(docs, "doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    common = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    wanted = [row["lang"] for row in common.collect()]  # bounded by LANGUAGES
+    rows = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isin(wanted)).where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")
     )
     place = F.pmod(F.xxhash64("doc_id", F.lit("run")), F.length("text") - SAMPLE_TEXT + 1).cast("int") + 1
@@ -213,7 +235,7 @@ def train(docs: DataFrame) -> Model:
     return Model({k: list(dict.fromkeys(v)) for k, v in samples.items()})
 
 
-def _predicted(shared, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
+def _predicted(shared, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str], list[float], list[bool]]]:
     """Parts of a batch of about LANE_CHARS characters, with their predictions."""
     worker_state("langid")
     texts = batch.column("text")
@@ -234,7 +256,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, names, scores in _predicted(shared, batch):
+            for part, names, scores, _ in _predicted(shared, batch):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     names=["doc_id", "held_out", "lang_pred", "score"],
@@ -244,13 +266,27 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return ready.transform(in_batches, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.0, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known and whose score is ``least_score`` or more; no row moves."""
+def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_score: float = 0.0, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, in which a language was identified; no row moves.
+
+    Rejected are null and letterless texts, texts of LEAST_CODES codes or more
+    that fit no learned language better than letters in random order do (dumps
+    of encoded data, languages that nothing was learned of), scores under
+    ``least_score`` and, where ``languages`` is given, other languages. A missing
+    ``lang`` becomes the prediction, a given one stays. Repeated rows fare alike;
+    an empty table gives an empty result; other columns, whatever their names, pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+    wanted = None if languages is None else set(languages)
+    place = docs.columns.index("lang") if docs.columns.count("lang") == 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, names, scores in _predicted(shared, batch):
-                yield part.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            for part, names, scores, fits in _predicted(shared, batch):
+                if place is not None:
+                    filled = pc.coalesce(part.column(place), pa.array(names, part.schema.field(place).type))
+                    part = part.set_column(place, "lang", filled)
+                keep = [f and s >= least_score and (wanted is None or n in wanted) for n, s, f in zip(names, scores, fits, strict=True)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.transform(in_batches, run, docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import mix, slices, windows, words_of
-from .shared import components, in_batches, pick, worker_state, written
+from .shared import components, in_batches, pick, with_keys, worker_state, written
 
 WIDTH = 5
 #: Bands x registers a band: two sets with a similarity of 0.85 share no bucket once in 13 million pairs.
@@ -265,23 +265,27 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without the near-duplicates: of each component one row stays, one with the smallest id and, under that, text hash.
 
-    Rows go by id and text, so that a row of another text with the same id stays. Null and wordless texts all stay.
+    Rows go by id and text, so a row of another text with the same id is judged
+    by its own text; of exactly repeated rows one stays, any of them where other
+    columns differ. Null and wordless texts all stay; a missing id sorts last. An
+    empty table gives an empty result; other columns, whatever their names, pass through.
     """
     rows = _grouped(docs, percent).where("digest is not null")
     rows = written(rows.select("doc_id", "text_hash", _place().eqNullSafe(F.col("lead")).alias("leads")), "rows")
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__hash": F.xxhash64("text")})
+    keyed, (own_id, own_hash) = with_keys(docs, F.col("doc_id"), F.xxhash64("text"))
 
     def key(marks: DataFrame) -> tuple[DataFrame, Column]:
-        marks = marks.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text"))
-        return marks, (keyed["__hash"] == marks["__text"]) & keyed["__id"].eqNullSafe(marks["__gone"])
+        marks = marks.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+        return marks, (keyed[own_hash] == marks["gone_hash"]) & keyed[own_id].eqNullSafe(marks["gone_id"])
 
     gone = key(rows.where("not leads").distinct())
     again = rows.where("leads").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
-        return keyed.join(*gone, "left_anti").drop("__id", "__hash")
-    again = key(again)
-    repeated = keyed.join(*again, "left_semi").dropDuplicates(["__id", "__hash"])
-    return keyed.join(*gone, "left_anti").join(*again, "left_anti").unionByName(repeated).drop("__id", "__hash")
+    left = keyed.join(*gone, "left_anti")
+    if not again.isEmpty():
+        again = key(again)
+        repeated = keyed.join(*again, "left_semi").dropDuplicates([own_id, own_hash])
+        left = left.join(*again, "left_anti").unionByName(repeated)
+    return left.drop(own_id, own_hash)

@@ -105,6 +105,18 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names])
 
 
+def with_keys(df: DataFrame, *keys: Column) -> tuple[DataFrame, list[str]]:
+    """``df`` and after its own columns the keys, under names that it does not have yet; these names."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for k in range(len(keys)):
+        name = f"key_{k}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        names.append(name)
+    return df.withColumns(dict(zip(names, keys, strict=True))), names
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

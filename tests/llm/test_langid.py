@@ -97,3 +97,32 @@ def test_letters_of_large_scripts_are_told_apart():
     for j, x in enumerate(model.languages):
         sample = back(np.concatenate([[1], L.normal(texts[x], model.codes)]))
         assert [phrases(back(r), sample) for r in runs] == model.phrases(runs)[:, j].tolist()
+
+
+def test_small_table_of_moves_gives_the_same_parse(monkeypatch):
+    samples = {x: [text_of(x, 1, 200)] for x in STEMS}
+    wide = L.Model(samples)
+    monkeypatch.setattr(L, "DENSE_BYTES", 40_000)
+    narrow = L.Model(samples)
+    assert narrow.width < wide.width
+    runs = [L.normal(text_of(x, 9, 50), wide.codes) for x in STEMS]
+    assert (wide.phrases(runs) == narrow.phrases(runs)).all() and wide.chance == narrow.chance
+
+
+def test_keep_identified_rejects_what_fits_no_language_and_fills_lang(spark):
+    df, truth = docs(spark)
+    r = random.Random(3)
+    noise = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600))
+    rows = [(5000, noise), (5001, "Ж" * 200), (5002, text_of("aa", 900, 40)), (5003, "ban tolrik"), (5004, None), (5005, "12 34")]
+    extra = spark.createDataFrame([(k, t, None, "s", 1, "", "", "", 1) for k, t in rows], SCHEMA)
+    kept = {r.doc_id: r.lang for r in L.keep_identified(df.where("lang is not null").unionByName(extra)).collect()}
+    assert {k: kept.get(k) for k, _ in rows} == {5000: None, 5001: None, 5002: "aa", 5003: "aa", 5004: None, 5005: None}
+    assert {k: v for k, v in kept.items() if k < 1000} == truth
+    only = L.keep_identified(df, languages=["bb"], least_score=0.05)
+    assert {truth[r.doc_id] for r in only.collect() if r.doc_id in truth} == {"bb"}
+
+
+def test_number_of_languages_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    rows = [(k, text_of(x, k, 20), x, "s", 1, "", "", "", 1) for k in range(60) for x in [["aa", "aa", "bb", "bb", "cc"][k % 5]]]
+    assert L.train(spark.createDataFrame(rows, SCHEMA)).languages == ["aa", "bb"]

@@ -88,3 +88,22 @@ def test_keep_one_goes_by_id_and_text(spark):
     plain = lambda pairs: sorted(((k, (t or "").split()) for k, t in pairs), key=str)
     want = [(0, copied), (5, clean), (6, again), (None, prose(4, 50)), (8, prose(5, 50)), (9, ""), (9, "")]
     assert plain((r.doc_id, r.text) for r in kept) == plain(want)
+
+
+def test_keep_one_links_from_eighty_percent_on(spark):
+    words = prose(60, 400).split()
+    # 396 shingles each, five of them lost to every edit: 356 of 436 are shared
+    edited_words = [f"edit{k}" if k % 50 == 20 else w for k, w in enumerate(words)]
+    a, b = shingles(" ".join(words)), shingles(" ".join(edited_words))
+    assert 0.80 < len(a & b) / len(a | b) < 0.83
+    kept = near_dup.keep_one(frame(spark, [" ".join(words), " ".join(edited_words), prose(61, 90)]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_clashing_names_and_empty_table(spark):
+    docs = frame(spark, [prose(1, 50), prose(1, 50), prose(2, 50)])
+    for a, b in (("node", "key_0"), ("key", "__id"), ("spans", "gone_id")):
+        docs = docs.withColumnRenamed(a, b)
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+    assert near_dup.keep_one(docs.limit(0)).count() == 0

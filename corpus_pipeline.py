@@ -18,28 +18,41 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go; the model learns from the labelled ones among ``docs``."""
+    """Documents in which no language is identified go; the model learns from the labelled ones among ``docs``.
+
+    These are null and letterless texts, and texts of some length that fit no
+    learned language better than letters in random order do. A missing ``lang``
+    becomes the predicted one. Repeated rows fare alike; an empty table gives an empty one.
+    """
     return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: five-word shingles, a similarity of 0.8 or more.
+
+    The row with the smallest id stays, a missing id sorts last; of exactly repeated
+    rows one stays. Wordless texts all stay; an empty table gives an empty one.
+    """
     return near_dup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages go."""
+    """Documents with benchmark passages go: one word in twenty or more lies in an occurring window of 13 words.
+
+    Null texts stay; repeated rows fare alike; an empty table, or an empty
+    benchmark, removes nothing.
+    """
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live credentials are blanked out; the character count follows."""
+    """Live credentials are blanked out; the character count follows. Every row stays; null texts stay null."""
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces dealt to sequences."""
+    """Token pieces dealt to sequences; a null or empty text is the end id alone, repeated rows are documents of their own."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), with_ids=False)
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from .bytewords import _BYTE, mix, powers, slices
 from .shared import in_batches, pick, worker_state, written
 
 LENGTH, GRAM, STEP = 400, 40, 20
-#: Strings with one core that a suffix array takes, and symbols of a block of cores sorted together.
-MOST, BLOCK = 1000, 20_000
+#: Contexts with one half from which on they are divided by hubs, and symbols of a block of cores sorted together.
+MOST, BLOCK = 200, 20_000
 
 _U = np.uint64
 
@@ -252,56 +253,151 @@ def _unzipped(zipped: pa.Array) -> list[bytes]:
 
 # --- cores and flanks ---------------------------------------------------------
 
+CORES = "core long, left binary, right binary, doc_id long, text_hash long, at long, single boolean, side boolean"
+_CORE_NAMES = ["core", "left", "right", "doc_id", "text_hash", "at", "single", "side"]
+
+
+def _core_rows(data: np.ndarray, places: np.ndarray, lefts: np.ndarray, rights: np.ndarray, single: np.ndarray, salt: int, length: int, gram: int, step: int) -> tuple:
+    """(core, left flank, right flank, begin, single) of the cores around anchors at ``places``, of windows left or right of these as flagged.
+
+    One core position stands once, as single if any of its anchors is.
+    """
+    half = (length - gram) // 2
+    offsets = np.arange(0, 2 * half, step)
+    wanted = np.where(offsets[None, :] >= half, lefts[:, None], rights[:, None]).ravel()
+    begin = (places[:, None] - offsets[None, :]).ravel()
+    fits = wanted & (begin >= 0) & (begin + length - step <= len(data))
+    begin, owner = np.unique(begin[fits], return_inverse=True)
+    flags = np.bincount(owner, np.repeat(single, len(offsets))[fits], len(begin)) > 0
+    ends, raw = begin + length - step, data.tobytes()
+    cores = _span_hash(_prefix_hash(data), begin, ends)
+    if salt:
+        cores = mix(cores ^ np.array([salt], np.int64).view(_U))
+    return cores.view(np.int64), [raw[max(0, b - step) : b] for b in begin.tolist()], [raw[e : e + step] for e in ends.tolist()], begin, flags
+
 
 def _cores(length: int, gram: int, step: int):
-    """Cores around the listed anchors of each text: (core, left, right, doc_id, text_hash, at, single, many)."""
+    """Cores around the listed anchors of each text, and the whole contexts of those in groups to be divided.
+
+    A context's row has its group as core, the bytes before the anchor
+    backwards as left, those from the anchor on as right, and its side.
+    """
+    reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = (length - gram) // 2
-        offsets = np.arange(0, 2 * half, step)
-        leftmost = offsets >= half
+        worker_state("suffix_dedup")
         for batch in batches:
             spots = batch.column("spots").to_pylist()
-            raws = [np.frombuffer(t, np.uint8) for t in _unzipped(batch.column("zipped"))]
-            for first, data in enumerate(raws):
-                bounds = np.array([0, len(data)])
-                total = _prefix_hash(data)
-                for k in range(len(bounds) - 1):
-                    lo, hi = int(bounds[k]), int(bounds[k + 1])
-                    raw = data[lo:hi].tobytes()
-                    listed = spots[first + k]
-                    places = np.array([s["at"] for s in listed], np.int64)
-                    single = np.array([s["single"] for s in listed], bool)
-                    wanted = np.where(leftmost[None, :], *[np.array([s[side] for s in listed], bool)[:, None] for side in ("left", "right")])
-                    begin = (places[:, None] - offsets[None, :]).ravel()
-                    flags = np.repeat(single, len(offsets))
-                    many = np.repeat(np.array([s["many"] for s in listed], bool), len(offsets))
-                    fits = (begin >= 0) & (begin + length - step <= hi - lo) & wanted.ravel()
-                    begin, flags, many = begin[fits], flags[fits], many[fits]
-                    # one core position stands once, as single or crowded if any of its anchors is
-                    begin, owner = np.unique(begin, return_inverse=True)
-                    flags = np.bincount(owner, flags, len(begin)) > 0
-                    many = np.bincount(owner, many, len(begin)) > 0
-                    if not len(begin):
-                        continue
-                    ends = begin + length - step
+            for k, raw in enumerate(_unzipped(batch.column("zipped"))):
+                ids = [batch.column(c)[k].as_py() for c in ("doc_id", "text_hash")]
+                of = lambda name: np.array([s[name] for s in spots[k]])  # noqa: B023, E731
+                core, left, right, begin, single = _core_rows(
+                    np.frombuffer(raw, np.uint8), of("at").astype(np.int64), of("left").astype(bool), of("right").astype(bool), of("single").astype(bool), 0, length, gram, step
+                )
+                rows = list(zip(core.tolist(), left, right, begin.tolist(), single.tolist(), [None] * len(begin), strict=True))
+                for x in spots[k]:
+                    for group, side in ((x["left_group"], True), (x["right_group"], False)):
+                        if group is not None:
+                            before = raw[max(0, x["at"] - reach) : x["at"]][::-1]
+                            rows.append((group, before, raw[x["at"] : x["at"] + length], x["at"], x["single"], side))
+                if rows:
+                    core, left, right, begin, single, side = zip(*rows, strict=True)
+                    n = len(rows)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(_span_hash(total, lo + begin, lo + ends).view(np.int64)),
-                            pa.array([raw[max(0, b - step) : b] for b in begin.tolist()], pa.binary()),
-                            pa.array([raw[e : e + step] for e in ends.tolist()], pa.binary()),
-                            pa.array([batch.column("doc_id")[first + k].as_py()] * len(begin), pa.int64()),
-                            pa.array([batch.column("text_hash")[first + k].as_py()] * len(begin), pa.int64()),
-                            pa.array(begin),
-                            pa.array(flags),
-                            pa.array(many),
+                            pa.array(core, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array([ids[0]] * n, pa.int64()),
+                            pa.array([ids[1]] * n, pa.int64()), pa.array(begin, pa.int64()), pa.array(single, pa.bool_()), pa.array(side, pa.bool_()),
                         ],
-                        names=["core", "left", "right", "doc_id", "text_hash", "at", "single", "many"],
-                    )
+                        names=_CORE_NAMES,
+                    )
+
+    return run
+
+
+def _context_cores(length: int, gram: int, step: int):
+    """Cores of whole contexts; a group's cores meet only those of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("suffix_dedup")
+        for batch in batches:
+            out: list[list] = [[] for _ in _CORE_NAMES]
+            for group, before, after, doc_id, text_hash, at, single, side in zip(*[batch.column(c).to_pylist() for c in _CORE_NAMES], strict=True):
+                data = np.frombuffer(before[::-1] + after, np.uint8)
+                one = np.array([True])
+                core, left, right, begin, flags = _core_rows(data, np.array([len(before)]), one & side, one & (not side), one & single, group or 1, length, gram, step)
+                begin += at - len(before)
+                n = len(begin)
+                for column, values in zip(out, (core.tolist(), left, right, [doc_id] * n, [text_hash] * n, begin.tolist(), flags.tolist(), [None] * n), strict=True):
+                    column.extend(values)
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=_CORE_NAMES)
 
     return run
 
 
+# --- groups of very many contexts ---------------------------------------------
+
+
+def _agreement(ours: list[bytes], theirs: list[bytes], width: int) -> np.ndarray:
+    """How many leading bytes of each two strings of at most ``width`` bytes agree."""
+    grid = lambda rows: np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(len(rows), width)
+    differ = np.concatenate([grid(ours) != grid(theirs), np.ones((len(ours), 1), bool)], axis=1)
+    return np.minimum(differ.argmax(1), [min(len(x), len(y)) for x, y in zip(ours, theirs, strict=True)])
+
+
+def _against_hub(length: int):
+    """Each context with its hub: how far both agree before and from the anchor on, and the bytes that follow (-1: none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("suffix_dedup")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right, hub_left, hub_right = (batch.column(c).to_pylist() for c in ("left", "right", "hub_left", "hub_right"))
+            a, b = _agreement(left, hub_left, length), _agreement(right, hub_right, length)
+            next_left = [x[n] if n < len(x) else -1 for x, n in zip(left, a.tolist(), strict=True)]
+            next_right = [x[n] if n < len(x) else -1 for x, n in zip(right, b.tolist(), strict=True)]
+            kept = batch.select([*_CORE_NAMES, "hub_doc", "hub_hash", "hub_at"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(x, pa.int64()) for x in (a, b, next_left, next_right)]], names=[*kept.schema.names, "a", "b", "next_left", "next_right"])
+
+    return run
+
+
+def _divided(members: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(spans, contexts of small groups) of groups of contexts; each is a list of frames, one for each round.
+
+    A group's hub is the first by a hash, so its choice is a minimum that is
+    aggregated before the shuffle, and the join with it can be split by Spark.
+    """
+    spans, small, turn = [], [], 0
+    names = {"core": "core", "hub_doc": "doc_id", "hub_hash": "text_hash", "hub_at": "at", "hub_left": "left", "hub_right": "right"}
+    hub_columns = [F.col(f"hub.{c}").alias(n) for n, c in names.items() if n != "core"]
+    while not members.isEmpty():
+        hub = F.min_by(F.struct("doc_id", "text_hash", "at", "left", "right"), F.xxhash64(F.lit(turn), "doc_id", "text_hash", "at"))
+        hubs = members.groupBy("core").agg(F.count("*").alias("n"), hub.alias("hub")).where("n > 1")
+        hubs = written(hubs.select("core", "n", *hub_columns), "hubs")
+        small.append(members.join(hubs.where(f"n <= {MOST}").select(F.col("core").alias("g")).hint("merge"), F.expr("core = g")).select(*_CORE_NAMES))
+        paired = members.join(hubs.where(f"n > {MOST}").drop("n").hint("merge"), "core")
+        compared = paired.transform(in_batches, _against_hub(length), f"{CORES}, hub_doc long, hub_hash long, hub_at long, a long, b long, next_left long, next_right long")
+        compared = written(compared.where("not (doc_id <=> hub_doc and text_hash = hub_hash and at = hub_at)"), "compared")
+        shared = compared.where(F.col("a") + F.col("b") >= length)
+        spans.append(shared.select("doc_id", "text_hash", (F.col("at") - F.col("a")).alias("first"), (F.col("at") + F.col("b")).alias("last")))
+        widest = shared.groupBy("hub_doc", "hub_hash", "hub_at", "a").agg(F.max("b").alias("b"))
+        spans.append(
+            widest.select(F.col("hub_doc").alias("doc_id"), F.col("hub_hash").alias("text_hash"), (F.col("hub_at") - F.col("a")).alias("first"), (F.col("hub_at") + F.col("b")).alias("last"))
+        )
+        # what is left of a context are windows that hold the first differing byte before or after the anchor
+        ways = F.array(
+            *[
+                F.when(F.col(f"next_{way}") >= 0, F.xxhash64("core", F.lit(way), n, f"next_{way}"))
+                for way, n in (("left", "a"), ("right", "b"))
+            ]
+        )
+        branched = compared.select(F.explode(F.array_compact(ways)).alias("core"), *_CORE_NAMES[1:])
+        members, turn = written(branched, "members"), turn + 1
+    return spans, small
+
+
 def repeated_windows(group: list[tuple[int, bytes, bytes]], step: int) -> list[list[int]]:
     """For each (core, left flank, right flank) the numbers of left bytes of those windows that occur again.
 
@@ -394,11 +490,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
     scanned = written(
         docs.transform(in_batches, _scan(length, gram), "doc_id long, text_hash long, at long, gram long, context long, left long, right long, n long, places array<long>"), "anchors"
     )
+    # Tables on both sides of these joins are written ones, so that Spark can split a hot gram or context; no side is broadcast.
     found = scanned.where("places is null").drop("places")
-    contexts = found.groupBy("gram", "context").agg(F.sum("n").alias("total"))
-    grams = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("total").alias("uses")).where("uses > 1").select("gram", "kinds")
-    repeated = contexts.join(grams, "gram").where("total > 1 or kinds > 1")
-    placed = written(found.drop("n").join(repeated, ["gram", "context"]), "placed")
+    contexts = written(found.groupBy("gram", "context").agg(F.sum("n").alias("total")), "contexts")
+    grams = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("total").alias("uses")).where("uses > 1")
+    grams = written(grams.select("gram", (F.col("kinds") > 1).alias("several")), "grams")
+    repeated = written(contexts.join(grams.hint("merge"), "gram").where("total > 1 or several"), "repeated")
+    placed = written(found.drop("n").join(repeated.hint("merge"), ["gram", "context"]), "placed")
 
     whole = placed.where("total > 1").select("doc_id", "text_hash", F.greatest(F.col("at") - reach, F.lit(0)).alias("first"), (F.col("at") + length).alias("last"))
     pairs = F.expr("transform(sequence(0, cast(size(places) div 2 as int) - 1), k -> struct(places[2 * k] as a, places[2 * k + 1] as b))")
@@ -408,63 +506,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
         .select("doc_id", "text_hash", F.greatest(F.col("p.a") - reach, F.lit(0)).alias("first"), (F.col("p.b") + length).alias("last"))
     )
 
-    # each distinct context once, with the halves that another one has too
+    # each distinct context once, with the number of contexts that have its halves
     one = F.struct("doc_id", "text_hash", "at", "left", "right", (F.col("total") == 1).alias("single"))
-    listed = placed.where("kinds > 1 and total = 1").select("gram", "kinds", one.alias("o"))
-    others = placed.where("kinds > 1 and total > 1").dropDuplicates(["gram", "context"]).select("gram", "kinds", one.alias("o"))
-    listed = listed.unionByName(others).select("gram", "kinds", "o.*")
+    listed = placed.where("several and total = 1").select("gram", one.alias("o"))
+    others = placed.where("several and total > 1").dropDuplicates(["gram", "context"]).select("gram", one.alias("o"))
+    listed = written(listed.unionByName(others).select("gram", "o.*"), "listed")
     for side in ("left", "right"):
-        shared = listed.where(f"{side} <> 0").groupBy("gram", side).agg(F.count("*").alias("m")).where("m > 1").select("gram", side, F.lit(True).alias(f"{side}_too"))
-        listed = listed.join(shared, ["gram", side], "left")
-    listed = written(listed.where("left_too or right_too").drop("left", "right"), "listed")
-    # a core has at most as many different flanks as its anchor has contexts, so only anchors with many can crowd one
-    spot = F.struct("at", F.coalesce("left_too", F.lit(False)).alias("left"), F.coalesce("right_too", F.lit(False)).alias("right"), "single", (F.col("kinds") > MOST).alias("many"))
+        shared = listed.where(f"{side} <> 0").groupBy("gram", side).agg(F.count("*").alias(f"n_{side}")).where(f"n_{side} > 1")
+        listed = listed.join(written(shared, "shared").hint("merge"), ["gram", side], "left")
+    listed = listed.where("n_left > 1 or n_right > 1")
+    few = lambda side: F.coalesce(F.col(f"n_{side}").between(2, MOST), F.lit(False)).alias(side)
+    group = lambda side: F.when(F.col(f"n_{side}") > MOST, F.xxhash64(F.lit(side), "gram", side)).alias(f"{side}_group")
+    spot = F.struct("at", few("left"), few("right"), group("left"), group("right"), "single")
     wanted = listed.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).agg(F.collect_list(spot).alias("spots"))
-    texts = _zipped(docs).join(wanted, F.expr("doc_id <=> i and text_hash = h")).select("doc_id", "text_hash", "zipped", "spots")
+    texts = _zipped(docs).join(wanted.hint("merge"), F.expr("doc_id <=> i and text_hash = h")).select("doc_id", "text_hash", "zipped", "spots")
     # repeated rows have no single context, but one of them may stand for its context; the solver drops its copies
-    cores = texts.transform(
-        in_batches,
-        _cores(length, gram, step), "core long, left binary, right binary, doc_id long, text_hash long, at long, single boolean, many boolean"
-    )
-    cores = written(cores, "cores")
-    hot = cores.where("many").groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("core")
-    few, crowded = cores, None
-    if not hot.isEmpty():
-        hot = written(hot, "hot")
-        few, crowded = cores.join(hot, "core", "left_anti"), cores.join(hot, "core", "left_semi")
-    schema = "doc_id long, text_hash long, first long, last long"
-    near = few.repartition("core").sortWithinPartitions("core").transform(in_batches, _solve(length, step), schema)
-    spans = whole.unionByName(inner).unionByName(near)
-    if crowded is not None:
-        spans = spans.unionByName(_window_keys(crowded, length, step))
+    cores = written(texts.transform(in_batches, _cores(length, gram, step), CORES), "cores")
+    spans, small = _divided(cores.where("side is not null"), length)
+    cores = cores.where("side is null")
+    for contexts in small:
+        cores = cores.unionByName(contexts.transform(in_batches, _context_cores(length, gram, step), CORES))
+    near = cores.drop("side").repartition("core").sortWithinPartitions("core")
+    near = near.transform(in_batches, _solve(length, step), "doc_id long, text_hash long, first long, last long")
+    spans = reduce(DataFrame.unionByName, [whole, inner, near, *spans])
     return spans.groupBy("doc_id", "text_hash").agg(_merged(F.sort_array(F.collect_set(F.struct("first", "last")))).alias("spans"))
 
 
-def _window_keys(cores: DataFrame, length: int, step: int) -> DataFrame:
-    """Covered spans of crowded cores.
-
-    A string (core and flanks) that stands twice recurs as a whole. For the
-    others every window is a key, the core and the bytes of the flanks that
-    belong to it, compared with the windows of each distinct string.
-    """
-    string = ["core", "left", "right"]
-    first = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "at", "single")]
-    strings = cores.groupBy(*string).agg(F.count("*").alias("n"), *first).where(F.octet_length("left") + F.octet_length("right") >= step)
-    strings = written(strings, "strings")
-    least, most = F.greatest(F.lit(0), F.lit(step) - F.octet_length("right")), F.octet_length("left")
-    twice = strings.where("n > 1").select(*string)
-    whole = cores.where("single").join(twice, string).select("doc_id", "text_hash", (F.col("at") - most).alias("first"), (F.col("at") - least + length).alias("last"))
-
-    windows = strings.select("*", F.explode(F.sequence(least, most)).alias("x"))
-    lead = F.expr("substring(left, octet_length(left) - x + 1, x)")
-    key = F.xxhash64("core", "x", lead, F.expr(f"substring(right, 1, {step} - x)"))
-    windows = windows.select("doc_id", "text_hash", "at", (F.col("single") & (F.col("n") == 1)).alias("lone"), "x", key.alias("key"))
-    again = windows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    start = F.col("at") - F.col("x")
-    near = windows.where("lone").join(again, "key").select("doc_id", "text_hash", start.alias("first"), (start + length).alias("last"))
-    return whole.unionByName(near)
-
-
 def _merged(spans: Column) -> Column:
     """Sorted spans with those that touch or overlap made one."""
     none = F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)")
@@ -489,7 +556,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     found = repeated_spans(docs, length).select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), "spans")
     rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    joined = _zipped(rows).join(found, F.expr("doc_id <=> i and text_hash <=> h"), "left").select("doc_id", "zipped", "spans")
+    joined = _zipped(rows).join(found.hint("merge"), F.expr("doc_id <=> i and text_hash <=> h"), "left").select("doc_id", "zipped", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

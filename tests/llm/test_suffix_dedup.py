@@ -58,11 +58,23 @@ def test_removed_bytes_match_brute_force(spark):
     check(spark, texts_with_repeats())
 
 
-def test_crowded_cores_are_exact_too(spark, monkeypatch):
-    monkeypatch.setattr(S, "MOST", 3)
+@pytest.mark.parametrize("most", [1, 3])
+def test_crowded_halves_are_exact_too(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "MOST", most)
     check(spark, texts_with_repeats())
 
 
+def test_family_of_edited_copies_divided_by_hubs(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST", 4)
+    r, base, texts = random.Random(9), prose(70, 260), []
+    for k in range(40):
+        t = list(base)
+        for _ in range(k % 4):
+            t[r.randrange(len(t))] = r.choice("XYZ")
+        texts.append(prose(300 + k, k % 5 * 10) + "".join(t)[: 900 + 20 * (k % 7)] + prose(400 + k % 6, 30))
+    check(spark, texts)
+
+
 def test_repeated_rows_and_empty_table(spark):
     text = prose(4, 150)
     rows = S.remove_repeats(frame(spark, [(1, text), (1, text), (None, prose(5, 150))])).collect()

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from docloom.llm import quality_bands as Q
 
 from .helpers import frame, odd_texts, prose
@@ -39,5 +41,57 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(spark):
 
 def test_empty_and_keep(spark):
     assert Q.assess(frame(spark, [])).count() == 0
-    docs = frame(spark, [prose(5, 400), "short", None])
-    assert [r.doc_id for r in Q.keep_good(docs).collect()] == [0]
+    docs = frame(spark, [prose(5, 400), "short", None, (0, "short again"), (7, prose(6, 90)), (7, prose(6, 90))]).withColumnRenamed("key", "key_0")
+    kept = Q.keep_good(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, prose(5, 400)), (7, prose(6, 90)), (7, prose(6, 90))]
+
+
+def plain_limits(texts):
+    """Limits by band from whole lists of ratios."""
+    import math
+
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=Q.LEVEL).compress
+    by_band = {}
+    for t in texts:
+        raw = t.encode()
+        if not base(t)[-1]:
+            by_band.setdefault(math.floor(math.log2(len(raw)) * Q.BANDS_PER_OCTAVE), []).append(len(raw) / len(compress(raw)))
+    out = {}
+    for band, ratios in by_band.items():
+        if len(ratios) >= Q.ENOUGH:
+            ratios.sort()
+            q1, q2 = ratios[len(ratios) // 4], ratios[len(ratios) // 2]
+            out[band] = (q2 - Q.WIDTHS[0] * (q2 - q1) / 0.6745, q2 + Q.WIDTHS[1] * (q2 - q1) / 0.6745)
+    return out
+
+
+def test_bands_come_from_the_corpus_and_decide(spark):
+    clean = [prose(1000 + k, 100 + k % 40) for k in range(300)]
+    marked = [" ".join(w + "$$$%%%###&&&"[3 * (j % 4) :][:3] for j, w in enumerate(prose(2000 + k, 110).split())) for k in range(20)]
+    rows = {r.doc_id: r for r in Q.assess(frame(spark, clean + marked)).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert sum(rows[k].kept for k in range(300)) >= 297
+    assert sum(rows[300 + k].verdict == "repetitive" for k in range(20)) >= 18
+    # the same texts without a corpus around them pass the fixed limits
+    assert all(r.kept for r in Q.assess(frame(spark, marked)).collect())
+    want = plain_limits(clean + marked)
+    assert want
+    for k, t in enumerate(clean + marked):
+        band = int(np.floor(np.log2(len(t.encode())) * Q.BANDS_PER_OCTAVE))
+        if band in want:
+            assert abs(rows[k].largest_ratio - want[band][1]) < 0.08 and abs(rows[k].least_ratio - max(want[band][0], 1.2 if band < 20 else 1.4)) < 0.12
+
+
+def test_bad_parts_of_long_texts_count(spark):
+    r = random.Random(5)
+    noise = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(5000))
+    noise = " ".join(noise[k : k + 70] for k in range(0, 5000, 70))
+    said = {r.doc_id: r for r in Q.assess(frame(spark, [prose(5, 900) + " " + noise, prose(5, 1500), prose(7, 320) + " zz" * 450])).collect()}
+    assert said[0].verdict == "bad_chunks" and said[0].bad_chunk_share > 0.25 and said[1].verdict == "ok" and said[2].bad_chunk_share > 0
+
+
+def test_quantiles_of_counts():
+    values, counts = np.arange(1, 6) * Q.STEP, np.array([10, 20, 40, 20, 10])
+    assert abs(Q._quantile(values, counts, 0.5) - (3 * Q.STEP + Q.STEP / 2)) < 1e-9

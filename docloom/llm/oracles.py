@@ -57,11 +57,12 @@ g AS (SELECT rid, a, a + length(val) AS b, val, CASE WHEN kind < 3 THEN kind WHE
 h AS (SELECT *, CASE WHEN kind = 0 THEN regexp_extract(val, '{_q(secrets.ASSIGN)}', 2) ELSE val END AS secret FROM g WHERE kind IN (1, 2, 3) OR (kind = 0 AND length(regexp_extract(val, '{_q(secrets.ASSIGN)}', 2)) >= 8)
    OR (kind > 3 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]'))),
 apart AS (SELECT * FROM h WHERE kind < 3 UNION ALL SELECT * FROM h x WHERE kind >= 3 AND NOT EXISTS (SELECT 1 FROM h y WHERE y.rid = x.rid AND y.kind < 3 AND x.a < y.b AND y.a < x.b)),
-own AS (SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS owners FROM apart JOIN d USING (rid) GROUP BY secret),
-k AS (SELECT rid, kind, list_extract(['{"', '".join(secrets.KINDS)}'], kind + 1) || ':' || a || ':' || b AS said, a FROM apart JOIN own USING (secret)
-   WHERE kind < 3 OR (owners < {secrets.COPIED_OWNERS} AND (kind = 3 OR len(list_distinct(string_split(secret, ''))) >= {secrets.DISTINCT_CHARS}))),
-t AS (SELECT rid, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, string_agg(CASE WHEN kind < 3 THEN said END, ',' ORDER BY a, kind) AS base, string_agg(said, ',' ORDER BY a, kind) AS spans FROM k GROUP BY rid)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (rid)"""
+own AS (SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (coalesce(source, chr(0)), doc_id)) AS repositories FROM apart JOIN d USING (rid) GROUP BY secret),
+k AS (SELECT rid, kind, list_extract(['{"', '".join(secrets.KINDS)}'], kind + 1) || ':' || a || ':' || b AS said, a, b, owners, repositories,
+   CASE WHEN owners >= 3 OR repositories >= 10 THEN 'copied' WHEN kind = 3 OR len(list_distinct(string_split(secret, ''))) >= 8 THEN 'live' ELSE 'weak' END AS verdict FROM apart JOIN own USING (secret)),
+t AS (SELECT rid, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, string_agg(CASE WHEN kind < 3 THEN said END, ',' ORDER BY a, kind) AS base,
+   string_agg(CASE WHEN kind < 3 OR verdict = 'live' THEN said END, ',' ORDER BY a, kind) AS spans, string_agg(said || ':' || verdict || ':' || owners || ':' || repositories, ',' ORDER BY a, kind, b) AS verdicts FROM k GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts FROM d LEFT JOIN t USING (rid)"""
 
 ORACLES = {
     "op1_chat_formatting": CHATS,

@@ -2,16 +2,17 @@
 
 Candidates are found by pattern in every whole text. Their hashes are then
 counted over the corpus by distinct documents (repositories) and distinct
-sources (owners): a value that many owners carry is a copied example, a value
-that stays with few owners and looks random is a live credential.
+sources (owners): a value that many owners or many repositories carry is a
+copied example, one that stays with few of them and looks random is a live
+credential.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pick, written
+from .shared import pick, running, with_keys, written
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kinds in their order; a failing shorter run of the second and third kind holds no longer one, so the length is part of the pattern.
@@ -23,8 +24,8 @@ MORE = (
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
     r"|[A-Za-z0-9+/_-]{24,}"
 )
-#: A value with this many owners or more is a copied example.
-COPIED_OWNERS = 3
+#: A value with this many owners, or in this many repositories, or more is a copied example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 10
 #: Distinct characters that a live-looking value has at least.
 DISTINCT_CHARS = 8
 
@@ -34,21 +35,14 @@ def _spans(text: Column, pattern: str, found: Column, kind: Column | int) -> Col
     pieces = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value")))
     kind_of = kind if callable(kind) else lambda value: F.lit(kind)
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-        F.array_append(
-            acc["out"],
-            F.struct(
-                (acc["at"] + x["gap"]).alias("start"),
-                kind_of(x["value"]).cast("int").alias("kind"),
-                (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"),
-                x["value"].alias("value"),
-            ),
-        ).alias("out"),
-    )
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, spans).otherwise(empty)
+    of_type = "struct<start:int,kind:int,end:int,value:string>"
+
+    def span(at: Column, x: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), kind_of(x["value"]).cast("int").alias("kind"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
+
+    spans = running(pairs, span, lambda at, x: at + x["gap"] + F.length(x["value"]), of_type)
+    return F.when(F.size(found) > 0, spans).otherwise(F.expr(f"cast(array() as array<{of_type}>)"))
 
 
 def _more_kind(value: Column) -> Column:
@@ -87,16 +81,26 @@ def candidates(docs: DataFrame) -> DataFrame:
             lambda s: (s["kind"] == 3) | (s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")),
         ),
     )
-    spans = F.concat(F.filter(spans, lambda s: s["kind"] < 3), _apart(spans))
     out = matched.select("doc_id", F.xxhash64("text").alias("text_hash"), "owner", F.explode(spans).alias("s")).select("doc_id", "text_hash", "owner", "s.*")
+    out = _apart(out)
     value = F.when(F.col("kind") == 0, F.regexp_extract("value", ASSIGN, 2)).otherwise(F.col("value"))
     return out.withColumn("value", value)
 
 
-def _apart(spans: Column) -> Column:
-    """The spans of added kinds that touch no span of a base kind."""
-    base = F.filter(spans, lambda s: s["kind"] < 3)
-    return F.filter(spans, lambda s: (s["kind"] >= 3) & ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+def _apart(spans: DataFrame) -> DataFrame:
+    """Without the spans of added kinds that overlap one of a base kind in the same text.
+
+    A base span overlaps another one if it starts no later and ends after that
+    one's start, or starts later but before its end.
+    """
+    own = Window.partitionBy("doc_id", "text_hash").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("doc_id", "text_hash").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    base = lambda name: F.when(F.col("kind") < 3, F.col(name))
+    upto = F.max(base("end")).over(own)
+    after = F.min(base("start")).over(back)
+    marked = spans.withColumns({"upto": upto, "after": after})
+    touched = (F.coalesce(F.col("upto"), F.lit(-1)) > F.col("start")) | (F.coalesce(F.col("after"), F.col("end")) < F.col("end"))
+    return marked.where((F.col("kind") < 3) | ~touched).drop("upto", "after")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -108,8 +112,9 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per candidate: doc_id, text_hash, kind, start, end (code points, end exclusive), value_hash, n_owners, n_repositories, verdict.
 
-    verdict is ``copied`` where COPIED_OWNERS or more owners carry the value,
-    else ``live`` where it looks random, else ``weak``. Null texts have no
+    verdict is ``copied`` where COPIED_OWNERS or more owners, or
+    COPIED_REPOSITORIES or more repositories, carry the value, else ``live``
+    where it looks random, else ``weak``. Null texts have no
     candidates; a null source counts as one owner; repeated rows give repeated
     candidates; empty tables give empty results.
     """
@@ -117,7 +122,7 @@ def scan(docs: DataFrame) -> DataFrame:
     found = found.withColumn("looks_random", (F.col("kind") == 3) | (F.size(F.array_distinct(F.split("value", ""))) >= DISTINCT_CHARS))
     found = written(found.drop("value"), "candidates")
     counts = ownership(found)
-    verdict = F.when(F.col("n_owners") >= COPIED_OWNERS, "copied").when(F.col("looks_random"), "live").otherwise("weak")
+    verdict = F.when((F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES), "copied").when(F.col("looks_random"), "live").otherwise("weak")
     names = F.array(*[F.lit(k) for k in KINDS])
     return found.join(counts, "value_hash").select(
         "doc_id", "text_hash", F.get(names, F.col("kind")).alias("kind"), F.col("kind").alias("kind_no"), "start", "end", "value_hash", "n_owners", "n_repositories", verdict.alias("verdict")
@@ -125,41 +130,52 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _per_document(found: DataFrame) -> DataFrame:
-    spans = F.sort_array(F.collect_set(F.struct("start", "kind_no", "end", "kind")))
-    return found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(spans.alias("__spans"))
-
-
-def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with ``__spans``, the sorted spans of each row's own id and text (null where there are none)."""
-    own = _per_document(found)
-    return docs.join(own, (F.xxhash64(docs["text"]) == own["__hash"]) & docs["doc_id"].eqNullSafe(own["__id"]), "left").drop("__id", "__hash")
+    """(span_id, span_hash, spans): the sorted spans of each id and text."""
+    spans = F.sort_array(F.collect_set(F.struct("start", "kind_no", "end", "kind", "verdict", "n_owners", "n_repositories")))
+    return found.groupBy(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash")).agg(spans.alias("spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, counts and hash of the base spans, and all spans (base ones and added live ones) as text."""
-    found = scan(docs).where("kind_no < 3 or verdict = 'live'")
+    """Per row of ``docs``: doc_id, counts and hash of the base spans, all spans (base ones and added live ones), and verdicts, as text.
+
+    verdicts has every candidate, also those that the ownership of their value
+    keeps out of spans, each with its verdict, owners and repositories.
+    """
     # the hash stands in for the text, which no shuffle has to carry
-    rows, own = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash")), _per_document(found)
-    slim = rows.join(own, (rows["text_hash"] == own["__hash"]) & rows["doc_id"].eqNullSafe(own["__id"]), "left")
-    slim = slim.select("doc_id", F.coalesce("__spans", F.expr("array()")).alias("spans"))
-    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    base = F.filter("spans", lambda s: s["kind_no"] < 3)
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind_no"] == k)).cast("long")
+    rows, own = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash")), _per_document(scan(docs))
+    slim = rows.join(own, (rows["text_hash"] == own["span_hash"]) & rows["doc_id"].eqNullSafe(own["span_id"]), "left")
+    slim = slim.select("doc_id", F.coalesce("spans", F.expr("array()")).alias("all"))
+    told = lambda spans, *names: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", *[s[n] for n in names])), ",")
+    place = ("kind", "start", "end")
+    base = F.filter("all", lambda s: s["kind_no"] < 3)
+    count = lambda k: F.size(F.filter("all", lambda s: s["kind_no"] == k)).cast("long")
     return slim.select(
         "doc_id",
         *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)],
-        F.sha2(said(base), 256).alias("base_sha256"),
-        said(F.col("spans")).alias("spans"),
+        F.sha2(told(base, *place), 256).alias("base_sha256"),
+        told(F.filter("all", lambda s: (s["kind_no"] < 3) | (s["verdict"] == "live")), *place).alias("spans"),
+        told(F.col("all"), *place, "verdict", "n_owners", "n_repositories").alias("verdicts"),
     )
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every live credential replaced by ``mark``; copied examples and weak values stay."""
-    live = with_spans(docs, scan(docs).where("verdict = 'live'"))
-    step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
+    """``docs`` with every live credential replaced by ``mark``; copied examples and weak values stay.
+
+    Overlapping spans are blanked as one. Null and empty texts stay as they are,
+    repeated rows are redacted alike, an empty table gives an empty one; other
+    columns, whatever their names, pass through.
+    """
+    live = _per_document(scan(docs).where("verdict = 'live'"))
+    keyed, (own_id, own_hash) = with_keys(docs, F.col("doc_id"), F.xxhash64("text"))
+    joined = keyed.join(live, (keyed[own_hash] == live["span_hash"]) & keyed[own_id].eqNullSafe(live["span_id"]), "left")
+    text, spans = docs["text"], live["spans"]
+    # the text before each span that does not start under an earlier one, then the mark
+    pieces = running(
+        spans,
+        lambda upto, s: F.when(s["start"] < upto, F.lit("")).otherwise(F.concat(F.substring(text, upto + 1, s["start"] - upto), F.lit(mark))),
+        lambda upto, s: F.greatest(upto, s["end"]),
+        "string",
     )
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    cut = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    text = F.when(F.col("__spans").isNotNull(), cut).otherwise(F.col("text"))
-    return live.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    rest = F.substring(text, F.array_max(F.transform(spans, lambda t: t["end"])) + 1, F.length(text))
+    cut = F.when(spans.isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
+    return joined.select(*[cut.alias(c) if c == "text" else keyed[c] for c in docs.columns])

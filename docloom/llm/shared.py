@@ -117,6 +117,25 @@ def with_keys(df: DataFrame, *keys: Column) -> tuple[DataFrame, list[str]]:
     return df.withColumns(dict(zip(names, keys, strict=True))), names
 
 
+def running(items: Column, element: Callable, advance: Callable, of_type: str) -> Column:
+    """Array of ``element(at, x)`` for each x of ``items``; ``at`` starts at 0 and becomes ``advance(at, x)``.
+
+    Elements are gathered in blocks, so that a very long array is not copied for each of them.
+    """
+    block = 256
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{of_type}>>)").alias("blocks"), F.expr(f"cast(array() as array<{of_type}>)").alias("tail"))
+
+    def step(acc: Column, x: Column) -> Column:
+        full, one = F.size(acc["tail"]) >= block, element(acc["at"], x)
+        return F.struct(
+            advance(acc["at"], x).cast("int").alias("at"),
+            F.when(full, F.array_append(acc["blocks"], acc["tail"])).otherwise(acc["blocks"]).alias("blocks"),
+            F.when(full, F.array(one)).otherwise(F.array_append(acc["tail"], one)).alias("tail"),
+        )
+
+    return F.aggregate(items, start, step, lambda acc: F.flatten(F.array_append(acc["blocks"], acc["tail"])))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -1,3 +1,4 @@
+import random
 import re
 
 from docloom.llm import secrets as S
@@ -43,6 +44,35 @@ def test_ownership_separates_copied_examples_from_live_values(spark):
     assert out[6] == "x [secret]" and out[8] == "key [secret]" and shared in out[0] and out[7] == "token=aaaaaaaaaa"
 
 
+def test_values_in_many_repositories_of_one_owner_are_copied(spark):
+    key = "k3Yq8Zr72LmW0xTyB4nV6pQs"
+    docs = frame(spark, [f"{prose(k, 8)} {key} end" for k in range(S.COPIED_REPOSITORIES)] + ["only here n0Tq8Zr72LmW0xTyB4nV6pQ1 end"], source="one")
+    out = {r.doc_id: r for r in S.digest(docs).collect()}
+    assert out[0].spans == "" and out[0].verdicts.endswith(f":copied:1:{S.COPIED_REPOSITORIES}")
+    n = S.COPIED_REPOSITORIES
+    assert out[n].spans == "owned:10:34" and out[n].verdicts == "owned:10:34:live:1:1"
+    assert [r.doc_id for r in S.redact(docs).collect() if "[secret]" in r.text] == [n]
+
+
+def test_added_spans_apart_from_base_ones_and_very_many_spans(spark):
+    r = random.Random(7)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(700)]
+    more = ["".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(30)) + "7q" for _ in range(700)]
+    text = " ".join(f"{a} {b}" for a, b in zip(hexes, more)) + f" x{hexes[0]}TAIL0"
+    row = S.digest(frame(spark, [text])).first()
+    spans = [tuple(x.split(":")) for x in row.spans.split(",")]
+    assert row.n_hex == 701 and sum(k == "owned" for k, *_ in spans) == 700
+    assert {text[int(a) : int(b)] for k, a, b in spans if k == "owned"} == set(more)
+    assert S.redact(frame(spark, [text])).first().text.count("[secret]") == 1401
+
+
+def test_redact_with_clashing_names_and_nulls(spark):
+    docs = frame(spark, [None, "", "é token=q8Zr72LmW0xTy b", "token=q8Zr72LmW0xTz"]).withColumnRenamed("node", "key_0").withColumnRenamed("key", "__spans").withColumnRenamed("n", "span_id")
+    out = S.redact(docs)
+    assert out.columns == docs.columns
+    assert [r.text for r in out.orderBy("doc_id").collect()] == [None, "", "é [secret] b", "[secret]"]
+
+
 def test_repeated_rows_empty_table_and_columns(spark):
     docs = frame(spark, [(1, "token=abcd1234efgh"), (1, "token=abcd1234efgh"), (None, "token=abcd1234efgh"), (2, None)])
     assert [r.n_assign for r in S.digest(docs).orderBy("doc_id").collect()] == [1, 1, 1, 0]

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import running
+
 OPEN, MIDDLE, CLOSE = '<turn role="', '">\n', "\n</turn>\n"
 
 
@@ -31,7 +33,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, seq, role, text): the final messages of logs with conv_id, seq, op, msg_id, role and text.
 
     ``message``, ``edit`` and ``regenerate`` events set a message's text,
-    ``delta`` events append to it, ``delete`` removes the message. Events act in
+    ``delta`` events append to it, ``delete`` removes the message until it is set
+    again. Events act in
     the order of seq (ties: by op, then text). A message stands where its first
     event stood and has its first role. Rows without a msg_id are whole messages
     of their own, each of them, also where rows repeat. Null text is empty.
@@ -71,18 +74,16 @@ def render(messages: DataFrame, learn_role: str = "assistant") -> DataFrame:
         ),
     )
     parted = grouped.select("conv_id", parts.alias("parts"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["head"])
-        end = begin + F.length(p["body"])
-        spans = F.when(p["learn"], F.array_append(acc["spans"], F.struct(begin.alias("start"), end.alias("end")))).otherwise(acc["spans"])
-        return F.struct((end + len(CLOSE)).alias("at"), spans.alias("spans"))
-
+    spans = running(
+        F.col("parts"),
+        lambda at, p: F.struct((at + F.length(p["head"])).alias("start"), (at + F.length(p["head"]) + F.length(p["body"])).alias("end"), p["learn"].alias("learn")),
+        lambda at, p: at + F.length(p["head"]) + F.length(p["body"]) + len(CLOSE),
+        "struct<start:int,end:int,learn:boolean>",
+    )
     return parted.select(
         "conv_id",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "").alias("formatted"),
-        F.aggregate("parts", start, step, lambda acc: acc["spans"]).alias("loss_spans"),
+        F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["end"])).alias("loss_spans"),
     )
 
 
@@ -106,10 +107,39 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as an event log of whole messages."""
-    return conversations.select(
-        "conv_id", F.col("turn").alias("seq"), F.lit("message").alias("op"), F.lit(None).cast("long").alias("msg_id"), "role", "text"
-    )
+    """The event log that leads to the given rows (conv_id, turn, role, text), each of them one message.
+
+    By a hash of its turn and text a message came whole, streamed as deltas, as a
+    draft that an edit replaced, or as a streamed draft that was regenerated and
+    streamed again, after which a message of its own was written and deleted.
+    Events stand in no order; seq is (turn, step). Repeated rows are messages of
+    their own, a null turn comes first, null text is empty.
+    """
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("id"))
+    size = F.greatest(F.ceil(F.length("text") / 4), F.lit(1)).cast("int")
+    piece = lambda k: F.substring("text", size * k + 1, size)
+    nobody = F.lit(None).cast("string")
+
+    def event(step: int, op: str, text: Column, role: Column = nobody, own: bool = True) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(op).alias("op"), (F.col("id") if own else -F.col("id") - 1).alias("msg_id"), role.alias("role"), text.alias("text"))
+
+    role, text, draft = F.col("role"), F.col("text"), F.concat(F.lit("draft "), F.reverse("text"))
+    streamed = lambda first, op, role=nobody: [event(first, op, piece(0), role), *[event(first + k, "delta", piece(k)) for k in (1, 2, 3)]]
+    ways = [
+        [event(0, "message", text, role)],
+        streamed(0, "delta", role),
+        [event(0, "message", draft, role), event(1, "edit", text)],
+        [
+            event(0, "delta", draft, role), event(1, "delta", piece(0)), *streamed(2, "regenerate"),
+            event(6, "message", draft, role, own=False), event(7, "delta", text, own=False), event(8, "delete", F.lit(""), own=False),
+        ],
+    ]
+    way = F.pmod(F.xxhash64("turn", "text"), F.lit(len(ways)))
+    log = F.when(way == 0, F.array(*ways[0]))
+    for k in (1, 2, 3):
+        log = log.when(way == k, F.array(*reversed(ways[k])))
+    told = rows.select("conv_id", "turn", F.explode(log).alias("e"))
+    return told.select("conv_id", F.struct("turn", "e.step").alias("seq"), "e.op", "e.msg_id", "e.role", "e.text")
 
 
 def digest(formatted: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from docloom.llm import chat_format as C
 
 from .helpers import sha
@@ -43,6 +45,48 @@ def test_deltas_edits_and_regenerations_fold(spark):
     assert out.loss_text == "second"
 
 
+def fold(events):
+    """Messages of a log, event by event."""
+    messages, order = {}, []
+    for k, (conv, seq, op, msg, role, text) in enumerate(sorted(events, key=lambda e: (e[1], e[2], e[5] or ""))):
+        key = (conv, msg) if msg is not None else (conv, "own", k)
+        if key not in messages:
+            messages[key] = {"conv": conv, "seq": seq, "role": None, "text": "", "live": True}
+            order.append(key)
+        m = messages[key]
+        m["role"] = role if m["role"] is None else m["role"]
+        m["text"] = m["text"] + (text or "") if op == "delta" and m["live"] else ("" if op == "delete" else text or "")
+        m["live"] = op != "delete" and (op != "delta" or m["live"])
+    return [messages[k] for k in order if messages[k]["live"]]
+
+
+def test_random_logs_match_a_plain_fold(spark):
+    r = random.Random(11)
+    events = []
+    for conv in range(12):
+        for seq in r.sample(range(1000), r.randint(1, 60)):
+            op = r.choice(["message", "delta", "delta", "delta", "edit", "regenerate", "delete"])
+            events.append((conv, seq, op, r.choice([None, 1, 2, 3, 4, 5]) if op == "message" else r.randint(1, 5), r.choice(["user", "assistant", None]), r.choice(["", "a<b", "&amp;", 'q"', "x\ny", None])))
+    df = spark.createDataFrame(events, "conv_id long, seq long, op string, msg_id long, role string, text string").repartition(5)
+    want = {}
+    for m in sorted(fold(events), key=lambda m: (m["conv"], m["seq"])):
+        want.setdefault(m["conv"], []).append((m["role"] or "", m["text"]))
+    got = {row.conv_id: [(t.role, t.text) for t in row.turns] for row in C.read_back(C.format_chats(df)).collect()}
+    assert got == want
+
+
+def test_the_derived_log_needs_its_fold(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t} " + "é" * (t % 9)) for c in range(6) for t in range(20)]
+    log = C.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.op for r in log.select("op").distinct().collect()} == {"message", "delta", "edit", "regenerate", "delete"}
+    assert log.count() > 2 * len(rows)
+    plain = {r.conv_id: r for r in C.digest(C.format_chats(log)).collect()}
+    for c in range(6):
+        assert plain[c].turns_sha256 == sha("".join(f"{role}\n{text}\n" for conv, _, role, text in rows if conv == c))
+    plan = C.digest(C.format_chats(log))._jdf.queryExecution().optimizedPlan().toString()
+    assert "log" in plan and plan.count("Aggregate") >= 2
+
+
 def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     plan = C.digest(C.format_chats(C.events_of(df)))._jdf.queryExecution().executedPlan().toString()

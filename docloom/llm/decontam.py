@@ -12,15 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, pick
+from .shared import lower_ascii, pick, with_keys, written
 
 WINDOW = 13
 #: ASCII that is neither letter nor digit ends a word; everything else is part of one.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK = 1024
-#: Benchmark characters up to which its anchors are broadcast; beyond it the probe becomes a shuffled join.
-BROADCAST_CHARS = 64_000_000
+#: Bytes of anchors, with the words around them, up to which these are broadcast; beyond it the probe becomes a shuffled join.
+BROADCAST_BYTES = 128_000_000
 
 
 def _split(text: Column) -> Column:
@@ -64,6 +64,12 @@ def _run(ours: Column, theirs: Column) -> Column:
     return F.when(differs > 0, differs - 1).otherwise(F.greatest(F.size(ours), F.size(theirs)))
 
 
+def _bytes(probes: DataFrame) -> int:
+    """About what the anchors take in memory: their characters, and a header for each word and row."""
+    words = F.concat(F.array("key"), "left", "right")
+    return probes.agg(F.sum(F.octet_length(F.array_join(words, "")) + 24 * F.size(words) + 100).alias("n")).first()["n"] or 0
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, spans, items) of the documents that hold a window of an item.
 
@@ -72,10 +78,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     id and text are reported once; an empty benchmark hits nothing.
     """
     reach = window - 1
-    size = benchmark.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     probes = anchors(benchmark, window)
-    if size <= BROADCAST_CHARS:
-        probes = F.broadcast(probes)
     texts = pick(docs, "doc_id", "text").where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     blocks = (
         _with_words(texts, "doc_id", "text_hash")
@@ -85,25 +88,28 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             "text_hash",
             "at",
             F.expr(f"slice(words, greatest(at - {reach}, 0) + 1, least(at, {reach}) + {BLOCK + reach})").alias("block"),
+            (F.col("at") - F.least("at", F.lit(reach))).alias("base"),
         )
     )
-    placed = blocks.select(
-        "doc_id", "text_hash", "block", (F.col("at") - F.least("at", F.lit(reach))).alias("base"), "at", F.posexplode("block").alias("i", "word")
-    ).where(f"base + i >= at and base + i < at + {BLOCK}")
-    probed = placed.join(
-        probes,
-        (F.col("word") == F.col("key")) & (F.col("next_key").isNull() | (F.get("block", F.col("i") + 1) == F.col("next_key"))),
+    placed = blocks.select("doc_id", "text_hash", "block", "base", "at", F.posexplode("block").alias("i", "word")).where(
+        f"base + i >= at and base + i < at + {BLOCK}"
     )
     ours_left = F.reverse(F.expr(f"slice(block, greatest(i - {reach}, 0) + 1, least(i, {reach}))"))
     ours_right = F.expr(f"slice(block, i + 2, {reach})")
+    following = F.get("block", F.col("i") + 1)
+    if _bytes(probes) <= BROADCAST_BYTES:
+        probed = placed.join(F.broadcast(probes), (F.col("word") == F.col("key")) & (F.col("next_key").isNull() | (following == F.col("next_key"))))
+        probed = probed.select("doc_id", "text_hash", "item_id", "need", "base", "i", ours_left.alias("own_left"), ours_right.alias("own_right"), "left", "right")
+    else:
+        probed = _shuffled(placed, blocks, written(probes, "anchors"), following, ours_left, ours_right)
     runs = probed.select(
         "doc_id",
         "text_hash",
         "item_id",
         "need",
         (F.col("base") + F.col("i")).alias("p"),
-        _run(ours_left, F.col("left")).alias("before"),
-        _run(ours_right, F.col("right")).alias("after"),
+        _run(F.col("own_left"), F.col("left")).alias("before"),
+        _run(F.col("own_right"), F.col("right")).alias("after"),
     )
     # Runs that are too short become null, which the collections leave out. As a filter this would move into the
     # join, whose probe of every word must stay plain compiled code.
@@ -116,6 +122,26 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+def _shuffled(placed: DataFrame, blocks: DataFrame, probes: DataFrame, following: Column, ours_left: Column, ours_right: Column) -> DataFrame:
+    """The probe for anchors that are too many to broadcast.
+
+    Only places and word pairs are shuffled to find hits; a hit then fetches its
+    block, and goes on with the words around it alone.
+    """
+    slim = placed.select("doc_id", "text_hash", "at", "base", "i", "word", following.alias("following"))
+    pairs = probes.where("next_key is not null").select("key", "next_key").distinct()
+    alone = probes.where("next_key is null").select("key").distinct()
+    hits = slim.join(pairs.hint("merge"), F.expr("word = key and following = next_key"), "left_semi")
+    hits = hits.unionByName(slim.join(alone.hint("merge"), F.expr("word = key"), "left_semi")).distinct()
+    own = blocks.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("at").alias("a"), "block")
+    fetched = hits.join(own.hint("merge"), F.expr("doc_id <=> d and text_hash = h and at = a")).distinct()
+    told = fetched.select("doc_id", "text_hash", "base", "i", "word", "following", ours_left.alias("own_left"), ours_right.alias("own_right"))
+    told = written(told, "hits")
+    two = told.join(probes.where("next_key is not null").hint("merge"), F.expr("word = key and following = next_key"))
+    one = told.join(probes.where("next_key is null").hint("merge"), F.expr("word = key"))
+    return two.unionByName(one).select("doc_id", "text_hash", "item_id", "need", "base", "i", "own_left", "own_right", "left", "right")
+
+
 def n_covered(spans: Column) -> Column:
     """Positions covered by sorted (first, last) spans."""
     start = F.struct(F.lit(-1).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
@@ -145,21 +171,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, action: str = "drop") -> DataFrame:
-    """``docs`` without contaminated documents (``drop``), or with the hit words of every document cut out (``cut``)."""
+    """``docs`` without contaminated documents (``drop``), or with the hit words of every document cut out (``cut``).
+
+    Rows go, or are cut, by id and text, repeated ones alike. Null texts stay; an
+    empty benchmark changes nothing, an empty table gives an empty one; other
+    columns, whatever their names, pass through.
+    """
     if action not in ("drop", "cut"):
         raise ValueError(f"unknown action {action!r}")
+    keyed, (own_id, own_hash) = with_keys(docs, F.col("doc_id"), F.xxhash64("text"))
     if action == "drop":
         found = contamination(docs, benchmark, window).where("contaminated")
-        gone = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-        return docs.join(gone, (F.xxhash64(docs["text"]) == gone["__hash"]) & docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
-    found = find_overlaps(docs, benchmark, window).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    joined = docs.join(found, (F.xxhash64(docs["text"]) == found["__hash"]) & docs["doc_id"].eqNullSafe(found["__id"]), "left")
+        gone = found.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+        return keyed.join(gone, (keyed[own_hash] == gone["gone_hash"]) & keyed[own_id].eqNullSafe(gone["gone_id"]), "left_anti").drop(own_id, own_hash)
+    found = find_overlaps(docs, benchmark, window).select(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"), "spans")
+    joined = keyed.join(found, (keyed[own_hash] == found["cut_hash"]) & keyed[own_id].eqNullSafe(found["cut_id"]), "left")
+    text, spans = docs["text"], found["spans"]
     # words and what lies between them, by turns
-    turns = F.regexp_extract_all("text", F.lit(rf"{WORD}|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    turns = F.regexp_extract_all(text, F.lit(rf"{WORD}|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     lead = F.when(F.get(turns, F.lit(0)).rlike(f"^{WORD}$"), 0).otherwise(1)
     kept = F.filter(
         turns,
-        lambda x, i: ~((F.pmod(i - lead, F.lit(2)) == 0) & F.exists("__spans", lambda s: ((i - lead) / 2 >= s["first"]) & ((i - lead) / 2 <= s["last"]))),
+        lambda x, i: ~((F.pmod(i - lead, F.lit(2)) == 0) & F.exists(spans, lambda s: ((i - lead) / 2 >= s["first"]) & ((i - lead) / 2 <= s["last"]))),
     )
-    cut = F.when(F.col("__spans").isNotNull(), F.array_join(kept, "")).otherwise(F.col("text"))
-    return joined.select(*[cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    cut = F.when(spans.isNotNull(), F.array_join(kept, "")).otherwise(text)
+    return joined.select(*[cut.alias(c) if c == "text" else keyed[c] for c in docs.columns])

@@ -50,9 +50,9 @@ def texts():
     ]
 
 
-@pytest.mark.parametrize("most", [D.BROADCAST_CHARS, -1])
+@pytest.mark.parametrize("most", [D.BROADCAST_BYTES, -1])
 def test_hits_match_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(D, "BROADCAST_CHARS", most)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", most)
     out = {r.doc_id: r for r in D.contamination(frame(spark, texts()), bench(spark)).collect()}
     for k, (n, hit, found, bad) in enumerate(brute(texts(), ITEMS)):
         r = out[k]
@@ -70,6 +70,15 @@ def test_drop_and_cut(spark):
         D.decontaminate(docs, bench(spark), action="other")
 
 
+def test_clashing_names_null_and_repeated_ids(spark):
+    docs = frame(spark, [(1, prose(2, 13)), (1, "other words"), (2, None), (2, prose(2, 13)), (3, "")])
+    docs = docs.withColumnRenamed("node", "__spans").withColumnRenamed("key", "key_0").withColumnRenamed("n", "gone_id")
+    left = D.decontaminate(docs, bench(spark))
+    assert left.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in left.collect()) == [(1, "other words"), (2, ""), (3, "")]
+    cut = D.decontaminate(docs, bench(spark), action="cut")
+    assert cut.columns == docs.columns and sorted((r.doc_id, " ".join(words(r.text))) for r in cut.collect()) == [(1, ""), (1, "other words"), (2, ""), (2, ""), (3, "")]
+
+
 def test_empty_tables_and_repeated_rows(spark):
     docs, none = frame(spark, [(1, prose(2, 13)), (1, prose(2, 13)), (1, "other"), (None, prose(2, 13))]), bench(spark).limit(0)
     out = D.contamination(docs, bench(spark)).collect()

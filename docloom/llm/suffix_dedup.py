@@ -36,6 +36,8 @@ from .shared import in_batches, pick, worker_state, written
 LENGTH, GRAM, STEP = 400, 40, 20
 #: Contexts with one half from which on they are divided by hubs, and symbols of a block of cores sorted together.
 MOST, BLOCK = 200, 20_000
+#: Anchors of one text, or contexts, whose cores are made at once.
+PART = 256
 
 _U = np.uint64
 
@@ -257,20 +259,20 @@ CORES = "core long, left binary, right binary, doc_id long, text_hash long, at l
 _CORE_NAMES = ["core", "left", "right", "doc_id", "text_hash", "at", "single", "side"]
 
 
-def _core_rows(data: np.ndarray, places: np.ndarray, lefts: np.ndarray, rights: np.ndarray, single: np.ndarray, salt: int, length: int, gram: int, step: int) -> tuple:
+def _core_rows(raw: bytes, total: np.ndarray, places: np.ndarray, lefts: np.ndarray, rights: np.ndarray, single: np.ndarray, salt: int, length: int, gram: int, step: int) -> tuple:
     """(core, left flank, right flank, begin, single) of the cores around anchors at ``places``, of windows left or right of these as flagged.
 
-    One core position stands once, as single if any of its anchors is.
+    ``total`` is the prefix hash of ``raw``. One core position stands once, as single if any of its anchors is.
     """
     half = (length - gram) // 2
     offsets = np.arange(0, 2 * half, step)
     wanted = np.where(offsets[None, :] >= half, lefts[:, None], rights[:, None]).ravel()
     begin = (places[:, None] - offsets[None, :]).ravel()
-    fits = wanted & (begin >= 0) & (begin + length - step <= len(data))
+    fits = wanted & (begin >= 0) & (begin + length - step <= len(raw))
     begin, owner = np.unique(begin[fits], return_inverse=True)
     flags = np.bincount(owner, np.repeat(single, len(offsets))[fits], len(begin)) > 0
-    ends, raw = begin + length - step, data.tobytes()
-    cores = _span_hash(_prefix_hash(data), begin, ends)
+    ends = begin + length - step
+    cores = _span_hash(total, begin, ends)
     if salt:
         cores = mix(cores ^ np.array([salt], np.int64).view(_U))
     return cores.view(np.int64), [raw[max(0, b - step) : b] for b in begin.tolist()], [raw[e : e + step] for e in ends.tolist()], begin, flags
@@ -284,32 +286,38 @@ def _cores(length: int, gram: int, step: int):
     """
     reach = length - gram
 
+    def table(columns: list, ids: list) -> pa.RecordBatch:
+        core, left, right, at, single, side = columns
+        n = len(at)
+        own = [pa.array(np.full(n, 0 if x is None else x, np.int64), mask=np.full(n, x is None)) for x in ids]
+        sides = pa.nulls(n, pa.bool_()) if side is None else pa.array(side)
+        return pa.RecordBatch.from_arrays([pa.array(core), pa.array(left, pa.binary()), pa.array(right, pa.binary()), *own, pa.array(at), pa.array(single), sides], names=_CORE_NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("suffix_dedup")
         for batch in batches:
-            spots = batch.column("spots").to_pylist()
-            for k, raw in enumerate(_unzipped(batch.column("zipped"))):
+            listed = batch.column("spots")
+            bounds, flat = listed.offsets.to_numpy(), listed.values
+            fields = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("at", "left", "right", "single")}
+            groups = {side: flat.field(f"{side}_group") for side in ("left", "right")}
+            for k in range(batch.num_rows):
                 ids = [batch.column(c)[k].as_py() for c in ("doc_id", "text_hash")]
-                of = lambda name: np.array([s[name] for s in spots[k]])  # noqa: B023, E731
-                core, left, right, begin, single = _core_rows(
-                    np.frombuffer(raw, np.uint8), of("at").astype(np.int64), of("left").astype(bool), of("right").astype(bool), of("single").astype(bool), 0, length, gram, step
-                )
-                rows = list(zip(core.tolist(), left, right, begin.tolist(), single.tolist(), [None] * len(begin), strict=True))
-                for x in spots[k]:
-                    for group, side in ((x["left_group"], True), (x["right_group"], False)):
-                        if group is not None:
-                            before = raw[max(0, x["at"] - reach) : x["at"]][::-1]
-                            rows.append((group, before, raw[x["at"] : x["at"] + length], x["at"], x["single"], side))
-                if rows:
-                    core, left, right, begin, single, side = zip(*rows, strict=True)
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(core, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array([ids[0]] * n, pa.int64()),
-                            pa.array([ids[1]] * n, pa.int64()), pa.array(begin, pa.int64()), pa.array(single, pa.bool_()), pa.array(side, pa.bool_()),
-                        ],
-                        names=_CORE_NAMES,
-                    )
+                raw = _unzipped(batch.column("zipped").slice(k, 1))[0]
+                total = _prefix_hash(np.frombuffer(raw, np.uint8))
+                # a long text's anchors come in parts; the solver drops cores that two parts list
+                for first in range(int(bounds[k]), int(bounds[k + 1]), PART):
+                    part = slice(first, min(first + PART, int(bounds[k + 1])))
+                    at, left, right, single = (fields[n][part] for n in ("at", "left", "right", "single"))
+                    columns = _core_rows(raw, total, at, left, right, single, 0, length, gram, step)
+                    if len(columns[0]):
+                        yield table([*columns, None], ids)
+                    for name, side in (("left", True), ("right", False)):
+                        own = groups[name].slice(part.start, len(at))
+                        which = own.is_valid().to_numpy(zero_copy_only=False)
+                        if which.any():
+                            spots = at[which].tolist()
+                            before, after = [raw[max(0, a - reach) : a][::-1] for a in spots], [raw[a : a + length] for a in spots]
+                            yield table([own.drop_null().to_numpy(), before, after, at[which], single[which], np.full(len(spots), side)], ids)
 
     return run
 
@@ -319,12 +327,12 @@ def _context_cores(length: int, gram: int, step: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("suffix_dedup")
-        for batch in batches:
+        for batch in (b.slice(first, PART) for b in batches for first in range(0, b.num_rows, PART)):
             out: list[list] = [[] for _ in _CORE_NAMES]
             for group, before, after, doc_id, text_hash, at, single, side in zip(*[batch.column(c).to_pylist() for c in _CORE_NAMES], strict=True):
-                data = np.frombuffer(before[::-1] + after, np.uint8)
-                one = np.array([True])
-                core, left, right, begin, flags = _core_rows(data, np.array([len(before)]), one & side, one & (not side), one & single, group or 1, length, gram, step)
+                raw, one = before[::-1] + after, np.array([True])
+                total = _prefix_hash(np.frombuffer(raw, np.uint8))
+                core, left, right, begin, flags = _core_rows(raw, total, np.array([len(before)]), one & side, one & (not side), one & single, group or 1, length, gram, step)
                 begin += at - len(before)
                 n = len(begin)
                 for column, values in zip(out, (core.tolist(), left, right, [doc_id] * n, [text_hash] * n, begin.tolist(), flags.tolist(), [None] * n), strict=True):
@@ -350,9 +358,7 @@ def _against_hub(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("suffix_dedup")
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(first, 8 * PART) for b in batches for first in range(0, b.num_rows, 8 * PART)):
             left, right, hub_left, hub_right = (batch.column(c).to_pylist() for c in ("left", "right", "hub_left", "hub_right"))
             a, b = _agreement(left, hub_left, length), _agreement(right, hub_right, length)
             next_left = [x[n] if n < len(x) else -1 for x, n in zip(left, a.tolist(), strict=True)]

@@ -27,21 +27,21 @@ vs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_simila
 vr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM vs)"""
 
 
-def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+def keyword_scores(spark: SparkSession, sf_dir: str, **cut: float) -> DataFrame:
+    return R.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text", **cut)
 
 
-def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_scores(spark: SparkSession, sf_dir: str, **cut: float) -> DataFrame:
     """Every vector whose id is divisible by 50 against all others."""
     unit = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), S.l2_normalize(F.col("embedding")).alias("unit"))
     asked = unit.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("unit").alias("unit_q"))
-    return R.vector_scores(asked, unit)
+    return R.vector_scores(asked, unit, **cut)
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank, CASE WHEN rank <= 6 THEN 'SELECTED_BY_KEYWORD' ELSE 'FILTERED_BY_FINAL_TOP_K' END AS reason FROM kw WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword channel: the ten best documents of every benchmark item, with reasons."""
-    best = R.top_k(keyword_scores(spark, sf_dir), 10)
+    best = R.top_k(keyword_scores(spark, sf_dir, k=10), 10)
     reason = F.when(F.col("rank") <= 6, "SELECTED_BY_KEYWORD").otherwise("FILTERED_BY_FINAL_TOP_K")
     return best.select("query_id", "doc_id", "score", "rank", reason.alias("reason"))
 
@@ -49,19 +49,19 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BM25}, b AS (SELECT query_id, max(score) AS best FROM bm GROUP BY ALL) SELECT query_id, doc_id, score FROM bm JOIN b USING (query_id) WHERE score >= 0.25 * best")
 def keyword_relative_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword hits that reach a quarter of their query's best score."""
-    return R.relative_floor(keyword_scores(spark, sf_dir), 0.25)
+    return R.relative_floor(keyword_scores(spark, sf_dir, share=0.25), 0.25)
 
 
 @query(f"WITH {VECTOR} SELECT query_id, doc_id, score, rank FROM vr WHERE rank <= 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector channel: ten nearest by cosine."""
-    return R.top_k(vector_scores(spark, sf_dir), 10)
+    return R.top_k(vector_scores(spark, sf_dir, k=10), 10)
 
 
 @query(f"WITH {VECTOR} SELECT query_id, doc_id, score FROM vs WHERE score >= 0.35")
 def vector_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector hits at or above the similarity floor."""
-    return vector_scores(spark, sf_dir).where("score >= 0.35")
+    return vector_scores(spark, sf_dir, floor=0.35).where("score >= 0.35")
 
 
 @query(
@@ -75,8 +75,10 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted reciprocal-rank fusion of the vector channel with a label channel."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    same = e.join(asked, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"), F.lit(0.0).alias("score"))
-    return R.fuse({"vector": R.top_k(vector_scores(spark, sf_dir), 10), "keyword": R.top_k(same, 10)})
+    # the ten lowest ids of a label besides the query's own are among its eleven lowest, so no pairs of a class are listed
+    lead = e.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("place <= 11")
+    same = lead.join(asked, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"), F.lit(0.0).alias("score"))
+    return R.fuse({"vector": R.top_k(vector_scores(spark, sf_dir, k=10), 10), "keyword": R.top_k(same, 10)})
 
 
 @query(
@@ -87,7 +89,7 @@ FROM f LEFT JOIN (SELECT query_id, doc_id, final_rank FROM r) USING (query_id, d
 )
 def topk_cascade_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 candidates, 24 reranked, 6 selected; each with the reason for its fate."""
-    ranked = R.top_k(vector_scores(spark, sf_dir), 40).withColumn("rerank_score", F.col("score") * (1 + F.col("doc_id") % 3))
+    ranked = R.top_k(vector_scores(spark, sf_dir, k=40), 40).withColumn("rerank_score", F.col("score") * (1 + F.col("doc_id") % 3))
     return R.cascade(ranked, 40, 24, 6).select("query_id", "doc_id", "rank", "final_rank", "reason")
 
 
@@ -114,7 +116,7 @@ def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {VECTOR} SELECT query_id, doc_id // 10 AS parent_id, min(rank) AS best_rank, arg_min(doc_id, rank) AS doc_id, count(*) AS n_children FROM vr WHERE rank <= 40 GROUP BY query_id, doc_id // 10")
 def parent_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Child hits lifted to their parent blocks of ten."""
-    return R.elevate(R.top_k(vector_scores(spark, sf_dir), 40), F.floor(F.col("doc_id") / 10))
+    return R.elevate(R.top_k(vector_scores(spark, sf_dir, k=40), 40), F.floor(F.col("doc_id") / 10))
 
 
 @query(
@@ -123,11 +125,14 @@ SELECT g.query_id, count(*) AS n_relevant, count(h.doc_id) AS n_found, round(cou
 FROM g LEFT JOIN (SELECT * FROM vr WHERE rank <= 10) h ON h.query_id = g.query_id AND h.doc_id = g.doc_id GROUP BY ALL"""
 )
 def gold_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the ten nearest against vectors of the same label."""
+    """Recall of the ten nearest against vectors of the same label; how many those are is counted, not listed."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    gold = e.join(asked, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"))
-    return R.recall_at_k(R.top_k(vector_scores(spark, sf_dir), 10), gold, 10)
+    wanted = asked.join(e.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")), "label").where("n_relevant > 0")
+    hits = R.top_k(vector_scores(spark, sf_dir, k=10), 10).join(e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("found_label")), "doc_id")
+    found = hits.join(asked, "query_id").where("label = found_label").groupBy("query_id").agg(F.count("*").alias("n_found"))
+    out = wanted.join(found, "query_id", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
+    return out.select("query_id", "n_relevant", "n_found", F.round(F.col("n_found") / F.col("n_relevant"), 6).alias("recall"))
 
 
 @query(
@@ -139,13 +144,14 @@ def empty_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether questions outside the scope get nothing; scope is applied before recall, not to its results."""
     cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5 == 0).alias("empty_scope"))
     scoped = table(spark, sf_dir, "benchmark").where("item_id % 5 <> 0")
-    hits = R.top_k(R.bm25(scoped, table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text"), 6).groupBy("query_id").agg(F.count("*").alias("n_returned"))
+    hits = R.top_k(R.bm25(scoped, table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text", k=6), 6).groupBy("query_id").agg(F.count("*").alias("n_returned"))
     out = cases.join(hits, "query_id", "left").withColumn("n_returned", F.coalesce("n_returned", F.lit(0)))
     return out.select("query_id", "empty_scope", "n_returned", ((F.col("n_returned") == 0) == F.col("empty_scope")).alias("correct"))
 
 
 @query(
-    f"""SELECT vec_id, round(sqrt(list_inner_product({UNIT}, {UNIT})), 4) AS length, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 1.0 END AS unit_length FROM embeddings"""
+    f"""SELECT vec_id, round(n, 4) AS length, round(sqrt(list_sum(list_transform(u, lambda x: (x / n) * (x / n)))), 4) AS unit_length
+FROM (SELECT vec_id, {UNIT} AS u, sqrt(list_inner_product({UNIT}, {UNIT})) AS n FROM embeddings)"""
 )
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths before and after normalisation."""

@@ -173,7 +173,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH t AS (SELECT source, doc_id, {TERMS.format('left(text, 500)')} AS terms FROM documents),
+    f"""WITH t AS (SELECT source, doc_id, {TERMS.format('text')} AS terms FROM documents),
 e AS (SELECT source, doc_id, unnest(terms) AS keyword FROM t),
 g AS (SELECT source, keyword, count(*) AS n, min(doc_id) AS first_doc FROM e GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first_doc, keyword) AS place FROM g)
@@ -182,7 +182,7 @@ SELECT source, keyword, n, CAST(place AS INT) AS place FROM r WHERE place <= 12"
 def keyword_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve keywords that most texts of a source share; counts are aggregated before ranking."""
     docs = table(spark, sf_dir, "documents")
-    terms = docs.select("source", "doc_id", F.explode(T.extract_terms(F.left("text", F.lit(500)))).alias("keyword"))
+    terms = docs.select("source", "doc_id", F.explode(T.extract_terms(F.col("text"))).alias("keyword"))
     counted = terms.groupBy("source", "keyword").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     order = Window.partitionBy("source").orderBy(F.desc("n"), "first_doc", "keyword")
     return counted.withColumn("place", F.row_number().over(order)).where("place <= 12").select("source", "keyword", "n", "place")
@@ -223,10 +223,22 @@ t AS (SELECT conv_id, turn, {TOKENS.format('text')} AS a, {TOKENS.format('contex
 SELECT conv_id, turn, round(CASE WHEN len(a) = 0 THEN (CASE WHEN len(b) = 0 THEN 1.0 ELSE 0.0 END) ELSE len(list_filter(a, lambda x: list_contains(b, x))) * 1.0 / len(a) END, 6) AS score FROM t"""
 )
 def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each reply's tokens that its conversation held before."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    c = table(spark, sf_dir, "conversations").withColumn("context", F.array_join(F.collect_list("text").over(w), "\n"))
-    return c.where("role = 'assistant'").select("conv_id", "turn", F.round(T.lexical_faithfulness(F.col("text"), F.col("context")), 6).alias("score"))
+    """Share of each reply's tokens that its conversation held before.
+
+    A token was held before if its first turn in the conversation is an earlier
+    one: one minimum for each conversation and token, joined by both, so that a
+    long conversation is many small groups.
+    """
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.eval_tokens(F.col("text")).alias("tokens"))
+    each = c.select("conv_id", "turn", "role", F.explode("tokens").alias("token"))
+    first = each.groupBy("conv_id", "token").agg(F.min("turn").alias("first_turn"))
+    own = each.where("role = 'assistant'").groupBy("conv_id", "turn", "token").agg(F.count("*").alias("n"))
+    held = own.join(first, ["conv_id", "token"]).groupBy("conv_id", "turn").agg(F.sum(F.when(F.col("first_turn") < F.col("turn"), F.col("n")).otherwise(0)).alias("held"))
+    begun = c.where(F.size("tokens") > 0).groupBy("conv_id").agg(F.min("turn").alias("begun"))
+    replies = c.where("role = 'assistant'").select("conv_id", "turn", F.size("tokens").alias("n_tokens"))
+    out = replies.join(held, ["conv_id", "turn"], "left").join(begun, "conv_id", "left")
+    empty = F.when(F.coalesce(F.col("begun") < F.col("turn"), F.lit(False)), 0.0).otherwise(1.0)
+    return out.select("conv_id", "turn", F.round(F.when(F.col("n_tokens") == 0, empty).otherwise(F.col("held") / F.col("n_tokens")), 6).alias("score"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,16 @@ _own_dir: dict[str, str] = {}
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names, which ends its lineage there."""
+    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names, which ends its lineage there.
+
+    Without that setting a folder of this machine serves, which only a session
+    that runs on it alone may use.
+    """
     spark: SparkSession = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _own_dir.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="docloom-")
         _own_dir[app] = folder

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import blocks as B
 from docloom.plans.catalogue import query
-from docloom.plans.text_queries import BLOCKS, blocks
+from docloom.plans.text_queries import BLOCKS, STRIP, blocks
 from docloom.sources.tables import table
 from docloom.streaming.events import latest_trace
 
@@ -25,21 +25,20 @@ def parse_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id, 1 AS table_id, i // 2 AS row_no, i % 2 AS column_no, cell FROM (SELECT doc_id, unnest(range(0, 4)) AS i, [substr(text, 1, 12), substr(text, 40, 9), 'no such cell', substr(text, 90, 200)] AS cs FROM documents WHERE length(text) > 300),
- LATERAL (SELECT cs[i + 1] AS cell)),
-f AS (SELECT doc_id, table_id, row_no, column_no, regexp_replace(regexp_replace(cell, '^[\\p{{Z}}\\s]+', ''), '[\\p{{Z}}\\s]+$', '') AS cell FROM c),
+    f"""WITH l AS ({BLOCKS}), c AS (SELECT doc_id, 1 AS table_id, block_no AS row_no, i AS column_no, string_split(block_text, ' | ')[i + 1] AS cell FROM l, LATERAL (SELECT unnest(range(0, len(string_split(block_text, ' | ')))) AS i) WHERE block_type = 'TABLE'),
+f AS (SELECT doc_id, table_id, row_no, column_no, {STRIP.format("CASE WHEN (row_no + column_no) % 5 = 0 THEN 'no such ' || cell ELSE cell END")} AS cell FROM c),
 g AS (SELECT f.* FROM f JOIN documents d USING (doc_id) WHERE length(cell) BETWEEN 2 AND 120 AND NOT regexp_matches(cell, '[。！？.!?；;]$') AND contains(text, cell)),
 r AS (SELECT doc_id, table_id, row_no FROM g GROUP BY ALL HAVING count(*) >= 2),
 k AS (SELECT g.* FROM g JOIN r USING (doc_id, table_id, row_no)), t AS (SELECT doc_id, table_id FROM k GROUP BY ALL HAVING count(DISTINCT column_no) >= 2)
 SELECT doc_id, CAST(row_no AS INT) AS row_no, CAST(column_no AS INT) AS column_no, cell FROM k JOIN t USING (doc_id, table_id)"""
 )
 def visible_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table cells grounded in the text of their document."""
-    docs = table(spark, sf_dir, "documents").where("length(text) > 300")
-    cs = F.array(F.substring("text", 1, 12), F.substring("text", 40, 9), F.lit("no such cell"), F.substring("text", 90, 200))
-    cells = docs.select("doc_id", F.lit(1).alias("table_id"), F.posexplode(cs).alias("i", "cell"))
-    cells = cells.select("doc_id", "table_id", F.floor(F.col("i") / 2).cast("int").alias("row_no"), (F.col("i") % 2).alias("column_no"), "cell")
-    segments = docs.select("doc_id", F.lit(0).alias("segment_no"), "text")
+    """Cells of every table line that are grounded in the text of their document; every fifth one is made up."""
+    lines = blocks(spark, sf_dir).where("block_type = 'TABLE'")
+    cells = lines.select("doc_id", F.lit(1).alias("table_id"), F.col("block_no").alias("row_no"), F.posexplode(F.split("block_text", r" \| ")).alias("column_no", "cell"))
+    made_up = (F.col("row_no") + F.col("column_no")) % 5 == 0
+    cells = cells.withColumn("cell", F.when(made_up, F.concat(F.lit("no such "), "cell")).otherwise(F.col("cell")))
+    segments = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("segment_no"), "text")
     return B.visible_cells(cells, segments).select("doc_id", "row_no", "column_no", "cell")
 
 
@@ -51,10 +50,10 @@ def citable_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.citable(refs).select("event_id", "event_type")
 
 
-@query("SELECT event_type AS reason, count(*) AS n FROM events WHERE value < 20 GROUP BY ALL")
+@query("SELECT event_type AS reason, count(*) AS n FROM events GROUP BY ALL")
 def rejection_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejections by reason; all are counted whatever the sample holds."""
-    e = table(spark, sf_dir, "events").where("value < 20")
+    e = table(spark, sf_dir, "events")
     return B.rejection_report(e.select(F.lit("entity").alias("kind"), F.col("event_id").alias("id"), F.col("event_type").alias("reason")))[0]
 
 
@@ -108,12 +107,16 @@ def decision_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("event_type", "n", share.alias("share"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("arc_start"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT user_id AS exchange_id, list({'seq': event_id, 'mode': CASE WHEN event_id % 3 = 0 THEN 'auto' ELSE 'shadow' END, 'at': value} ORDER BY event_id) AS x FROM events GROUP BY ALL),
+f AS (SELECT exchange_id, list_reduce(x, lambda kept, t: CASE WHEN (t.mode = 'auto' AND kept.mode <> 'auto') OR t.at >= kept.at THEN t ELSE kept END) AS t FROM t)
+SELECT exchange_id, t.seq AS seq, t.mode AS mode, t.at AS at FROM f"""
+)
 def latest_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trace that each exchange ends up with."""
     e = table(spark, sf_dir, "events")
-    mode = F.when(F.col("user_id") % 3 == 0, "auto").otherwise("shadow")
-    return latest_trace(e.select((F.col("event_id") % 1500).alias("exchange_id"), F.col("event_id").alias("seq"), mode.alias("mode"), F.col("value").alias("at")))
+    mode = F.when(F.col("event_id") % 3 == 0, "auto").otherwise("shadow")
+    return latest_trace(e.select(F.col("user_id").alias("exchange_id"), F.col("event_id").alias("seq"), mode.alias("mode"), F.col("value").alias("at")))
 
 
 @query()
@@ -122,7 +125,12 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.semantic_chunks(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    f"""WITH b AS ({BLOCKS}),
+m AS (SELECT doc_id, string_agg(CASE WHEN block_type = 'TITLE' THEN '# ' ELSE '' END || block_text, chr(10) || chr(10) ORDER BY block_no) AS md,
+  '[' || string_agg('{{"block_no":' || block_no || ',"block_type":"' || block_type || '","block_text":' || CAST(to_json(block_text) AS VARCHAR) || '}}', ',' ORDER BY block_no) || ']' AS js FROM b GROUP BY doc_id)
+SELECT doc_id, 'MARKDOWN' AS kind, sha256(md) AS sha256 FROM m UNION ALL SELECT doc_id, 'JSON_BLOCKS', sha256(js) FROM m"""
+)
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's blocks as Markdown and JSON files with their hashes."""
     from docloom.sources.files import artifacts as build

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.stats import exact_percentiles
 from docloom.plans.catalogue import query
 from docloom.sources.tables import table
 
@@ -57,9 +58,10 @@ def top_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles with linear interpolation for each metric; metrics without values are left out."""
-    v = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9)))
-    grouped = _events(spark, sf_dir).groupBy(F.col("event_type").alias("metric")).agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), v.alias("v"))
-    return grouped.where("n > 0").select("metric", "n", "low", "high", "mean", F.round(F.col("v")[0], 6).alias("p50"), F.round(F.col("v")[1], 6).alias("p90"))
+    e = _events(spark, sf_dir).select(F.col("event_type").alias("metric"), "value")
+    summary = e.groupBy("metric").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"))
+    points = exact_percentiles(e, ["metric"], "value", {"p50": 0.5, "p90": 0.9})
+    return summary.where("n > 0").join(points, "metric").select("metric", "n", "low", "high", "mean", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"))
 
 
 STAGES = """SELECT event_type AS stage_code, CASE WHEN user_id % 2 = 0 THEN 'auto' ELSE 'shadow' END AS mode, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90,
@@ -69,10 +71,11 @@ STAGES = """SELECT event_type AS stage_code, CASE WHEN user_id % 2 = 0 THEN 'aut
 @query(STAGES)
 def stage_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latency percentiles by stage and mode."""
-    v = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
     mode = F.when(F.col("user_id") % 2 == 0, "auto").otherwise("shadow")
-    grouped = _events(spark, sf_dir).groupBy(F.col("event_type").alias("stage_code"), mode.alias("mode")).agg(v.alias("v"), F.count("*").alias("samples"))
-    return grouped.select("stage_code", "mode", *[F.round(F.col("v")[k], 6).alias(n) for k, n in enumerate(("p50", "p90", "p99"))], "samples")
+    e = _events(spark, sf_dir).select(F.col("event_type").alias("stage_code"), mode.alias("mode"), "value")
+    keys, points = ["stage_code", "mode"], {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    found = exact_percentiles(e, keys, "value", points).join(e.groupBy(*keys).agg(F.count("*").alias("samples")), keys)
+    return found.select(*keys, *[F.round(n, 6).alias(n) for n in points], "samples")
 
 
 @query(
@@ -229,13 +232,13 @@ def tumbling_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, max(CASE WHEN event_type = 'error' THEN NULL ELSE value END) AS v FROM events WHERE user_id < 20 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS k FROM d),
+    """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, max(CASE WHEN event_type = 'error' THEN NULL ELSE value END) AS v FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS k FROM d),
 n AS (SELECT *, k - row_number() OVER (PARTITION BY user_id ORDER BY day) AS island FROM r WHERE v IS NOT NULL)
 SELECT user_id, min(day) AS first_day, max(day) AS last_day, count(*) AS points FROM n GROUP BY user_id, island"""
 )
 def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A series cut into runs without missing points."""
-    daily = _events(spark, sf_dir).where("user_id < 20").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.max(F.when(F.col("event_type") != "error", F.col("value"))).alias("v"))
+    daily = _events(spark, sf_dir).groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.max(F.when(F.col("event_type") != "error", F.col("value"))).alias("v"))
     w = Window.partitionBy("user_id").orderBy("day")
     kept = daily.withColumn("k", F.row_number().over(w)).where("v is not null").withColumn("island", F.col("k") - F.row_number().over(w))
     return kept.groupBy("user_id", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("points")).drop("island")

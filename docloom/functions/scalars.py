@@ -173,6 +173,31 @@ def parse_date(text: Column, pattern: str) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern))
 
 
+# The date patterns.
+PATTERNS = (
+    "yyyy-MM-dd", "yyyy-MM-dd HH", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss:SSS", "yyyyMMdd", "yyyyMMddHH", "yyyyMMddHHmm", "yyyyMMddHHmmss", "yyyyMMddHHmmssSSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+)
+UNITS = ("YEAR", "MONTH", "WEEK", "DAY", "HOUR", "MINUTE", "SECOND", "MILLISECOND")
+
+
+def format_date(ts: Column, pattern: str) -> Column:
+    """The date as text; empty for null."""
+    return F.coalesce(F.date_format(ts, pattern), F.lit(""))
+
+
+def shifted(ts: Column, unit: str, n: Column) -> Column:
+    """``n`` units later; a month's missing days become its last one."""
+    if unit not in UNITS:
+        raise ValueError(f"unknown unit {unit!r}")
+    return F.timestamp_add(unit, n.cast("int"), ts)
+
+
+def week_date(ts: Column, index: Column) -> Column:
+    """The day of the same week by its number, 1 Monday to 7 Sunday, at the same time; null for other numbers."""
+    return F.when(index.between(1, 7), F.timestamp_add("DAY", (index - iso_weekday(ts)).cast("int"), ts))
+
+
 def offset_hours(hours: Column) -> Column:
     return F.when((hours > 13) | (hours < -12), 0).otherwise(hours)
 
@@ -236,3 +261,40 @@ def without_empty(entries: Column) -> Column:
 def candidate_list(text: Column, schema: str) -> Column:
     """A JSON list as an array of structs; empty for what is none."""
     return F.coalesce(F.from_json(text, f"array<struct<{schema}>>"), F.from_json(F.lit("[]"), f"array<struct<{schema}>>"))
+
+
+def first_present(text: Column, *names: str) -> Column:
+    """The first of some keys of a JSON object that is there and not null, as text."""
+    return F.coalesce(*[F.get_json_object(text, f"$.{n}") for n in names])
+
+
+def metadata_json(entries: Column, known: list[str]) -> Column:
+    """(json, error) of a list of (field, value): a JSON object, or the first entry that has no field, an unknown or a repeated one."""
+    field = lambda e: F.trim(F.coalesce(e["field"], F.lit("")))
+    fields = F.transform(entries, field)
+    faults = F.transform(
+        fields,
+        lambda f, i: F.when(f == "", F.concat(F.lit("EMPTY_FIELD:"), (i + 1).cast("string")))
+        .when(~f.isin(known), F.concat(F.lit("UNKNOWN_FIELD:"), f))
+        .when(F.array_position(fields, f) <= i, F.concat(F.lit("REPEATED_FIELD:"), f)),
+    )
+    error = F.get(F.filter(faults, lambda x: x.isNotNull()), F.lit(0))
+    pairs = F.transform(entries, lambda e: F.struct(field(e).alias("key"), e["value"].alias("value")))
+    return F.struct(F.when(error.isNull(), F.to_json(F.map_from_entries(F.when(error.isNull(), pairs)))).alias("json"), error.alias("error"))
+
+
+def in_ranges(options: dict[str, object], limits: dict[str, tuple[int, int]]) -> list[str]:
+    """Names of the options that are missing, no whole number (true and false are none) or outside their limits."""
+    return [n for n, (low, high) in limits.items() if type(options.get(n)) is not int or not low <= options[n] <= high]
+
+
+# Limits of the extraction options.
+EXTRACTION_LIMITS = {
+    "batchChunkLimit": (1, 20), "inputTokenBudget": (256, 32000), "maxQuoteChars": (20, 2000), "maxReasonChars": (20, 2000), "maxUnitTextChars": (50, 8000), "modelContextTokens": (1024, 200000),
+    "outputReserve": (1, 100000), "promptReserve": (1, 100000), "modelResponseMaxBytes": (1, 67108864), "maxEntityNameChars": (1, 10000), "maxDocumentBytes": (1, 64000000),
+}
+
+
+def fits_budget(cost: Column, budget: int, context: int, schema: int, output: int, prompt: int) -> Column:
+    """Whether a request's cost keeps its own budget, and with the schema and both reserves the model's context."""
+    return (cost <= budget) & (cost + schema + output + prompt <= context)

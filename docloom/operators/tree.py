@@ -112,6 +112,66 @@ def build_tree(items: DataFrame, most: int = 6, levels: int = 3) -> DataFrame:
     return done
 
 
+# How many keywords and questions a node has, its length, and the labels of its parts.
+KEYWORDS, QUESTIONS, WEIGHTED_CHARS = 12, 6, 1200
+PARTS = ("标题：", "章节：", "关键词：", "摘要：", "典型问题：")
+
+
+def build_nodes(items: DataFrame, level: int = 1) -> DataFrame:
+    """(node, title, section_path, page_range, keywords, questions, chunk_ids, weighted) of clustered items.
+
+    Items (node, item, title, section_path, page_range, keywords, questions,
+    summary) are taken in their order. The title is the last part of the common
+    section, else the most frequent title, first seen first, else the leading
+    keywords. Keywords are counted before anything is collected, so a node
+    gathers as many values as it has distinct ones.
+    """
+    from pyspark.sql import Window
+
+    from docloom.functions import text as T
+
+    def frequent(values: DataFrame, most: int) -> DataFrame:
+        counted = values.where("value <> ''").groupBy("node", "value").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+        best = counted.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "at"))).where(F.col("place") <= most)
+        return best.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
+
+    at = F.struct("item", F.lit(0).alias("k"))
+    titles = frequent(items.select("node", F.col("title").alias("value"), at.alias("at")), 1).select("node", F.col("values")[0].alias("common_title"))
+    words = frequent(items.select("node", "item", F.posexplode("keywords").alias("k", "value")).select("node", "value", F.struct("item", "k").alias("at")), KEYWORDS)
+    asked = items.select("node", "item", F.posexplode("questions").alias("k", "value")).where("value <> ''").groupBy("node", "value").agg(F.min(F.struct("item", "k")).alias("at"))
+    asked = asked.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("at"))).where(F.col("place") <= QUESTIONS)
+    asked = asked.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("asked"))
+    grouped = items.groupBy("node").agg(
+        F.array_sort(F.collect_set("item")).alias("chunk_ids"), F.collect_set("section_path").alias("paths"), F.collect_set("page_range").alias("ranges"), F.min_by("summary", "item").alias("summary")
+    )
+    none = F.expr("cast(array() as array<string>)")
+    out = grouped.join(titles, "node", "left").join(words.withColumnRenamed("values", "keywords"), "node", "left").join(asked, "node", "left")
+    out = out.withColumns({"keywords": F.coalesce("keywords", none), "section_path": T.common_section_path(F.col("paths")), "page_range": T.merge_page_ranges(F.col("ranges"))})
+    generated = F.transform(F.slice("keywords", 1, 3), lambda w: F.concat(w, F.lit(" 的核心内容是什么？")))
+    numbered = F.concat(F.lit(f"层级摘要 L{level}-"), F.col("node").cast("string"))
+    title = F.when(F.col("section_path") != "", T.last_section(F.col("section_path"))).otherwise(
+        F.coalesce("common_title", F.when(F.size("keywords") > 0, F.array_join(F.slice("keywords", 1, 3), "、")), numbered)
+    )
+    out = out.withColumns({"title": title, "questions": F.coalesce("asked", generated)})
+    said = lambda k, value: F.when(value != "", F.concat(F.lit(PARTS[k]), value))
+    weighted = F.concat_ws(
+        "\n", F.concat(F.lit(PARTS[0]), "title"), said(1, F.col("section_path")), said(2, F.array_join("keywords", "、")), F.concat(F.lit(PARTS[3]), F.coalesce("summary", F.lit(""))), said(4, F.array_join("questions", "；"))
+    )
+    return out.select("node", "title", "section_path", "page_range", "keywords", "questions", "chunk_ids", F.substring(weighted, 1, WEIGHTED_CHARS).alias("weighted"))
+
+
+def inner_similarity(items: DataFrame) -> DataFrame:
+    """(doc, similarity): mean over clusters of two or more items of their mean pairwise cosine; items (doc, cluster, unit).
+
+    A cluster's pairs sum to half of what its summed vector's square exceeds the
+    sum of squares by, so pairs are not listed; 0 where no cluster has two items.
+    """
+    each = items.select("doc", "cluster", F.posexplode("unit").alias("k", "x")).groupBy("doc", "cluster", "k").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
+    sums = each.groupBy("doc", "cluster").agg(F.max("n").alias("n"), (F.sum(F.col("s") * F.col("s")) - F.sum("q")).alias("pairs"))
+    mean = F.when(F.col("n") > 1, F.col("pairs") / (F.col("n") * (F.col("n") - 1)))
+    return sums.groupBy("doc").agg(F.coalesce(F.avg(mean), F.lit(0.0)).alias("similarity"))
+
+
 def cluster_signals(clusters: DataFrame, most: int) -> DataFrame:
     """Per document: clusters, mean and largest size, single ones, compression and balance."""
     from docloom.functions.scalars import balance_score

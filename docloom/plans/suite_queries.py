@@ -169,8 +169,8 @@ ITEMS = """i AS (SELECT source AS node, doc_id AS item, CASE WHEN doc_id % 4 = 0
     f"""WITH {ITEMS}, t AS (SELECT node, title, count(*) AS n, min(item) AS spot FROM i WHERE title <> '' GROUP BY ALL), tt AS (SELECT node, arg_min(title, {{'n': -n, 'at': spot}}) AS title FROM t GROUP BY ALL),
 w AS (SELECT node, x.w AS w, count(*) AS n, min({{'item': item, 'k': x.k}}) AS spot FROM i, LATERAL (SELECT unnest(words) AS w, unnest(range(0, 3)) AS k) x GROUP BY ALL), wr AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, spot) AS place FROM w), ww AS (SELECT node, list(w ORDER BY place) AS ws FROM wr WHERE place <= 12 GROUP BY ALL),
 q AS (SELECT node, asked[1] AS q, min(item) AS spot FROM i WHERE len(asked) > 0 GROUP BY ALL), qr AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY spot) AS place FROM q), qq AS (SELECT node, list(q ORDER BY place) AS qs FROM qr WHERE place <= 6 GROUP BY ALL),
-g AS (SELECT node, list_sort(list(item)) AS chunks, CASE WHEN node IN ('src1', 'src2') THEN CASE WHEN min(item % 2) = max(item % 2) THEN 'Guide > Part ' || node || ' > ' || min(item % 2) ELSE 'Guide > Part ' || node END ELSE '' END AS section, CAST(min(item % 40 + 1) AS VARCHAR) || '-' || max(item % 40 + 2) AS pages, arg_min(summary, item) AS summary FROM i GROUP BY ALL),
-o AS (SELECT g.node, section, g.pages, chunks, ws, coalesce(qs, list_transform(ws[1:3], lambda x: x || ' 的核心内容是什么？')) AS qs, summary, CASE WHEN section <> '' THEN trim(string_split(section, '>')[-1]) ELSE tt.title END AS title FROM g LEFT JOIN tt USING (node) LEFT JOIN ww USING (node) LEFT JOIN qq USING (node))
+g AS (SELECT node, list_sort(list(item)) AS chunks, CASE WHEN node IN ('src1', 'src2') THEN CASE WHEN min(item % 2) = max(item % 2) THEN 'Guide > Part ' || node || ' > ' || min(item % 2) ELSE 'Guide > Part ' || node END ELSE '' END AS section, CAST(min(item % 40 + 1) AS VARCHAR) || '-' || max(item % 40 + 2) AS pages, arg_min(summary, item) AS summary FROM i GROUP BY node),
+o AS (SELECT g.node, section, g.pages, chunks, ws, coalesce(qs, list_transform(ws[1:3], lambda x: x || ' 的核心内容是什么？')) AS qs, summary, CASE WHEN section <> '' THEN trim(string_split(section, '>')[-1]) ELSE coalesce(tt.title, array_to_string(ws[1:3], '、')) END AS title FROM g LEFT JOIN tt USING (node) LEFT JOIN ww USING (node) LEFT JOIN qq USING (node))
 SELECT node, title, section AS section_path, pages AS page_range, array_to_string(ws, ',') AS keywords, array_to_string(qs, ',') AS questions, CAST(len(chunks) AS INT) AS n_chunks,
  sha256(left('标题：' || title || chr(10) || CASE WHEN section <> '' THEN '章节：' || section || chr(10) ELSE '' END || '关键词：' || array_to_string(ws, '、') || chr(10) || '摘要：' || summary || chr(10) || '典型问题：' || array_to_string(qs, '；'), 1200)) AS weighted_sha256 FROM o"""
 )

@@ -20,7 +20,7 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from docloom.plans import block_queries, candidate_queries, fusion_queries, graph_queries, quality_queries, relational_queries, retrieval_queries, scalar_queries, suite_queries, text_queries  # noqa: F401
+    from docloom.plans import block_queries, candidate_queries, fusion_queries, graph_queries, quality_queries, relational_queries, retrieval_queries, scalar_queries, source_queries, suite_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict:

@@ -101,10 +101,15 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
+@query(
+    """SELECT page_id, CAST(t AS INT) AS table_no, CAST(c.r AS INT) AS row_no, CAST(c.k AS INT) AS column_no, CASE WHEN c.x = 'id' THEN page_id || '.' || t ELSE c.x END AS cell FROM pages, (VALUES (0), (1)) n(t),
+ (VALUES (0, 0, 'id'), (0, 1, 'a & b'), (0, 2, 'a & b'), (1, 0, 'id'), (1, 1, 'c d'), (1, 2, '')) c(r, k, x)"""
+)
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table cells of raw pages in long form, spans filled."""
-    return P.html_table_cells(table(spark, sf_dir, "pages"), "page_id", "html")
+    """Table cells of pages in long form, spans filled; every page gets a table before and one after its own markup."""
+    built = lambda t: F.concat(F.lit('<table><tr><th rowspan="2"> '), F.col("page_id").cast("string"), F.lit(f".{t}</th><td colspan=2>a &amp; b</td></tr><tr><td><b>c</b>\n d</td><td></td></tr></table>"))
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat(built(0), F.coalesce("html", F.lit("")), built(1)))
+    return P.html_table_cells(pages, "page_id", "html")
 
 
 @query()

@@ -118,13 +118,13 @@ def with_retries(handle: Callable[[DataFrame], DataFrame], sink: str, dead: str,
     return run
 
 
-def reconcile(tasks: DataFrame, now: Column, grace: str = "5 minutes", silence: str = "2 hours", most: int = 12, batch: int = 200) -> DataFrame:
+def reconcile(tasks: DataFrame, now: Column, grace: str = "5 minutes", silence: str = "2 hours", most: int = 12, batch: int = 200, newest_first: bool = False) -> DataFrame:
     """What to do with unfinished tasks (task_id, dispatched, heartbeat, dispatches): re-dispatch, give up or wait; a bounded batch a round."""
     late = F.expr("interval " + grace)
     quiet = F.coalesce("heartbeat", "dispatched") < now - F.expr("interval " + silence)
     again = (F.coalesce("heartbeat", "dispatched") < now - late) & (F.col("dispatches") < most)
     action = F.when(quiet, "STALE").when(again, "REDISPATCH").otherwise("WAIT")
-    return tasks.withColumn("action", action).where("action <> 'WAIT'").orderBy("dispatched", "task_id").limit(batch)
+    return tasks.withColumn("action", action).where("action <> 'WAIT'").orderBy(F.desc("dispatched") if newest_first else F.asc("dispatched"), "task_id").limit(batch)
 
 
 def latest_trace(traces: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,10 @@ from .shared import in_batches, pick, worker_state, written
 LENGTH, GRAM, STEP = 400, 40, 20
 #: Contexts with one half from which on they are divided by hubs, and symbols of a block of cores sorted together.
 MOST, BLOCK = 200, 20_000
+#: Contexts of one group that are divided in one task.
+IN_TASK = 10_000
+#: Bytes on either side of an anchor by which a hub resembles others.
+NEAR = 120
 #: Anchors of one text, or contexts, whose cores are made at once.
 PART = 256
 
@@ -255,20 +260,18 @@ def _unzipped(zipped: pa.Array) -> list[bytes]:
 
 # --- cores and flanks ---------------------------------------------------------
 
-CORES = "core long, left binary, right binary, doc_id long, text_hash long, at long, single boolean, side boolean"
-_CORE_NAMES = ["core", "left", "right", "doc_id", "text_hash", "at", "single", "side"]
+CORES = "core long, left binary, right binary, doc_id long, text_hash long, at long, single boolean, low int, high int"
+_CORE_NAMES = ["core", "left", "right", "doc_id", "text_hash", "at", "single", "low", "high"]
+_CORE_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
 
 
-def _core_rows(raw: bytes, total: np.ndarray, places: np.ndarray, lefts: np.ndarray, rights: np.ndarray, single: np.ndarray, salt: int, length: int, gram: int, step: int) -> tuple:
-    """(core, left flank, right flank, begin, single) of the cores around anchors at ``places``, of windows left or right of these as flagged.
+def _core_rows(raw: bytes, total: np.ndarray, places: np.ndarray, wanted: np.ndarray, offsets: np.ndarray, single: np.ndarray, salt: int, length: int, step: int) -> tuple:
+    """(core, left flank, right flank, begin, single) of the cores that begin ``offsets`` before the anchors at ``places``, where ``wanted``.
 
     ``total`` is the prefix hash of ``raw``. One core position stands once, as single if any of its anchors is.
     """
-    half = (length - gram) // 2
-    offsets = np.arange(0, 2 * half, step)
-    wanted = np.where(offsets[None, :] >= half, lefts[:, None], rights[:, None]).ravel()
     begin = (places[:, None] - offsets[None, :]).ravel()
-    fits = wanted & (begin >= 0) & (begin + length - step <= len(raw))
+    fits = wanted.ravel() & (begin >= 0) & (begin + length - step <= len(raw))
     begin, owner = np.unique(begin[fits], return_inverse=True)
     flags = np.bincount(owner, np.repeat(single, len(offsets))[fits], len(begin)) > 0
     ends = begin + length - step
@@ -282,16 +285,19 @@ def _cores(length: int, gram: int, step: int):
     """Cores around the listed anchors of each text, and the whole contexts of those in groups to be divided.
 
     A context's row has its group as core, the bytes before the anchor
-    backwards as left, those from the anchor on as right, and its side.
+    backwards as left, those from the anchor on as right, and the least and
+    largest number of bytes before the anchor of the windows that are asked for.
     """
     reach = length - gram
+    half = reach // 2
+    offsets = np.arange(0, 2 * half, step)
 
     def table(columns: list, ids: list) -> pa.RecordBatch:
-        core, left, right, at, single, side = columns
+        core, left, right, at, single, ends = columns
         n = len(at)
         own = [pa.array(np.full(n, 0 if x is None else x, np.int64), mask=np.full(n, x is None)) for x in ids]
-        sides = pa.nulls(n, pa.bool_()) if side is None else pa.array(side)
-        return pa.RecordBatch.from_arrays([pa.array(core), pa.array(left, pa.binary()), pa.array(right, pa.binary()), *own, pa.array(at), pa.array(single), sides], names=_CORE_NAMES)
+        ends = [pa.nulls(n, pa.int32())] * 2 if ends is None else [pa.array(np.full(n, e, np.int32)) for e in ends]
+        return pa.RecordBatch.from_arrays([pa.array(core), pa.array(left, pa.binary()), pa.array(right, pa.binary()), *own, pa.array(at), pa.array(single), *ends], names=_CORE_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("suffix_dedup")
@@ -308,37 +314,40 @@ def _cores(length: int, gram: int, step: int):
                 for first in range(int(bounds[k]), int(bounds[k + 1]), PART):
                     part = slice(first, min(first + PART, int(bounds[k + 1])))
                     at, left, right, single = (fields[n][part] for n in ("at", "left", "right", "single"))
-                    columns = _core_rows(raw, total, at, left, right, single, 0, length, gram, step)
+                    wanted = np.where(offsets[None, :] >= half, left[:, None], right[:, None])
+                    columns = _core_rows(raw, total, at, wanted, offsets, single, 0, length, step)
                     if len(columns[0]):
                         yield table([*columns, None], ids)
-                    for name, side in (("left", True), ("right", False)):
+                    for name, ends in (("left", (half, reach)), ("right", (0, half))):
                         own = groups[name].slice(part.start, len(at))
                         which = own.is_valid().to_numpy(zero_copy_only=False)
                         if which.any():
                             spots = at[which].tolist()
                             before, after = [raw[max(0, a - reach) : a][::-1] for a in spots], [raw[a : a + length] for a in spots]
-                            yield table([own.drop_null().to_numpy(), before, after, at[which], single[which], np.full(len(spots), side)], ids)
+                            yield table([own.drop_null().to_numpy(), before, after, at[which], single[which], ends], ids)
 
     return run
 
 
 def _context_cores(length: int, gram: int, step: int):
-    """Cores of whole contexts; a group's cores meet only those of its own."""
+    """Cores of the windows that whole contexts ask for; a group's cores meet only those of its own."""
+    offsets = np.arange(0, (length - gram) // 2 * 2, step)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("suffix_dedup")
         for batch in (b.slice(first, PART) for b in batches for first in range(0, b.num_rows, PART)):
             out: list[list] = [[] for _ in _CORE_NAMES]
-            for group, before, after, doc_id, text_hash, at, single, side in zip(*[batch.column(c).to_pylist() for c in _CORE_NAMES], strict=True):
-                raw, one = before[::-1] + after, np.array([True])
+            for group, before, after, doc_id, text_hash, at, single, low, high in zip(*[batch.column(c).to_pylist() for c in _CORE_NAMES], strict=True):
+                raw = before[::-1] + after
                 total = _prefix_hash(np.frombuffer(raw, np.uint8))
-                core, left, right, begin, flags = _core_rows(raw, total, np.array([len(before)]), one & side, one & (not side), one & single, group or 1, length, gram, step)
+                wanted = ((offsets + step >= low) & (offsets <= high))[None, :]
+                core, left, right, begin, flags = _core_rows(raw, total, np.array([len(before)]), wanted, offsets, np.array([single]), group or 1, length, step)
                 begin += at - len(before)
                 n = len(begin)
-                for column, values in zip(out, (core.tolist(), left, right, [doc_id] * n, [text_hash] * n, begin.tolist(), flags.tolist(), [None] * n), strict=True):
+                rows = (core.tolist(), left, right, [doc_id] * n, [text_hash] * n, begin.tolist(), flags.tolist(), [None] * n, [None] * n)
+                for column, values in zip(out, rows, strict=True):
                     column.extend(values)
-            types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=_CORE_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _CORE_TYPES, strict=True)], names=_CORE_NAMES)
 
     return run
 
@@ -369,21 +378,30 @@ def _against_hub(length: int):
     return run
 
 
-def _divided(members: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(spans, contexts of small groups) of groups of contexts; each is a list of frames, one for each round.
+def _divided(members: DataFrame, length: int) -> tuple[list[DataFrame], DataFrame]:
+    """(spans, contexts of small groups) of groups of contexts.
 
-    A group's hub is the first by a hash, so its choice is a minimum that is
-    aggregated before the shuffle, and the join with it can be split by Spark.
+    Groups of at most IN_TASK contexts are divided in one task each. In rounds
+    before that, a larger one is compared with its hub as a join, which Spark can
+    split; its hub is found by counts and a maximum that are aggregated before
+    the shuffle.
     """
-    spans, small, turn = [], [], 0
+    spans, ready, turn = [], [], 0
     names = {"core": "core", "hub_doc": "doc_id", "hub_hash": "text_hash", "hub_at": "at", "hub_left": "left", "hub_right": "right"}
     hub_columns = [F.col(f"hub.{c}").alias(n) for n, c in names.items() if n != "core"]
-    while not members.isEmpty():
-        hub = F.min_by(F.struct("doc_id", "text_hash", "at", "left", "right"), F.xxhash64(F.lit(turn), "doc_id", "text_hash", "at"))
-        hubs = members.groupBy("core").agg(F.count("*").alias("n"), hub.alias("hub")).where("n > 1")
-        hubs = written(hubs.select("core", "n", *hub_columns), "hubs")
-        small.append(members.join(hubs.where(f"n <= {MOST}").select(F.col("core").alias("g")).hint("merge"), F.expr("core = g")).select(*_CORE_NAMES))
-        paired = members.join(hubs.where(f"n > {MOST}").drop("n").hint("merge"), "core")
+    while True:
+        large = written(members.groupBy("core").agg(F.count("*").alias("n")).where(f"n > {IN_TASK}").select("core"), "large")
+        if large.isEmpty():
+            ready.append(members)
+            break
+        ready.append(members.join(large.hint("merge"), "core", "left_anti"))
+        members = members.join(large.hint("merge"), "core", "left_semi")
+        whole = F.struct("doc_id", "text_hash", "at", "left", "right")
+        near = F.xxhash64(F.substring("left", 1, NEAR), F.substring("right", 1, NEAR))
+        alike = members.groupBy("core", near.alias("near")).agg(F.count("*").alias("m"), F.min_by(whole, F.xxhash64(F.lit(turn), "doc_id", "text_hash", "at")).alias("hub"))
+        hubs = alike.groupBy("core").agg(F.max_by("hub", F.struct("m", "near")).alias("hub"))
+        hubs = written(hubs.select("core", *hub_columns), "hubs")
+        paired = members.join(hubs.hint("merge"), "core")
         compared = paired.transform(in_batches, _against_hub(length), f"{CORES}, hub_doc long, hub_hash long, hub_at long, a long, b long, next_left long, next_right long")
         compared = written(compared.where("not (doc_id <=> hub_doc and text_hash = hub_hash and at = hub_at)"), "compared")
         shared = compared.where(F.col("a") + F.col("b") >= length)
@@ -392,18 +410,121 @@ def _divided(members: DataFrame, length: int) -> tuple[list[DataFrame], list[Dat
         spans.append(
             widest.select(F.col("hub_doc").alias("doc_id"), F.col("hub_hash").alias("text_hash"), (F.col("hub_at") - F.col("a")).alias("first"), (F.col("hub_at") + F.col("b")).alias("last"))
         )
-        # what is left of a context are windows that hold the first differing byte before or after the anchor
+        # what is left of a context are windows that hold the first differing byte before the anchor, and others that hold the first one after
+        after = F.least(F.col("high"), length - 1 - F.col("b"), F.col("a"))
         ways = F.array(
             *[
-                F.when(F.col(f"next_{way}") >= 0, F.xxhash64("core", F.lit(way), n, f"next_{way}"))
-                for way, n in (("left", "a"), ("right", "b"))
+                F.when((next_byte >= 0) & (low <= high), F.struct(F.xxhash64("core", F.lit(way), n, next_byte).alias("core"), low.cast("int").alias("low"), high.cast("int").alias("high")))
+                for way, n, next_byte, low, high in (
+                    ("left", "a", F.col("next_left"), F.greatest(F.col("low"), F.col("a") + 1), F.col("high")),
+                    ("right", "b", F.col("next_right"), F.col("low"), after),
+                )
             ]
         )
-        branched = compared.select(F.explode(F.array_compact(ways)).alias("core"), *_CORE_NAMES[1:])
+        branched = compared.select(F.explode(F.array_compact(ways)).alias("w"), *_CORE_NAMES[1:-2]).select("w.core", *_CORE_NAMES[1:-2], "w.low", "w.high")
         members, turn = written(branched, "members"), turn + 1
+    dealt = reduce(DataFrame.unionByName, ready).repartition("core").sortWithinPartitions("core")
+    parted = written(dealt.transform(in_batches, _divide(length, MOST), f"{CORES}, first long, last long"), "parted")
+    spans.append(parted.where("core is null").select("doc_id", "text_hash", "first", "last"))
+    return spans, parted.where("core is not null").drop("first", "last")
+
+
+def _hub(left: np.ndarray, right: np.ndarray, rows: np.ndarray) -> int:
+    """One of the contexts ``rows`` that looks like most others: the most frequent bytes around the anchor, ever more of them."""
+    for width in (NEAR // 3, NEAR, 2 * NEAR, 3 * NEAR):
+        near = np.ascontiguousarray(np.concatenate([left[rows, :width], right[rows, :width]], axis=1))
+        _, kind, times = np.unique(near.view(f"V{near.shape[1]}").ravel(), return_inverse=True, return_counts=True)
+        if times.max() == 1:
+            break
+        rows = rows[kind.ravel() == times.argmax()]
+    return int(rows[len(rows) // 2])
+
+
+def divide(group: int, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, ends: np.ndarray, keys: list[tuple], length: int, most: int) -> tuple[list[tuple], list[tuple]]:
+    """(spans, small groups) of one group of contexts.
+
+    ``left`` and ``right`` hold a context's bytes before and from the anchor on,
+    filled up with zeros; ``sizes`` their numbers; ``ends`` the least and largest
+    number of bytes before the anchor of the windows asked for; ``keys`` what
+    tells contexts apart. A span is (context, bytes before, bytes from the anchor
+    on); a small group is (group, contexts, ends), of two or more. The windows of
+    a context are never in two groups.
+    """
+    spans, small, open_groups = [], [], [(group, np.arange(len(left)), ends)]
+    while open_groups:
+        group, rows, ends = open_groups.pop()
+        # a window has its bytes before the anchor and, of its length, the others after it
+        fits = (np.maximum(ends[:, 0], length - sizes[rows, 1]) <= np.minimum(ends[:, 1], sizes[rows, 0]))
+        rows, ends = rows[fits], ends[fits]
+        if len(rows) <= most:
+            if len(rows) > 1:
+                small.append((group, rows, ends))
+            continue
+        hub = _hub(left, right, rows)
+        other = np.array([keys[k] != keys[hub] for k in rows])
+        others, low, high = rows[other], ends[other, 0], ends[other, 1]
+        agree = []
+        for side, grid in enumerate((left, right)):
+            differ = np.concatenate([grid[others] != grid[hub], np.ones((len(others), 1), bool)], axis=1).argmax(1)
+            agree.append(np.minimum(differ, np.minimum(sizes[others, side], sizes[hub, side])))
+        a, b = agree
+        held = a + b >= length
+        spans += zip(others[held].tolist(), a[held].tolist(), b[held].tolist(), strict=True)
+        for width in np.unique(a[held]):
+            spans.append((hub, int(width), int(b[held & (a == width)].max())))
+        # what is left of a context are windows that hold the first differing byte before the anchor, and others that hold the first one after
+        ways = (("left", left, a, 0, np.maximum(low, a + 1), high), ("right", right, b, 1, low, np.minimum(np.minimum(high, length - 1 - b), a)))
+        for way, grid, n, side, low_now, high_now in ways:
+            more = np.flatnonzero((n < sizes[others, side]) & (low_now <= high_now))
+            codes = n[more].astype(np.int64) * 256 + grid[others[more], n[more]]
+            order = np.argsort(codes, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+                if len(part) > 1:
+                    at = more[part]
+                    branch = xxhash.xxh64_intdigest(f"{group}/{way}/{codes[part[0]]}") - (1 << 63)
+                    open_groups.append((branch, others[at], np.stack([low_now[at], high_now[at]], axis=1)))
     return spans, small
 
 
+def _divide(length: int, most: int):
+    """Spans and small groups of the groups of contexts that arrive sorted; a span has no core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("suffix_dedup")
+        rows: list[tuple] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if len(rows) > 1:
+                grid = lambda k: np.frombuffer(b"".join(r[k].ljust(length, b"\0") for r in rows), np.uint8).reshape(len(rows), length)
+                sizes, ends = np.array([[len(r[1]), len(r[2])] for r in rows]), np.array([r[7:9] for r in rows])
+                spans, small = divide(rows[0][0], grid(1), grid(2), sizes, ends, [r[3:6] for r in rows], length, most)
+                for k, a, b in spans:
+                    out.append((None, None, None, *rows[k][3:5], None, None, None, None, rows[k][5] - a, rows[k][5] + b))
+                for group, members, asked in small:
+                    out.extend((group, *rows[k][1:7], *e, None, None) for k, e in zip(members.tolist(), asked.tolist(), strict=True))
+            rows.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for first in range(0, len(out), 8 * PART):
+                columns = zip(*out[first : first + 8 * PART], strict=True)
+                arrays = [pa.array(c, t) for c, t in zip(columns, [*_CORE_TYPES, pa.int64(), pa.int64()], strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*_CORE_NAMES, "first", "last"])
+            out.clear()
+
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in _CORE_NAMES], strict=True):
+                if rows and rows[0][0] != row[0]:
+                    close()
+                    if len(out) > 8 * PART:
+                        yield from flush()
+                rows.append(row)
+        close()
+        yield from flush()
+
+    return run
+
+
 def repeated_windows(group: list[tuple[int, bytes, bytes]], step: int) -> list[list[int]]:
     """For each (core, left flank, right flank) the numbers of left bytes of those windows that occur again.
 
@@ -528,11 +649,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
     texts = _zipped(docs).join(wanted.hint("merge"), F.expr("doc_id <=> i and text_hash = h")).select("doc_id", "text_hash", "zipped", "spots")
     # repeated rows have no single context, but one of them may stand for its context; the solver drops its copies
     cores = written(texts.transform(in_batches, _cores(length, gram, step), CORES), "cores")
-    spans, small = _divided(cores.where("side is not null"), length)
-    cores = cores.where("side is null")
-    for contexts in small:
-        cores = cores.unionByName(contexts.transform(in_batches, _context_cores(length, gram, step), CORES))
-    near = cores.drop("side").repartition("core").sortWithinPartitions("core")
+    spans, small = _divided(cores.where("low is not null"), length)
+    cores = cores.where("low is null")
+    cores = cores.unionByName(small.transform(in_batches, _context_cores(length, gram, step), CORES))
+    near = cores.drop("low", "high").repartition("core").sortWithinPartitions("core")
     near = near.transform(in_batches, _solve(length, step), "doc_id long, text_hash long, first long, last long")
     spans = reduce(DataFrame.unionByName, [whole, inner, near, *spans])
     return spans.groupBy("doc_id", "text_hash").agg(_merged(F.sort_array(F.collect_set(F.struct("first", "last")))).alias("spans"))

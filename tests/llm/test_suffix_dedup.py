@@ -58,14 +58,17 @@ def test_removed_bytes_match_brute_force(spark):
     check(spark, texts_with_repeats())
 
 
-@pytest.mark.parametrize("most", [1, 3])
-def test_crowded_halves_are_exact_too(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "in_task"), [(1, 10_000), (3, 10_000), (2, 5)])
+def test_crowded_halves_are_exact_too(spark, monkeypatch, most, in_task):
     monkeypatch.setattr(S, "MOST", most)
+    monkeypatch.setattr(S, "IN_TASK", in_task)
     check(spark, texts_with_repeats())
 
 
-def test_family_of_edited_copies_divided_by_hubs(spark, monkeypatch):
+@pytest.mark.parametrize("in_task", [7, 10_000])
+def test_family_of_edited_copies_divided_by_hubs(spark, monkeypatch, in_task):
     monkeypatch.setattr(S, "MOST", 4)
+    monkeypatch.setattr(S, "IN_TASK", in_task)
     r, base, texts = random.Random(9), prose(70, 260), []
     for k in range(40):
         t = list(base)

@@ -395,7 +395,8 @@ def _divided(members: DataFrame, length: int) -> tuple[list[DataFrame], DataFram
             ready.append(members)
             break
         ready.append(members.join(large.hint("merge"), "core", "left_anti"))
-        members = members.join(large.hint("merge"), "core", "left_semi")
+        # written, so that the join with the hubs shuffles by itself and a hot group can be split
+        members = written(members.join(large.hint("merge"), "core", "left_semi"), "crowd")
         whole = F.struct("doc_id", "text_hash", "at", "left", "right")
         near = F.xxhash64(F.substring("left", 1, NEAR), F.substring("right", 1, NEAR))
         alike = members.groupBy("core", near.alias("near")).agg(F.count("*").alias("m"), F.min_by(whole, F.xxhash64(F.lit(turn), "doc_id", "text_hash", "at")).alias("hub"))

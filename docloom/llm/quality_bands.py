@@ -141,13 +141,15 @@ def bands(figures: DataFrame) -> dict[str, dict[int, tuple[float, float]]]:
 
 
 def limits_at(limits: dict[int, tuple[float, float]], kind: str, band: int) -> tuple[float, float]:
-    """Limits of a band: fixed ones, narrowed by those learned for it or for the nearest band that has some."""
+    """Limits of a band: fixed ones, narrowed by those learned for it, or between two bands that have some on the line between these."""
     if kind == "chunk":
         low, high = FIXED_CHUNK
     else:
         low, high = next((lo, hi) for least, lo, hi in reversed(FIXED) if 2 ** (band / BANDS_PER_OCTAVE) >= least)
-    if limits:
-        own = limits[min(limits, key=lambda b: (abs(b - band), b))]
+    below, above = max((b for b in limits if b <= band), default=None), min((b for b in limits if b >= band), default=None)
+    if below is not None and above is not None:
+        share = (band - below) / max(1, above - below)
+        own = [x + share * (y - x) for x, y in zip(limits[below], limits[above], strict=True)]
         low, high = (max(low, own[0]) if low else low), min(high, own[1])
     return low, high
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -79,12 +80,14 @@ def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can read: ``spark.checkpoint.dir``.
 
-    A private folder is used only where that setting is missing, as in tests on
-    one machine.
+    A private folder is used only where that setting is missing and the session
+    runs on this machine alone, as in tests.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIR:
         _LOCAL_DIR[app] = "file://" + tempfile.mkdtemp(prefix="docloom-")

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from docloom.llm import quality_bands as Q
 
@@ -69,7 +70,7 @@ def plain_limits(texts):
 
 def test_bands_come_from_the_corpus_and_decide(spark):
     clean = [prose(1000 + k, 100 + k % 40) for k in range(300)]
-    marked = [" ".join(w + "$$$%%%###&&&"[3 * (j % 4) :][:3] for j, w in enumerate(prose(2000 + k, 110).split())) for k in range(20)]
+    marked = [" ".join(w + "$$$%%%###" for w in prose(2000 + k, 50).split()) for k in range(20)]
     rows = {r.doc_id: r for r in Q.assess(frame(spark, clean + marked)).collect()}
     assert not any(r.base_failed for r in rows.values())
     assert sum(rows[k].kept for k in range(300)) >= 297
@@ -95,3 +96,10 @@ def test_bad_parts_of_long_texts_count(spark):
 def test_quantiles_of_counts():
     values, counts = np.arange(1, 6) * Q.STEP, np.array([10, 20, 40, 20, 10])
     assert abs(Q._quantile(values, counts, 0.5) - (3 * Q.STEP + Q.STEP / 2)) < 1e-9
+
+
+def test_limits_between_and_beyond_learned_bands():
+    learned = {20: (1.5, 2.0), 24: (1.9, 2.4)}
+    assert Q.limits_at(learned, "text", 20) == (1.5, 2.0)
+    assert Q.limits_at(learned, "text", 22) == pytest.approx((1.7, 2.2))
+    assert Q.limits_at(learned, "text", 26) == (1.4, 4.5) and Q.limits_at({}, "chunk", 21) == Q.FIXED_CHUNK

@@ -125,28 +125,21 @@ def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("doc_id", F.size("t").alias("n_terms"), F.sha2(F.array_join(F.array_sort("t"), ","), 256).alias("terms_sha256"))
 
 
-@query(
-    r"""SELECT doc_id, CASE WHEN len(s) = 0 THEN 1.0 ELSE round(len(list_filter(s, lambda x: length(x) >= 24 AND contains(text, x))) * 1.0 / len(s), 6) END AS copy_ratio
-FROM (SELECT d.doc_id, d.text, list_filter(list_transform(regexp_split_to_array(left(d.text, 200) || chr(10) || 'added words that stand in no text', '[。！？!?；;\n]+'),
-  lambda p: """
-    + STRIP.format("p")
-    + """), lambda p: p <> '') AS s FROM documents d WHERE text IS NOT NULL)"""
-)
-def copy_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of a summary is copied from its text; the summary is the text's lead and a line of its own."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    summary = F.concat(F.left("text", F.lit(200)), F.lit("\nadded words that stand in no text"))
-    return docs.select("doc_id", F.round(T.copy_ratio(summary, F.col("text")), 6).alias("copy_ratio"))
-
-
-@query(
-    f"""WITH s AS (SELECT doc_id, {SENTENCES} AS parts FROM documents WHERE text IS NOT NULL),
+EXTRACT = f"""s AS (SELECT doc_id, {SENTENCES} AS parts FROM documents WHERE text IS NOT NULL),
 e AS (SELECT doc_id, unnest(range(0, len(parts))) AS idx, parts FROM s),
 c AS (SELECT doc_id, idx, parts[idx + 1] AS sentence FROM e WHERE length(parts[idx + 1]) BETWEEN 18 AND 260),
 r AS (SELECT *, least(length(sentence), 180) / 180.0 + (CASE WHEN contains(sentence, 'the') THEN 1 ELSE 0 END) + (CASE WHEN contains(sentence, 'de') THEN 1 ELSE 0 END) AS score FROM c),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, idx) AS place FROM r)
-SELECT doc_id, CAST(place AS INT) AS place, round(score, 6) AS score, sentence FROM k WHERE place <= 4"""
-)
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, idx) AS place FROM r)"""
+# a text with its summary: the best sentences joined, at most 900 characters
+SUMMARISED = EXTRACT + """, j AS (SELECT doc_id, left(string_agg(sentence, '；' ORDER BY place), 900) AS sm FROM k WHERE place <= 4 GROUP BY doc_id),
+d AS (SELECT documents.doc_id, text, coalesce(sm, '') AS sm FROM documents LEFT JOIN j ON j.doc_id = documents.doc_id WHERE text IS NOT NULL)"""
+
+
+def _parts_of(text: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({text}, '[。！？!?；;\\n]+'), lambda p: {STRIP.format('p')}), lambda p: p <> '')"
+
+
+@query(f"WITH {EXTRACT} SELECT doc_id, CAST(place AS INT) AS place, round(score, 6) AS score, sentence FROM k WHERE place <= 4")
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best sentences of each text by keywords held and length; ties in reading order."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
@@ -158,18 +151,33 @@ def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", "place", F.round("score", 6).alias("score"), "sentence")
 
 
+def summarised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, summary): each text with its best sentences joined, at most 900 characters."""
+    best = extractive_summary(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "sentence"))).alias("best"))  # four a text
+    joined = F.left(F.array_join(F.transform("best", lambda x: x["sentence"]), "；"), F.lit(900))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    return docs.join(best, "doc_id", "left").select("doc_id", "text", F.coalesce(joined, F.lit("")).alias("summary"))
+
+
+@query(
+    f"""WITH {SUMMARISED} SELECT doc_id, CASE WHEN len(s) = 0 THEN 1.0 ELSE round(len(list_filter(s, lambda x: length(x) >= 24 AND contains(text, x))) * 1.0 / len(s), 6) END AS copy_ratio
+FROM (SELECT doc_id, text, {_parts_of("sm || chr(10) || 'added words that stand in no text'")} AS s FROM d)"""
+)
+def copy_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a summary is copied from its text; the summary is the extracted one and a line of its own."""
+    summary = F.concat("summary", F.lit("\nadded words that stand in no text"))
+    return summarised(spark, sf_dir).select("doc_id", F.round(T.copy_ratio(summary, F.col("text")), 6).alias("copy_ratio"))
+
+
 @query(
-    f"""SELECT doc_id, round(0.42 * len(list_intersect(m, t)) / greatest(1, len(m)) + 0.24 * least(1.0, least(length(sm), 900) / 260.0)
-   + 0.18 * (CASE WHEN length(sm) < greatest(240, length(text) * 0.65) THEN 1.0 ELSE 0.35 END) + 0.16 * (1 - c), 4) AS quality_score
-FROM (SELECT *, {TERMS.format('sm')} AS m, {TERMS.format('text')} AS t,
-   CASE WHEN len(s) = 0 THEN 1.0 ELSE len(list_filter(s, lambda x: length(x) >= 24 AND contains(text, x))) * 1.0 / len(s) END AS c
- FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(sm, '[。！？!?；;\\n]+'), lambda p: {STRIP.format('p')}), lambda p: p <> '') AS s
-   FROM (SELECT doc_id, text, {STRIP.format("left(text, 300)")} AS sm FROM documents WHERE length(text) > 0)))"""
+    f"""WITH {SUMMARISED} SELECT doc_id, CASE WHEN sm = '' OR text = '' THEN 0.0 ELSE round(0.42 * len(list_intersect(m, t)) / greatest(1, len(m)) + 0.24 * least(1.0, least(length(sm), 900) / 260.0)
+   + 0.18 * (CASE WHEN length(sm) < greatest(240, length(text) * 0.65) THEN 1.0 ELSE 0.35 END) + 0.16 * (1 - c), 4) END AS quality_score
+FROM (SELECT *, {TERMS.format('sm')} AS m, {TERMS.format('text')} AS t, CASE WHEN len(s) = 0 THEN 1.0 ELSE len(list_filter(s, lambda x: length(x) >= 24 AND contains(text, x))) * 1.0 / len(s) END AS c
+ FROM (SELECT *, {_parts_of("sm")} AS s FROM d))"""
 )
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of the lead of each text as its summary."""
-    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
-    return docs.select("doc_id", T.quality_score(F.left("text", F.lit(300)), F.col("text"), F.lit(0)).alias("quality_score"))
+    """Quality of each text's extracted summary."""
+    return summarised(spark, sf_dir).select("doc_id", T.quality_score(F.col("summary"), F.col("text"), F.lit(0)).alias("quality_score"))
 
 
 @query(

@@ -64,7 +64,52 @@ t AS (SELECT rid, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access
    string_agg(CASE WHEN kind < 3 OR verdict = 'live' THEN said END, ',' ORDER BY a, kind) AS spans, string_agg(said || ':' || verdict || ':' || owners || ':' || repositories, ',' ORDER BY a, kind, b) AS verdicts FROM k GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts FROM d LEFT JOIN t USING (rid)"""
 
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_POINTS = "list_transform(string_split({}, ''), lambda x: unicode(x))"
+SPELLING = f"""WITH RECURSIVE bits(k, i, c) AS (SELECT k, 0, CAST(k AS BIGINT) FROM range(256) t(k) UNION ALL SELECT k, i + 1, {_CRC_STEP} FROM bits WHERE i < 8),
+crc AS (SELECT list(c ORDER BY k) AS t FROM bits WHERE i = 8),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+said AS (SELECT run, n, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CAST(unicode(x) AS BIGINT)) AS p FROM runs WHERE length(run) >= 6),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(p, lambda x: CASE WHEN x < 128 THEN [x] ELSE [195, x - 64] END))), lambda a, b: xor(t[CAST(xor(a, b) & 255 AS INT) + 1], a >> 8))) AS h FROM said, crc),
+results AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, k, left(word, k) || substr(word, k + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS k FROM v)),
+pairs AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word != b.word
+ UNION SELECT cut.word, v.word FROM cut JOIN v ON cut.rest = v.word UNION SELECT v.word, cut.word FROM cut JOIN v ON cut.rest = v.word),
+best AS (SELECT pairs.word, near, o.n AS near_n, count(*) OVER (PARTITION BY pairs.word) AS n_near, row_number() OVER (PARTITION BY pairs.word ORDER BY o.n DESC, encode(near)) AS place FROM pairs JOIN v o ON o.word = near),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best ON best.word = v.word AND place = 1),
+chain(word, root) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.root FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends ON ends.word = f.word"""
+
+ARCHIVES = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, payload_bytes >= 100 AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) > 1 AS again, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r"""
+
+
+def _clusters(rounds: int = 3) -> str:
+    """Every vector against every centroid, round by round."""
+    far = "list_sum(list_transform(range(1, 65), lambda i: CAST((q.v[i] - c{0}.v[i]) * (q.v[i] - c{0}.v[i]) AS BIGINT)))"
+    parts = [
+        """q AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM q QUALIFY c < 16)",
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"a{k} AS (SELECT rid, vec_id, q.v, c, {far.format(k)} AS d FROM q, c{k} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)")
+        if k < rounds:
+            mean = f"SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(range(64)) AS i, unnest(v) AS x FROM a{k}) GROUP BY c, i"
+            parts.append(f"m{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM ({mean}) GROUP BY c)")
+            parts.append(f"c{k + 1} AS (SELECT c{k}.c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (c))")
+    last = f"a{rounds} a JOIN c{rounds} z USING (c)"
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+ CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.v, ',')) AS centroid_sha256 FROM {last}"""
+
+
 ORACLES = {
+    "op11_spelling_variants": SPELLING,
+    "op12_warc_archives": ARCHIVES,
+    "op13_centroid_clusters": _clusters(),
     "op1_chat_formatting": CHATS,
     "op5_secret_scan": SECRETS,
     "op8_minhash_near_dedup": NEAR_DUPLICATES,

@@ -52,21 +52,43 @@ def _page_order(page: Column, url: Column) -> Column:
     return F.struct(page.isNull().alias("none"), page.alias("page_id"), url.isNull().alias("no_url"), url.alias("url"))
 
 
-def records_of(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(record_id, record_type, url, payload, payload_bytes, payload_digest, refers_to_id, refers_to_url) of every page.
+def _coder(dictionary: bytes | None) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    known = None if dictionary is None else zstandard.ZstdCompressionDict(dictionary)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=True, write_content_size=True), zstandard.ZstdDecompressor(dict_data=known)
+
+
+def _packed(dictionary: bytes | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, _ = _coder(dictionary)
+        for batch in batches:
+            payloads = [(x.as_py() or "").encode("utf-8", "replace") for x in batch.column("html")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("page_id"),
+                    batch.column("url"),
+                    pa.array(map(press.compress, payloads), pa.binary()),
+                    pa.array(map(len, payloads), pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in payloads]),
+                ],
+                names=["page_id", "url", "payload", "payload_bytes", "payload_digest"],
+            )
+
+    return run
+
+
+def records_of(pages: DataFrame, dictionary: bytes | None = None, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """(record_id, record_type, url, payload, payload_bytes, payload_digest, refers_to_id, refers_to_url) of every page; payloads are compressed, as they move.
 
     Of payloads of at least ``least_bytes`` that are equal, the one with the
     smallest page_id (null last, then by url) is the response, all others revisit it. A null html is an empty payload.
     Repeated rows are records of their own.
     """
-    text = F.coalesce("html", F.lit(""))
-    rows = pick(pages, "page_id", "url", "html").select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("payload"), F.octet_length(text).cast("long").alias("payload_bytes"), F.sha2(text, 256).alias("payload_digest")
-    )
+    narrow = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = written(in_batches(narrow, _packed(dictionary), "page_id long, url string, payload binary, payload_bytes long, payload_digest string"), "payloads")
     order = _page_order(F.col("page_id"), F.col("url"))
     large = F.col("payload_bytes") >= least_bytes
-    # equal rows become one with a number; of a large payload the one copy that is stored comes with it
-    counted = rows.groupBy("page_id", "url", "payload_bytes", "payload_digest", F.when(~large, F.col("payload")).alias("short")).agg(F.count("*").alias("copies"))
+    # equal rows become one with a number; a short payload stays with them, of a large one a single copy moves
+    counted = rows.groupBy("page_id", "url", "payload_bytes", "payload_digest").agg(F.count("*").alias("copies"), F.min(F.when(~large, F.col("payload"))).alias("short"))
     stored = rows.where(large).groupBy("payload_digest").agg(F.min(F.struct(order.alias("order"), "payload", "payload_bytes")).alias("m"))
     stored = stored.select("payload_digest", F.col("m.order.page_id").alias("page_id"), F.col("m.order.url").alias("url"), F.col("m.payload").alias("payload"), F.col("m.payload_bytes").alias("payload_bytes"))
 
@@ -85,7 +107,7 @@ def records_of(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     own = F.col("page_id").eqNullSafe(F.col("lead.page_id")) & F.col("url").eqNullSafe(F.col("lead.url"))
     again = _copies(met, F.when(own, 1).otherwise(0)).withColumns({"lead_page": F.col("lead.page_id"), "lead_url": F.col("lead.url")})
     again = again.select(
-        name("page_id", "url", F.col("copy")).alias("record_id"), F.lit("revisit").alias("record_type"), "url", none.alias("payload"), *figures[1:],
+        name("page_id", "url", F.col("copy")).alias("record_id"), F.lit("revisit").alias("record_type"), "url", F.lit(None).cast("binary").alias("payload"), *figures[1:],
         name("lead_page", "lead_url", F.lit(0)).alias("refers_to_id"), F.col("lead_url").alias("refers_to_url"),
     )
     return first.unionByName(small).unionByName(again)
@@ -100,10 +122,11 @@ def _copies(counted: DataFrame, first: Column, block: int = 10_000) -> DataFrame
 
 
 def train_dictionary(pages: DataFrame, payloads: int = SAMPLE_PAYLOADS, sample_bytes: int = SAMPLE_BYTES, size: int = DICTIONARY_BYTES) -> bytes | None:
-    """A Zstandard dictionary from the beginnings of at most ``payloads`` payloads, chosen by hash; None where there is too little to learn from."""
-    text = F.left(F.col("html"), F.lit(sample_bytes))
-    rows = pick(pages, "page_id", "html").where("html is not null").select(F.xxhash64("page_id").alias("mark"), text.alias("text")).orderBy("mark", "text").limit(payloads).collect()
-    samples = [r["text"].encode("utf-8", "replace")[:sample_bytes] for r in rows if len(r["text"]) >= 8]
+    """A Zstandard dictionary from the beginnings of at most ``payloads`` payloads, spread by hash; None where there is too little to learn from."""
+    html = pick(pages, "page_id", "html").where("html is not null")
+    spread = max(1, html.count() // payloads)
+    chosen = html.where(F.pmod(F.xxhash64("page_id"), F.lit(spread)) == 0).select(F.left("html", F.lit(sample_bytes)).alias("text")).limit(payloads)
+    samples = [x[:sample_bytes] for x in (r["text"].encode("utf-8", "replace") for r in chosen.collect()) if len(x) >= 8]
     total = sum(map(len, samples))
     if len(samples) < 16 or total < 16 * 1024:
         return None
@@ -126,10 +149,9 @@ def _line(value: str) -> str:
     return "".join(c if c.isprintable() and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
 
 
-def encode_record(row: dict, date: str) -> bytes:
+def encode_record(row: dict, payload: bytes, date: str) -> bytes:
     """The bytes of one record: version, headers, a blank line, the block and the two line ends that close it."""
     if row["record_type"] == "response":
-        payload = (row["payload"] or "").encode("utf-8", "replace")
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     else:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["payload_bytes"]
@@ -150,8 +172,7 @@ def _archived(folder: str, dictionary: bytes | None, date: str, most: int):
     head = archive_head(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if dictionary is None else zstandard.ZstdCompressionDict(dictionary)
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=True, write_content_size=True)
+        press, unpress = _coder(dictionary)
         place, root = pa.fs.FileSystem.from_uri(folder)
         parts, size, n = [], 0, 0
 
@@ -165,7 +186,7 @@ def _archived(folder: str, dictionary: bytes | None, date: str, most: int):
 
         for batch in batches:
             for row in batch.to_pylist():
-                record = encode_record(row, date)
+                record = encode_record(row, b"" if row["payload"] is None else unpress.decompress(row["payload"]), date)
                 if n and size + len(record) > most:
                     yield close()
                     parts, size, n = [], 0, 0
@@ -178,7 +199,7 @@ def _archived(folder: str, dictionary: bytes | None, date: str, most: int):
 
 
 def write_archives(records: DataFrame, folder: str, dictionary: bytes | None = None, date: str = "2000-01-01T00:00:00Z", most: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes the records of ``records_of`` as archives into ``folder``; a table (name, records, bytes) has those that count.
+    """Writes the records of ``records_of``, made with the same dictionary, as archives into ``folder``; a table (name, records, bytes) has those that count.
 
     Pages have no date of capture, so all records carry ``date``. Nothing is written for an empty table.
     """
@@ -379,7 +400,8 @@ def archived_pages(pages: DataFrame, least_bytes: int = LEAST_BYTES, most: int =
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     if ":" not in folder.split("/")[0]:
         folder = spark.conf.get("spark.hadoop.fs.defaultFS", "file://").rstrip("/") + folder
-    manifest = write_archives(records_of(pages, least_bytes), folder, train_dictionary(pages), most=most)
+    dictionary = train_dictionary(pages)
+    manifest = write_archives(records_of(pages, dictionary, least_bytes), folder, dictionary, most=most)
     found = read_archives(spark, folder, with_payload=False).withColumn("name", F.substring_index("archive", "/", -1))
     records = resolve(found.join(manifest.select("name"), "name", "left_semi").drop("name"))  # a lost task's archive is in no row of the manifest
     kind = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(" ", "archive", "at", "problem")).cast("string")).otherwise(F.col("record_type"))

@@ -73,7 +73,7 @@ def test_archives_lead_with_their_dictionary_and_hold_one_frame_a_record(spark,
     docs = frame(spark, pages())
     dictionary = warc.train_dictionary(docs)
     folder = f"file://{tmp_path}/a"
-    manifest = warc.write_archives(warc.records_of(docs).coalesce(1), folder, dictionary).collect()
+    manifest = warc.write_archives(warc.records_of(docs, dictionary).coalesce(1), folder, dictionary).collect()
     assert sum(r["records"] for r in manifest) == 60
     data = (tmp_path / "a" / manifest[0]["name"]).read_bytes()
     size = struct.unpack("<I", data[4:8])[0]
@@ -85,9 +85,9 @@ def test_archives_lead_with_their_dictionary_and_hold_one_frame_a_record(spark,
     assert {r["p"]: r["payload"] for r in records.select(warc.page_of(records.record_id).alias("p"), "payload").collect()} == want
 
 
-def record(**change):
-    row = {"record_type": "response", "record_id": "<urn:page:1:a:0>", "url": "http://x/", "payload": "hello", "payload_bytes": 5, "payload_digest": hashlib.sha256(b"hello").hexdigest(), "refers_to_id": None, "refers_to_url": None}
-    return warc.encode_record(row | change, "2000-01-01T00:00:00Z")
+def record(payload=b"hello", **change):
+    row = {"record_type": "response", "record_id": "<urn:page:1:a:0>", "url": "http://x/", "payload_bytes": 5, "payload_digest": hashlib.sha256(b"hello").hexdigest(), "refers_to_id": None, "refers_to_url": None}
+    return warc.encode_record(row | change, payload, "2000-01-01T00:00:00Z")
 
 
 def problems(data):
@@ -105,7 +105,7 @@ def test_archives_of_other_writers():
     assert problems(led + known.compress(record()) + skipped) == [None]
     info = press.compress(b"WARC/1.0\r\nwarc-type: warcinfo\r\nWARC-Record-ID: <a>\r\nWARC-Date: d\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
     assert [(r["record_type"], r["payload"], r["problem"]) for r in warc.decode_archive(info + good)] == [("warcinfo", None, None), ("response", b"hello", None)]
-    big = press.compress(record(payload="q" * 3_000_000, payload_bytes=3_000_000, payload_digest=hashlib.sha256(b"q" * 3_000_000).hexdigest()))
+    big = press.compress(record(b"q" * 3_000_000, payload_bytes=3_000_000, payload_digest=hashlib.sha256(b"q" * 3_000_000).hexdigest()))
     assert problems(big + good) == [None, None]
 
 

@@ -156,7 +156,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """One row for each row of ``docs``: doc_id, text_hash, n_words, n_hit, spans, items, contaminated.
 
     A document is contaminated if at least one word in twenty lies in an
-    occurring window. Null text: no words. Repeated rows get equal results.
+    occurring window. Null text: no words. Repeated rows get equal results. An
+    empty benchmark hits nothing; an empty table gives an empty result.
     """
     found = find_overlaps(docs, benchmark, window).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans", "items"
@@ -195,4 +196,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
         lambda x, i: ~((F.pmod(i - lead, F.lit(2)) == 0) & F.exists(spans, lambda s: ((i - lead) / 2 >= s["first"]) & ((i - lead) / 2 <= s["last"]))),
     )
     cut = F.when(spans.isNotNull(), F.array_join(kept, "")).otherwise(text)
-    return joined.select(*[cut.alias(c) if c == "text" else keyed[c] for c in docs.columns])
+    return joined.select(*[cut.alias(c) if c == "text" else keyed[f"`{c}`"] for c in docs.columns])

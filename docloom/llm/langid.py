@@ -24,8 +24,10 @@ from .shared import in_batches, pick, worker_state
 
 #: Bounds of the training sample: rows of each language, their longest run of text, and characters of each language.
 SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_CHARS = 48, 3000, 32_000
-#: Languages learned at most: those with the most labelled rows.
-LANGUAGES = 200
+#: Bound of the sample over all languages: with more than SAMPLE_ALL / SAMPLE_CHARS of them, each one's share is smaller, never below LEAST_CHARS.
+SAMPLE_ALL, LEAST_CHARS = 6_400_000, 400
+#: Margin from which on a prediction replaces a given language that is another one, and characters that the text has at least.
+RELABEL, RELABEL_CHARS = 0.1, 128
 #: Codes with a column of their own in the table of moves, and bytes of that table; moves by rarer letters are looked up in a sorted list.
 DENSE, DENSE_BYTES = 252, 64_000_000
 #: Codes from which on a text can be told from letters in random order, and the share of their cost that it must stay below.
@@ -95,12 +97,13 @@ class Model:
         self.languages = sorted(samples)
         self.codes = alphabet([t for x in self.languages for t in samples[x]])
         self.n_codes = int(self.codes.max()) + 1
+        chars = max(LEAST_CHARS, min(SAMPLE_CHARS, SAMPLE_ALL // max(1, len(samples))))
         edges, self.roots, scale, states = [], [], [], 1  # state 0 means that there is no move
         for x in self.languages:
             symbols: list[int] = []
             for t in samples[x]:
                 symbols += [1, *normal(t, self.codes).tolist()]
-            symbols = symbols[:SAMPLE_CHARS]
+            symbols = symbols[:chars]
             move = suffix_automaton(symbols)
             edges += [(states + s, c, states + t) for s, m in enumerate(move) for c, t in m.items()]
             self.roots.append(states)
@@ -208,27 +211,26 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Learns from texts and languages of documents that are not held out.
 
-    Of each language the SAMPLE_ROWS texts that come first by a hash of their id
+    Of each language at most the SAMPLE_ROWS texts that come first by a hash of their id
     are used, and SAMPLE_CHARS characters of these. A text longer than
     SAMPLE_TEXT gives a run of that many characters at a place drawn by another
     hash of its id, or from its first letter on if that run has none; rows
-    without text, language or id are left out. At most LANGUAGES languages are
-    learned, those with the most such rows (ties: by name).
+    without text, language or id are left out. Every language is learned; the more there
+    are, the fewer rows and characters of each, so that all of them stay within SAMPLE_ALL.
     """
     from pyspark.sql import Window
 
-    labelled = pick(docs, "doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    common = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    wanted = [row["lang"] for row in common.collect()]  # bounded by LANGUAGES
-    rows = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isin(wanted)).where(
+    rows = pick(docs, "doc_id", "text", "lang").where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")
     )
+    n_languages = rows.select("lang").distinct().count()
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_ROWS * SAMPLE_ALL // SAMPLE_CHARS // max(1, n_languages)))
     place = F.pmod(F.xxhash64("doc_id", F.lit("run")), F.length("text") - SAMPLE_TEXT + 1).cast("int") + 1
     drawn = F.when(F.length("text") > SAMPLE_TEXT, F.substring("text", place, SAMPLE_TEXT)).otherwise(F.col("text"))
     lettered = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{SAMPLE_TEXT - 1}}}", 0)
     rows = rows.select("doc_id", "lang", F.when(drawn.rlike(r"\p{L}"), drawn).otherwise(lettered).alias("text"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    chosen = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE_ROWS)
+    chosen = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
     samples: dict[str, list[str]] = {}
     for row in chosen.select("lang", "place", "text").orderBy("lang", "place").collect():  # bounded by the sample
         samples.setdefault(row["lang"], []).append(row["text"])
@@ -266,14 +268,15 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return ready.transform(in_batches, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_score: float = 0.0, model: Model | None = None) -> DataFrame:
+def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_score: float = 0.0, relabel: float = RELABEL, model: Model | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, in which a language was identified; no row moves.
 
     Rejected are null and letterless texts, texts of LEAST_CODES codes or more
     that fit no learned language better than letters in random order do (dumps
     of encoded data, languages that nothing was learned of), scores under
     ``least_score`` and, where ``languages`` is given, other languages. A missing
-    ``lang`` becomes the prediction, a given one stays. Repeated rows fare alike;
+    ``lang`` becomes the prediction, and so does a given one that is another language while the
+    score is ``relabel`` or more and the text has RELABEL_CHARS; a closer call keeps what is given. Repeated rows fare alike;
     an empty table gives an empty result; other columns, whatever their names, pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
@@ -284,7 +287,10 @@ def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_s
         for batch in batches:
             for part, names, scores, fits in _predicted(shared, batch):
                 if place is not None:
-                    filled = pc.coalesce(part.column(place), pa.array(names, part.schema.field(place).type))
+                    said = pa.array(names, part.schema.field(place).type)
+                    long = pc.fill_null(pc.greater_equal(pc.utf8_length(part.column("text")), RELABEL_CHARS), False)
+                    sure = pc.and_(long, pa.array([s >= relabel and n != UNKNOWN for n, s in zip(names, scores, strict=True)], pa.bool_()))
+                    filled = pc.if_else(sure, said, pc.coalesce(part.column(place), said))
                     part = part.set_column(place, "lang", filled)
                 keep = [f and s >= least_score and (wanted is None or n in wanted) for n, s, f in zip(names, scores, fits, strict=True)]
                 yield part.filter(pa.array(keep, pa.bool_()))

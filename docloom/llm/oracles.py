@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import secrets
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 CHATS = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -40,6 +38,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+# The patterns of the contract and of the added kinds, as SQL has them.
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ACCESS = "AKIA[A-Z0-9]{12,}"
+_HEX = "[0-9a-f]{32,}"
+_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[\x09-\x0D\x20]*[A-Za-z-]{2,20}: [^\n]{0,80}\n){0,3}[A-Za-z0-9+/=\x09-\x0D\x20]*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    "|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+)
+_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+_BEARER = r"(?i:bearer)\x20[A-Za-z0-9._~+/-]{16,}=*"
+_URL = r"://[^\x09-\x0D\x20/@:]{1,64}:[^\x09-\x0D\x20/@:]{6,64}@"
+_ACCOUNT = "(?:AccountKey|SharedAccessKey)=[A-Za-z0-9+/]{24,}=*"
+_LONG = "[A-Za-z0-9+/_-]{24,}"
+_MORE = "|".join([_KEY, _TOKEN, _BEARER, _URL, _ACCOUNT, _LONG])
+_KINDS = "'assign', 'access', 'hex', 'key', 'jwt', 'service', 'owned', 'bearer', 'url', 'account'"
+
+
 def _q(text: str) -> str:
     return text.replace("'", "''")
 
@@ -48,18 +63,19 @@ def _matches(kind: int, pattern: str) -> str:
     return f"SELECT rid, {kind} AS kind, regexp_extract_all(text, '{_q(pattern)}') AS m, string_split_regex(text, '{_q(pattern)}') AS s FROM d"
 
 
-SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, source FROM documents),
-raw AS ({_matches(0, secrets.ASSIGN)} UNION ALL {_matches(1, secrets.ACCESS)} UNION ALL {_matches(2, secrets.HEX)} UNION ALL {_matches(3, secrets.MORE)}),
+SECRETS = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, source FROM documents),
+raw AS ({_matches(0, _ASSIGN)} UNION ALL {_matches(1, _ACCESS)} UNION ALL {_matches(2, _HEX)} UNION ALL {_matches(3, _MORE)}),
 e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw WHERE len(m) > 0),
 f AS (SELECT rid, kind, m[i] AS val, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e),
-g AS (SELECT rid, a, a + length(val) AS b, val, CASE WHEN kind < 3 THEN kind WHEN val LIKE '-----BEGIN%KEY-----' THEN 3 WHEN contains(val, '.') THEN 4
-   WHEN regexp_matches(val, '^(gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza)') THEN 5 ELSE 6 END AS kind FROM f),
-h AS (SELECT *, CASE WHEN kind = 0 THEN regexp_extract(val, '{_q(secrets.ASSIGN)}', 2) ELSE val END AS secret FROM g WHERE kind IN (1, 2, 3) OR (kind = 0 AND length(regexp_extract(val, '{_q(secrets.ASSIGN)}', 2)) >= 8)
-   OR (kind > 3 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]'))),
+g AS (SELECT rid, a, a + length(val) AS b, val, CASE WHEN kind < 3 THEN kind WHEN starts_with(val, '-----BEGIN') THEN 3 WHEN regexp_matches(val, '^(?i:bearer) ') THEN 7 WHEN starts_with(val, '://') THEN 8
+   WHEN regexp_matches(val, '^(AccountKey|SharedAccessKey)=') THEN 9 WHEN contains(val, '.') THEN 4 WHEN regexp_matches(val, '^(gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza)') THEN 5 ELSE 6 END AS kind FROM f),
+h AS (SELECT *, CASE kind WHEN 0 THEN regexp_extract(val, '{_q(_ASSIGN)}', 2) WHEN 3 THEN regexp_replace(val, '-----(?:BEGIN|END) [A-Z ]{{0,40}}PRIVATE KEY-----|[\x09-\x0D\x20]', '', 'g')
+   WHEN 7 THEN regexp_extract(val, ' (.*)$', 1) WHEN 8 THEN regexp_extract(val, '^://[^:]*:(.*)@$', 1) WHEN 9 THEN regexp_extract(val, '^[A-Za-z]*=(.*)$', 1) ELSE val END AS secret
+   FROM g WHERE kind IN (1, 2, 3, 8) OR (kind = 0 AND length(regexp_extract(val, '{_q(_ASSIGN)}', 2)) >= 8) OR (kind > 3 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]'))),
 apart AS (SELECT * FROM h WHERE kind < 3 UNION ALL SELECT * FROM h x WHERE kind >= 3 AND NOT EXISTS (SELECT 1 FROM h y WHERE y.rid = x.rid AND y.kind < 3 AND x.a < y.b AND y.a < x.b)),
 own AS (SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (coalesce(source, chr(0)), doc_id)) AS repositories FROM apart JOIN d USING (rid) GROUP BY secret),
-k AS (SELECT rid, kind, list_extract(['{"', '".join(secrets.KINDS)}'], kind + 1) || ':' || a || ':' || b AS said, a, b, owners, repositories,
-   CASE WHEN owners >= 3 OR repositories >= 10 THEN 'copied' WHEN kind = 3 OR len(list_distinct(string_split(secret, ''))) >= 8 THEN 'live' ELSE 'weak' END AS verdict FROM apart JOIN own USING (secret)),
+k AS (SELECT rid, kind, list_extract([{_KINDS}], kind + 1) || ':' || a || ':' || b AS said, a, b, owners, repositories,
+   CASE WHEN owners >= 3 OR repositories >= 10 THEN 'copied' WHEN len(list_distinct(string_split(secret, ''))) >= 8 THEN 'live' ELSE 'weak' END AS verdict FROM apart JOIN own USING (secret)),
 t AS (SELECT rid, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, string_agg(CASE WHEN kind < 3 THEN said END, ',' ORDER BY a, kind) AS base,
    string_agg(CASE WHEN kind < 3 OR verdict = 'live' THEN said END, ',' ORDER BY a, kind) AS spans, string_agg(said || ':' || verdict || ':' || owners || ':' || repositories, ',' ORDER BY a, kind, b) AS verdicts FROM k GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts FROM d LEFT JOIN t USING (rid)"""

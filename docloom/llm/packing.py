@@ -79,8 +79,11 @@ class WordTokenizer:
         self.memory = WordMemory(CACHE_BYTES)
 
     def _whole(self, text: str) -> bool:
-        """Whether a text goes through the full tokenizer as it is."""
-        return not self.by_word or _ODD.search(text) is not None or any(x in text for x in self.added)
+        """Whether a text goes through the full tokenizer as it is; an added token that only lower-casing would make is none there."""
+        if not self.by_word or _ODD.search(text) is not None:
+            return True
+        low = text.lower()
+        return any(x in text or x.lower() in low for x in self.added)
 
     def _plain(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words of which each ends with an id that the vocabulary marks as an end; many share one call."""

@@ -16,14 +16,20 @@ from .shared import pick, running, with_keys, written
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kinds in their order; a failing shorter run of the second and third kind holds no longer one, so the length is part of the pattern.
-KINDS = ("assign", "access", "hex", "key", "jwt", "service", "owned")
+KINDS = ("assign", "access", "hex", "key", "jwt", "service", "owned", "bearer", "url", "account")
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
+#: A private key from its first line to its last one, which may have a few header lines; a first line alone holds no secret.
 MORE = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[\x09-\x0D\x20]*[A-Za-z-]{2,20}: [^\n]{0,80}\n){0,3}[A-Za-z0-9+/=\x09-\x0D\x20]*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    r"|(?i:bearer)\x20[A-Za-z0-9._~+/-]{16,}=*"
+    r"|://[^\x09-\x0D\x20/@:]{1,64}:[^\x09-\x0D\x20/@:]{6,64}@"
+    r"|(?:AccountKey|SharedAccessKey)=[A-Za-z0-9+/]{24,}=*"
     r"|[A-Za-z0-9+/_-]{24,}"
 )
+_KEY_FRAME = r"-----(?:BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----|[\x09-\x0D\x20]"
 #: A value with this many owners, or in this many repositories, or more is a copied example.
 COPIED_OWNERS, COPIED_REPOSITORIES = 3, 10
 #: Distinct characters that a live-looking value has at least.
@@ -47,13 +53,33 @@ def _spans(text: Column, pattern: str, found: Column, kind: Column | int) -> Col
 
 def _more_kind(value: Column) -> Column:
     return (
-        F.when(value.startswith("-----BEGIN") & value.endswith("KEY-----"), 3)
+        F.when(value.startswith("-----BEGIN"), 3)
+        .when(value.rlike(r"^(?i:bearer)\x20"), 7)
+        .when(value.startswith("://"), 8)
+        .when(value.rlike("^(AccountKey|SharedAccessKey)="), 9)
         .when(value.contains("."), 4)
         .when(value.rlike(r"^(gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza)"), 5)
         .otherwise(6)
     )
 
 
+def _plausible(value: Column) -> Column:
+    """Whether a match of MORE can be a secret: a key or an address, else letters and digits."""
+    return value.startswith("-----") | value.startswith("://") | (value.rlike("[0-9]") & value.rlike("[A-Za-z]"))
+
+
+def _secret_of(kind: Column, value: Column) -> Column:
+    """The part of a match whose owners count: what is assigned, a key's body, a token, an address's password."""
+    return (
+        F.when(kind == 0, F.regexp_extract(value, ASSIGN, 2))
+        .when(kind == 3, F.regexp_replace(value, _KEY_FRAME, ""))
+        .when(kind == 7, F.substring_index(value, " ", -1))
+        .when(kind == 8, F.regexp_extract(value, "^://[^:]*:(.*)@$", 1))
+        .when(kind == 9, F.regexp_extract(value, "^[A-Za-z]*=(.*)$", 1))
+        .otherwise(value)
+    )
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, owner, start, kind, end, value) for every candidate; kind is an index into KINDS."""
     text = F.col("text")
@@ -61,7 +87,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     hinted = low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | low.contains("api_key") | low.contains("apikey")
     none = F.expr("cast(array() as array<string>)")
     every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    more = F.filter(every(MORE), lambda v: v.startswith("-----") | (v.rlike("[0-9]") & v.rlike("[A-Za-z]")))
+    more = F.filter(every(MORE), _plausible)
     matched = pick(docs, "doc_id", "text", "source").where("text is not null").select(
         "doc_id",
         "text",
@@ -78,13 +104,12 @@ def candidates(docs: DataFrame) -> DataFrame:
         _spans(text, HEX, F.col("m_hex"), 2),
         F.filter(
             F.when(F.col("n_more") > 0, _spans(text, MORE, every(MORE), _more_kind)).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")),
-            lambda s: (s["kind"] == 3) | (s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")),
+            lambda s: _plausible(s["value"]),
         ),
     )
     out = matched.select("doc_id", F.xxhash64("text").alias("text_hash"), "owner", F.explode(spans).alias("s")).select("doc_id", "text_hash", "owner", "s.*")
     out = _apart(out)
-    value = F.when(F.col("kind") == 0, F.regexp_extract("value", ASSIGN, 2)).otherwise(F.col("value"))
-    return out.withColumn("value", value)
+    return out.withColumn("value", _secret_of(F.col("kind"), F.col("value")))
 
 
 def _apart(spans: DataFrame) -> DataFrame:
@@ -119,7 +144,7 @@ def scan(docs: DataFrame) -> DataFrame:
     candidates; empty tables give empty results.
     """
     found = candidates(docs).withColumn("value_hash", F.sha2("value", 256))
-    found = found.withColumn("looks_random", (F.col("kind") == 3) | (F.size(F.array_distinct(F.split("value", ""))) >= DISTINCT_CHARS))
+    found = found.withColumn("looks_random", F.size(F.array_distinct(F.split("value", ""))) >= DISTINCT_CHARS)
     found = written(found.drop("value"), "candidates")
     counts = ownership(found)
     verdict = F.when((F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES), "copied").when(F.col("looks_random"), "live").otherwise("weak")
@@ -139,7 +164,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, counts and hash of the base spans, all spans (base ones and added live ones), and verdicts, as text.
 
     verdicts has every candidate, also those that the ownership of their value
-    keeps out of spans, each with its verdict, owners and repositories.
+    keeps out of spans, each with its verdict, owners and repositories. A null text
+    has no spans; repeated rows fare alike; an empty table gives an empty result.
     """
     # the hash stands in for the text, which no shuffle has to carry
     rows, own = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash")), _per_document(scan(docs))
@@ -178,4 +204,4 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     )
     rest = F.substring(text, F.array_max(F.transform(spans, lambda t: t["end"])) + 1, F.length(text))
     cut = F.when(spans.isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
-    return joined.select(*[cut.alias(c) if c == "text" else keyed[c] for c in docs.columns])
+    return joined.select(*[cut.alias(c) if c == "text" else keyed[f"`{c}`"] for c in docs.columns])

@@ -102,7 +102,7 @@ def records_of(pages: DataFrame, dictionary: bytes | None = None, least_bytes: i
     small = _copies(counted.where(~large), F.lit(0)).select(
         name("page_id", "url", F.col("copy")).alias("record_id"), F.lit("response").alias("record_type"), "url", F.col("short").alias("payload"), *figures[1:], none.alias("refers_to_id"), none.alias("refers_to_url")
     )
-    lead = stored.select("payload_digest", F.struct("page_id", "url").alias("lead"))
+    lead = rows.where(large).groupBy("payload_digest").agg(F.min(order).alias("lead"))
     met = counted.where(large).join(lead, "payload_digest")
     own = F.col("page_id").eqNullSafe(F.col("lead.page_id")) & F.col("url").eqNullSafe(F.col("lead.url"))
     again = _copies(met, F.when(own, 1).otherwise(0)).withColumns({"lead_page": F.col("lead.page_id"), "lead_url": F.col("lead.url")})

@@ -122,7 +122,26 @@ def test_keep_identified_rejects_what_fits_no_language_and_fills_lang(spark):
     assert {truth[r.doc_id] for r in only.collect() if r.doc_id in truth} == {"bb"}
 
 
-def test_number_of_languages_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(L, "LANGUAGES", 2)
-    rows = [(k, text_of(x, k, 20), x, "s", 1, "", "", "", 1) for k in range(60) for x in [["aa", "aa", "bb", "bb", "cc"][k % 5]]]
-    assert L.train(spark.createDataFrame(rows, SCHEMA)).languages == ["aa", "bb"]
+def test_every_language_is_learned_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_ALL", 3000)
+    rows = [(k, text_of(x, k, 200), x, "s", 1, "", "", "", 1) for k in range(60) for x in [["aa", "aa", "bb", "bb", "cc"][k % 5]]]
+    model = L.train(spark.createDataFrame(rows, SCHEMA))
+    assert model.languages == ["aa", "bb", "cc"] and model.states < 2 * 3000 + 4
+    assert model.predict([text_of(x, 700, 30) for x in STEMS])[0] == list(STEMS)
+
+
+def test_wrong_labels_give_way_to_clear_predictions(spark):
+    df, truth = docs(spark)
+    wrong = [(7000, text_of("aa", 901, 60), "bb"), (7001, text_of("bb", 902, 60), "xx"), (7002, "ban eau", "cc"), (7003, text_of("cc", 903, 60), "cc")]
+    extra = spark.createDataFrame([(k, t, x, "s", 1, "", "", "", 1) for k, t, x in wrong], SCHEMA)
+    every = df.where("lang is not null").unionByName(extra)
+    model = L.train(df)
+    kept = {r.doc_id: r.lang for r in L.keep_identified(every, model=model).collect()}
+    assert (kept[7000], kept[7001], kept[7003]) == ("aa", "bb", "cc")
+    assert {k: v for k, v in kept.items() if k < 1000} == truth
+    scores = {r.doc_id: r.score for r in L.identify(every, model).collect()}
+    assert min(scores[7000], scores[7001]) >= L.RELABEL
+    if scores[7002] < L.RELABEL:
+        assert kept[7002] == "cc"
+    loose = {r.doc_id: r.lang for r in L.keep_identified(every, relabel=2.0, model=model).collect()}
+    assert (loose[7000], loose[7001]) == ("bb", "xx")

@@ -51,6 +51,14 @@ def test_literal_markers_and_other_tokenizer_files(spark):
     check(spark, texts, path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_markers_that_lower_case_makes_are_plain_text(spark):
+    texts = ["<|ENDOFTEXT|>x", "a <|EndOfText|> b", "<|STARTofTEXT|>", "<|endoftext|>x <|ENDOFTEXT|>", "<|ENDOFTEXT|", prose(3, 30) + "<|EndOFText|>."]
+    check(spark, texts)
+    with open(PATH, encoding="utf-8") as f:
+        ids = np.frombuffer(packing.WordTokenizer(f.read()).token_bytes(["<|ENDOFTEXT|>x"])[0], "<u4")
+    assert 49407 not in ids[:-1] and len(ids) == 7
+
+
 def test_words_are_forgotten_within_the_bound(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
     with open(PATH, encoding="utf-8") as f:

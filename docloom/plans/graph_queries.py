@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import graph as G
 from docloom.operators import tree
 from docloom.plans.catalogue import query
+from docloom.sources import markdown as M
 from docloom.sources import pages as P
 from docloom.sources.tables import table
 
@@ -114,8 +115,74 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def markdown_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block nodes of texts read as Markdown, with their byte spans."""
-    return P.markdown_nodes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """The tree of every text read as Markdown: parents, marks, ordinals, cells, read text and source spans."""
+    return M.markdown_tree(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-level blocks of every text read as Markdown, with their sections and table grids."""
+    docs = table(spark, sf_dir, "documents")
+    blocks = M.markdown_blocks(M.markdown_tree(docs, "doc_id", "text"), docs, "doc_id", "text")
+    return blocks.withColumn("rows", F.to_json("rows"))
+
+
+def _part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown text per part: title, table, nested list and quote around its columns."""
+    text = """concat('# ', p_name, '\n\n| key | **value** |\n| :-- | --: |\n| brand | ', p_brand, ' |\n| type \\\\| kind | `', p_type, '` |\n\n3. ', p_brand, '\n   - size ', p_size, '\n4. end\n\n> *', p_type, '*\n')"""
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(text).alias("text"))
+
+
+@query(
+    r"""WITH s AS (SELECT p_partkey, p_name AS n, p_brand AS b, p_type AS t, CAST(p_size AS VARCHAR) AS z FROM part),
+l AS (SELECT *, octet_length(encode(n)) AS ln, octet_length(encode(b)) AS lb, octet_length(encode(t)) AS lt, length(z) AS lz FROM s),
+o AS (SELECT *, 3 + ln AS o1, 4 + ln AS o2, 4 + ln + 20 AS o3, 4 + ln + 34 AS o4, 4 + ln + 47 + lb AS o5 FROM l),
+q AS (SELECT *, o5 + 22 + lt AS o6, o5 + 23 + lt AS o7, o5 + 27 + lt + lb AS o8, o5 + 38 + lt + lb + lz AS o9, o5 + 46 + lt + lb + lz AS o11, o5 + 51 + 2 * lt + lb + lz AS o12 FROM o)
+SELECT p_partkey, u.x.node_no AS node_no, u.x.parent_no AS parent_no, u.x.node_type AS node_type, u.x.marker AS marker, u.x.ordinal AS ordinal, u.x.text AS text, u.x.first_byte AS first_byte, u.x.last_byte AS last_byte
+FROM (SELECT p_partkey, unnest([
+ {'node_no': 0, 'parent_no': NULL, 'node_type': 'DOCUMENT', 'marker': NULL, 'ordinal': NULL, 'text': '', 'first_byte': 0, 'last_byte': o12},
+ {'node_no': 1, 'parent_no': 0, 'node_type': 'HEADING', 'marker': '#', 'ordinal': NULL, 'text': n, 'first_byte': 0, 'last_byte': o1},
+ {'node_no': 2, 'parent_no': 0, 'node_type': 'TABLE', 'marker': NULL, 'ordinal': NULL, 'text': 'key | value' || chr(10) || 'brand | ' || b || chr(10) || 'type | kind | ' || t, 'first_byte': o2, 'last_byte': o6},
+ {'node_no': 3, 'parent_no': 2, 'node_type': 'TABLE_HEAD', 'marker': NULL, 'ordinal': NULL, 'text': 'key | value', 'first_byte': o2, 'last_byte': o3},
+ {'node_no': 4, 'parent_no': 3, 'node_type': 'TABLE_ROW', 'marker': NULL, 'ordinal': NULL, 'text': 'key | value', 'first_byte': o2, 'last_byte': o3},
+ {'node_no': 5, 'parent_no': 4, 'node_type': 'TABLE_CELL', 'marker': NULL, 'ordinal': NULL, 'text': 'key', 'first_byte': o2 + 2, 'last_byte': o2 + 5},
+ {'node_no': 6, 'parent_no': 4, 'node_type': 'TABLE_CELL', 'marker': NULL, 'ordinal': NULL, 'text': 'value', 'first_byte': o2 + 8, 'last_byte': o2 + 17},
+ {'node_no': 7, 'parent_no': 2, 'node_type': 'TABLE_BODY', 'marker': NULL, 'ordinal': NULL, 'text': 'brand | ' || b || chr(10) || 'type | kind | ' || t, 'first_byte': o4, 'last_byte': o6},
+ {'node_no': 8, 'parent_no': 7, 'node_type': 'TABLE_ROW', 'marker': NULL, 'ordinal': NULL, 'text': 'brand | ' || b, 'first_byte': o4, 'last_byte': o5},
+ {'node_no': 9, 'parent_no': 8, 'node_type': 'TABLE_CELL', 'marker': NULL, 'ordinal': NULL, 'text': 'brand', 'first_byte': o4 + 2, 'last_byte': o4 + 7},
+ {'node_no': 10, 'parent_no': 8, 'node_type': 'TABLE_CELL', 'marker': NULL, 'ordinal': NULL, 'text': b, 'first_byte': o4 + 10, 'last_byte': o4 + 10 + lb},
+ {'node_no': 11, 'parent_no': 7, 'node_type': 'TABLE_ROW', 'marker': NULL, 'ordinal': NULL, 'text': 'type | kind | ' || t, 'first_byte': o5, 'last_byte': o6},
+ {'node_no': 12, 'parent_no': 11, 'node_type': 'TABLE_CELL', 'marker': NULL, 'ordinal': NULL, 'text': 'type | kind', 'first_byte': o5 + 2, 'last_byte': o5 + 14},
+ {'node_no': 13, 'parent_no': 11, 'node_type': 'TABLE_CELL', 'marker': NULL, 'ordinal': NULL, 'text': t, 'first_byte': o5 + 17, 'last_byte': o5 + 19 + lt},
+ {'node_no': 14, 'parent_no': 0, 'node_type': 'ORDERED_LIST', 'marker': NULL, 'ordinal': 3, 'text': b || chr(10) || 'size ' || z || chr(10) || 'end', 'first_byte': o7, 'last_byte': o11},
+ {'node_no': 15, 'parent_no': 14, 'node_type': 'LIST_ITEM', 'marker': '3.', 'ordinal': 3, 'text': b || chr(10) || 'size ' || z, 'first_byte': o7, 'last_byte': o9},
+ {'node_no': 16, 'parent_no': 15, 'node_type': 'PARAGRAPH', 'marker': NULL, 'ordinal': NULL, 'text': b, 'first_byte': o7, 'last_byte': o8},
+ {'node_no': 17, 'parent_no': 15, 'node_type': 'UNORDERED_LIST', 'marker': NULL, 'ordinal': NULL, 'text': 'size ' || z, 'first_byte': o8, 'last_byte': o9},
+ {'node_no': 18, 'parent_no': 17, 'node_type': 'LIST_ITEM', 'marker': '-', 'ordinal': NULL, 'text': 'size ' || z, 'first_byte': o8, 'last_byte': o9},
+ {'node_no': 19, 'parent_no': 18, 'node_type': 'PARAGRAPH', 'marker': NULL, 'ordinal': NULL, 'text': 'size ' || z, 'first_byte': o8, 'last_byte': o9},
+ {'node_no': 20, 'parent_no': 14, 'node_type': 'LIST_ITEM', 'marker': '4.', 'ordinal': 4, 'text': 'end', 'first_byte': o9, 'last_byte': o11},
+ {'node_no': 21, 'parent_no': 20, 'node_type': 'PARAGRAPH', 'marker': NULL, 'ordinal': NULL, 'text': 'end', 'first_byte': o9, 'last_byte': o9 + 7},
+ {'node_no': 22, 'parent_no': 0, 'node_type': 'BLOCKQUOTE', 'marker': NULL, 'ordinal': NULL, 'text': t, 'first_byte': o11, 'last_byte': o12},
+ {'node_no': 23, 'parent_no': 22, 'node_type': 'PARAGRAPH', 'marker': NULL, 'ordinal': NULL, 'text': t, 'first_byte': o11, 'last_byte': o12}]) AS x FROM q) u"""
+)
+def markdown_part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of Markdown texts that are built around the columns of the parts."""
+    nodes = M.markdown_tree(_part_texts(spark, sf_dir), "p_partkey", "text")
+    return nodes.select("p_partkey", "node_no", "parent_no", "node_type", "marker", "ordinal", "text", "first_byte", "last_byte")
+
+
+@query(
+    """SELECT p_partkey, CAST(k AS INT) AS block_no, block_type, block_text, section_path, grid FROM (SELECT p_partkey, p_name AS section_path, unnest([
+ {'k': 1, 'block_type': 'TITLE', 'block_text': p_name, 'grid': NULL},
+ {'k': 2, 'block_type': 'TABLE', 'block_text': 'key | value' || chr(10) || 'brand | ' || p_brand || chr(10) || 'type | kind | ' || p_type, 'grid': '[["key","value"],["brand","' || p_brand || '"],["type | kind","' || p_type || '"]]'},
+ {'k': 3, 'block_type': 'LIST', 'block_text': '3. ' || p_brand || chr(10) || '   - size ' || p_size || chr(10) || '4. end', 'grid': NULL},
+ {'k': 4, 'block_type': 'BLOCKQUOTE', 'block_text': '> *' || p_type || '*', 'grid': NULL}], recursive := true) FROM part)"""
+)
+def markdown_part_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-level blocks of the same texts: read titles and grids, sources of the others, sections."""
+    texts = _part_texts(spark, sf_dir)
+    blocks = M.markdown_blocks(M.markdown_tree(texts, "p_partkey", "text"), texts, "p_partkey", "text")
+    return blocks.select("p_partkey", "block_no", "block_type", "block_text", "section_path", F.to_json("rows").alias("grid"))
 
 
 @query()

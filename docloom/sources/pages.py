@@ -21,7 +21,7 @@ BLOCK_TAGS = {"p", "li", "pre", "blockquote"}
 HIDDEN = {"script", "style", "noscript"}
 
 
-def _exploded(df: DataFrame, id_column: str, text_column: str, columns: str, parse: Callable[[str], Iterator[tuple]]) -> DataFrame:
+def exploded(df: DataFrame, id_column: str, text_column: str, columns: str, parse: Callable[[str], Iterator[tuple]]) -> DataFrame:
     """One row per result of ``parse`` on each non-null text, with the text's id."""
     schema = StructType.fromDDL(f"id long, {columns}")
     names = [f.name for f in schema]
@@ -133,7 +133,7 @@ def parse_html(html: str) -> list[tuple[str, str, list]]:
 
 def html_blocks(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, block_no, block_type, block_text): headings are titles, images their alternative text."""
-    return _exploded(df, id_column, text_column, "block_no int, block_type string, block_text string", lambda t: ((k + 1, kind, text) for k, (kind, text, _) in enumerate(parse_html(t))))
+    return exploded(df, id_column, text_column, "block_no int, block_type string, block_text string", lambda t: ((k + 1, kind, text) for k, (kind, text, _) in enumerate(parse_html(t))))
 
 
 def html_table_cells(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -143,75 +143,21 @@ def html_table_cells(df: DataFrame, id_column: str, text_column: str) -> DataFra
         tables = [rows for kind, _, rows in parse_html(html) if kind == "TABLE"]
         return ((t, y, x, cell) for t, rows in enumerate(tables) for y, row in enumerate(rows) for x, cell in enumerate(row))
 
-    return _exploded(df, id_column, text_column, "table_no int, row_no int, column_no int, cell string", parse)
-
-
-_FENCE = re.compile(r" {0,3}(```+|~~~+)")
-_MARK = (
-    ("TITLE", re.compile(r" {0,3}(#{1,6})(?:[ \t]+|$)")),
-    ("THEMATIC_BREAK", re.compile(r" {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$")),
-    ("BLOCKQUOTE", re.compile(r" {0,3}>")),
-    ("LIST", re.compile(r" {0,3}(?:[-+*]|\d{1,9}[.)])(?:[ \t]+|$)")),
-    ("HTML", re.compile(r" {0,3}<[A-Za-z/!?]")),
-)
-_RULE = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+    return exploded(df, id_column, text_column, "table_no int, row_no int, column_no int, cell string", parse)
 
 
 def parse_markdown(source: str) -> list[tuple[str, int, int, int, str]]:
-    """(type, level, first byte, last byte, text) of the top-level blocks, last byte exclusive.
-
-    The subset: headings by number signs, fenced code, quotes, lists, tables
-    with a delimiter row, thematic breaks, HTML blocks and paragraphs.
-    """
-    lines = source.splitlines(keepends=True)
-    offsets = [0]
-    for line in lines:
-        offsets.append(offsets[-1] + len(line.encode()))
-    out, k = [], 0
-
-    def kind_of(line: str) -> tuple[str, int]:
-        if _FENCE.match(line):
-            return "CODE", 0
-        for name, pattern in _MARK:
-            if m := pattern.match(line.rstrip("\r\n")):
-                return name, len(m[1]) if name == "TITLE" else 0
-        return "TEXT", 0
-
-    while k < len(lines):
-        if not lines[k].strip():
-            k += 1
-            continue
-        start, (kind, level) = k, kind_of(lines[k])
-        k += 1
-        if kind == "CODE":
-            mark = _FENCE.match(lines[start])[1]
-            while k < len(lines) and not (lines[k].strip().startswith(mark) and not lines[k].strip().strip(mark[0])):
-                k += 1
-            k = min(len(lines), k + 1)
-        elif kind in ("BLOCKQUOTE", "LIST", "HTML"):
-            while k < len(lines) and lines[k].strip() and (kind_of(lines[k])[0] in (kind, "TEXT")):
-                k += 1
-        elif kind == "TEXT":
-            if "|" in lines[start] and k < len(lines) and "-" in lines[k] and _RULE.match(lines[k].rstrip("\r\n")):
-                kind = "TABLE"
-                while k < len(lines) and lines[k].strip() and "|" in lines[k]:
-                    k += 1
-            else:
-                while k < len(lines) and lines[k].strip() and kind_of(lines[k])[0] == "TEXT":
-                    k += 1
-        text = "".join(lines[start:k]).strip()
-        out.append((kind, level, offsets[start], offsets[k], text.lstrip("#").strip() if kind == "TITLE" else text))
+    """(type, level, first byte, last byte, text) of the top-level blocks, last byte exclusive; a title's text is the read one."""
+    from docloom.sources.markdown import BLOCK_TYPES, parse_tree
+
+    raw, out = source.encode(), []
+    for row in parse_tree(source):
+        if row[1] == 0:
+            kind, level, text, a, b = BLOCK_TYPES[row[2]], row[3] or 0, row[11], row[12], row[13]
+            out.append((kind, level, a, b, text if kind == "TITLE" else raw[a:b].decode().strip()))
     return out
 
 
-def markdown_nodes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, node_no, node_type, level, first_byte, last_byte) of texts read as Markdown."""
-    return _exploded(
-        df, id_column, text_column, "node_no int, node_type string, level int, first_byte long, last_byte long",
-        lambda t: ((k, kind, level, a, b) for k, (kind, level, a, b, _) in enumerate(parse_markdown(t))),
-    )
-
-
 def chunk_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
     """Spans of at most ``size`` characters that overlap, cut at the last paragraph, line, sentence or space that fits."""
     at = 0
@@ -232,7 +178,7 @@ def chunk_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]
 
 def recursive_chunks(df: DataFrame, id_column: str, text_column: str, size: int, overlap: int) -> DataFrame:
     """(id, chunk_no, start, end) of overlapping chunks; every character lies in one at least."""
-    return _exploded(df, id_column, text_column, "chunk_no int, start int, end int", lambda t: ((k, a, b) for k, (a, b) in enumerate(chunk_spans(t, size, overlap))))
+    return exploded(df, id_column, text_column, "chunk_no int, start int, end int", lambda t: ((k, a, b) for k, (a, b) in enumerate(chunk_spans(t, size, overlap))))
 
 
 def token_cost(text: str) -> int:
@@ -271,4 +217,4 @@ def segment_plan(df: DataFrame, id_column: str, text_column: str, most_chars: in
             units, used = units + 1, used + cost
             yield k, a, b, cost, eligible, batch, part
 
-    return _exploded(df, id_column, text_column, "segment_no int, start int, end int, cost long, eligible boolean, batch_no int, text string", parse)
+    return exploded(df, id_column, text_column, "segment_no int, start int, end int, cost long, eligible boolean, batch_no int, text string", parse)

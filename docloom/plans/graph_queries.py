@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators import communities
 from docloom.operators import graph as G
 from docloom.operators import tree
 from docloom.plans.catalogue import query
@@ -72,6 +73,12 @@ def graph_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.label_propagation(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
+@query()
+def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of customers and suppliers by modularity, connected and named by their smallest member."""
+    return communities.communities(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
 @query(
     """WITH s AS (SELECT doc_id AS source_id, text FROM documents), ent AS (SELECT doc_id % 900 AS id, doc_id AS source_id, CASE WHEN doc_id % 50 = 0 THEN '' ELSE source || doc_id END AS name FROM documents),
 c AS (SELECT id, count(*) AS copies FROM ent GROUP BY ALL)

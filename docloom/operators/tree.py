@@ -1,22 +1,30 @@
 """Summary trees: per-document clustering level by level, parents, weighted texts.
 
-Clustering is average linkage on cosine with a bounded cluster size. It runs for
-each document on its own, and a document's vectors are first dealt to blocks of
-bounded size, so no task's work grows with the square of a document.
+Clustering is average linkage on cosine with a bounded cluster size. Documents of
+few items are clustered each in a task. In larger ones, clusters that are each other's nearest merge in rounds: average
+linkage is reducible, so these are the merges that the best pair first would make, and the strongest of them
+give the same clusters. Nearest clusters come from products of blocks of cluster sums.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.graph import written
 
-#: Width of the id ranges that count places on their own.
-RANGE_IDS = 4096
+#: Items up to which a document is clustered in one task; larger ones give the same clusters by rounds.
+IN_TASK = 512
+#: Clusters of a document among which single ones are joined in one task; in larger documents they join in waves, with the same result.
+JOINED_IN_TASK = 16_384
+#: Clusters of a block about; products of two blocks are taken at once.
+BLOCK = 256
 
 
 def average_linkage(unit: np.ndarray, target: int) -> list[list[int]]:
@@ -37,13 +45,9 @@ def average_linkage(unit: np.ndarray, target: int) -> list[list[int]]:
 
 
 def bounded_clusters(unit: np.ndarray, most: int) -> list[list[int]]:
-    """Clusters of at most ``most`` rows: as few as fit, oversize ones split again, single ones joined to the nearest with room."""
+    """Clusters of at most ``most`` rows: as few as fit, oversize ones split again, single ones joined, in their order, to the nearest with room."""
 
-    def split(rows: list[int]) -> list[list[int]]:
-        found = [[rows[k] for k in c] for c in average_linkage(unit[rows], math.ceil(len(rows) / most))]
-        return [d for c in found for d in (split(c) if len(c) > most and len(c) < len(rows) else [c[k : k + most] for k in range(0, len(c), most)])]
-
-    clusters = split(list(range(len(unit)))) if len(unit) else []
+    clusters = oversize_split(unit, most)
     while True:
         lone = next((c for c in clusters if len(c) == 1 and any(len(d) < most and d is not c for d in clusters)), None)
         if lone is None:
@@ -54,34 +58,218 @@ def bounded_clusters(unit: np.ndarray, most: int) -> list[list[int]]:
         clusters.remove(lone)
 
 
-def _dealt(items: DataFrame, block: int) -> DataFrame:
-    """Adds ``block``, by the place in a document's item order; places are counted in ranges of ids and shifted by the ranges before."""
-    from pyspark.sql import Window
+def _packed(clusters: DataFrame, name: str) -> DataFrame:
+    """Rows of (group, cluster, n, total) as blocks of about BLOCK; a block is one row."""
+    counts = clusters.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = clusters.join(counts, "group").withColumn("block", F.pmod(F.xxhash64("cluster"), F.col("blocks")))
+    return dealt.groupBy("group", "block").agg(F.collect_list(F.struct("cluster", "n", "total")).alias(name)).drop("block")
+
+
+def _members(rows: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster, mean vector) of a block, in the order of clusters."""
+    rows = rows.values
+    cluster, n = rows.field("cluster").to_numpy(), rows.field("n").to_numpy()
+    total = rows.field("total").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    order = np.argsort(cluster)
+    return cluster[order], total[order] / n[order, None]
+
+
+def _local_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for group, left, right in zip(*(batch.column(c) for c in ("group", "left", "right")), strict=True):
+            (a, x), (b, y) = _members(left), _members(right)
+            mean = np.round(x @ y.T, 12)
+            mean[a[:, None] == b[None]] = -np.inf
+            at = mean.argmax(1)  # of equal ones the first, so the smallest cluster
+            score = mean[np.arange(len(a)), at]
+            found = np.isfinite(score)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group.as_py()] * int(found.sum()), pa.string()), pa.array(a[found]), pa.array(b[at[found]]), pa.array(score[found])], names=["group", "cluster", "other", "score"]
+            )
+
+
+def nearest_clusters(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(group, cluster, other, score): for each cluster of ``left`` (group, cluster, n, total) the one of ``right`` in its group with the highest mean similarity.
 
-    ranged = items.withColumn("range", F.floor(F.col("item") / RANGE_IDS))
-    sizes = ranged.groupBy("doc", "range").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("doc").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("doc", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    own = Window.partitionBy("doc", "range").orderBy("item")
-    placed = ranged.withColumn("place", F.row_number().over(own) - 1).join(shifts, ["doc", "range"])
-    return placed.withColumn("block", F.floor((F.col("place") + F.col("shift")) / block)).drop("range", "place", "shift")
+    It is not the cluster itself; of equal ones it is the smallest. Blocks keep only their best, so pairs are never listed.
+    """
+    pairs = _packed(left, "left").join(_packed(right, "right"), "group")
+    found = pairs.mapInArrow(_local_best, "group string, cluster long, other long, score double")
+    best = F.min(F.struct((-F.col("score")).alias("less"), "other")).alias("best")
+    return found.groupBy("group", "cluster").agg(best).select("group", "cluster", F.col("best.other").alias("other"), (-F.col("best.less")).alias("score"))
+
+
+def _added(left: str, right: str):
+    return F.zip_with(left, right, lambda x, y: x + y)
+
+
+def merges_of(items: DataFrame, most: int) -> DataFrame:
+    """(group, cluster, other, score, round) of merges of items (group, cluster, total): ``other`` goes into the smaller ``cluster``.
+
+    In each round, pairs that are each other's nearest merge. A group is left when no later merge can be among
+    the strongest that leave one cluster for each ``most`` items.
+    """
+    now = written(items.select("group", "cluster", F.lit(1).cast("long").alias("n"), "total"), "clusters")
+    need = written(now.groupBy("group").agg((F.count("*") - F.ceil(F.count("*") / most)).alias("need")), "need")
+    done, k = None, 0
+    while True:
+        best = written(nearest_clusters(now, now), "nearest")
+        if done is not None:
+            # merges to come are no stronger than the best pair of now
+            top = best.groupBy("group").agg(F.max("score").alias("top"))
+            strong = done.join(top, "group").where("score >= top").groupBy("group").agg(F.count("*").alias("strong"))
+            ready = strong.join(need, "group").where("strong >= need").select("group")
+            best = best.join(written(ready, "ready"), "group", "left_anti")
+        back = best.select("group", F.col("other").alias("cluster"), F.col("cluster").alias("other"))
+        pairs = written(best.where("cluster < other").join(back, ["group", "cluster", "other"]).select("group", "cluster", "other", "score", F.lit(k).alias("round")), "merges")
+        if pairs.isEmpty():
+            return pairs if done is None else done
+        done, k = pairs if done is None else done.unionByName(pairs), k + 1
+        gone = pairs.select("group", F.col("other").alias("cluster"))
+        absorbed = pairs.select("group", "cluster", "other").join(now.select("group", F.col("cluster").alias("other"), F.col("n").alias("m"), F.col("total").alias("more")), ["group", "other"]).drop("other")
+        live = now.join(best.select("group").distinct(), "group", "left_semi").join(gone, ["group", "cluster"], "left_anti").join(absorbed, ["group", "cluster"], "left")
+        now = written(
+            live.select("group", "cluster", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.when(F.col("more").isNotNull(), _added("total", "more")).otherwise(F.col("total")).alias("total")), "clusters"
+        )
+
+
+def _cut(items: DataFrame, most: int) -> DataFrame:
+    """(group, item, cluster) of items (group, item, unit): average linkage into one cluster for each ``most`` items."""
+    named = items.select("group", F.col("item").alias("cluster"), F.col("unit").alias("total"))
+    need = named.groupBy("group").agg((F.count("*") - F.ceil(F.count("*") / most)).alias("need"))
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "round", "cluster"))
+    kept = merges_of(named, most).withColumn("place", place).join(need, "group").where("place <= need")
+    # an absorbed cluster points to what took it in, and that to what took this in
+    up = written(items.select("group", "item").join(kept.select("group", F.col("other").alias("item"), "cluster"), ["group", "item"], "left").select("group", "item", F.coalesce("cluster", "item").alias("cluster")), "up")
+    while True:
+        above = up.select("group", F.col("item").alias("cluster"), F.col("cluster").alias("above"))
+        after = written(up.join(above, ["group", "cluster"]).select("group", "item", F.col("above").alias("cluster"), (F.col("above") != F.col("cluster")).alias("moved")), "up")
+        if after.where("moved").isEmpty():
+            return after.drop("moved")
+        up = after.drop("moved")
 
 
-def cluster_level(items: DataFrame, most: int = 6, block: int = 512) -> DataFrame:
-    """(doc, item, cluster) of items (doc, item, vector); blocks of a document are ranges of its item order."""
-    dealt = _dealt(items, block)
+def _in_task(items: DataFrame, most: int, singles: bool) -> DataFrame:
+    """(group, item, cluster) of groups that fit a task; a cluster is named by its smallest item."""
 
     def run(key, frame):
         frame = frame.sort_values("item").reset_index(drop=True)
-        vectors = np.array(frame["vector"].tolist(), float)
-        lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-        unit = np.divide(vectors, lengths, out=vectors.copy(), where=lengths > 0)
-        label = np.zeros(len(frame), np.int64)
-        for k, rows in enumerate(bounded_clusters(unit, most)):
-            label[rows] = int(frame["block"].iloc[0]) * block + k
-        return frame.assign(cluster=label)[["doc", "item", "cluster"]]
+        unit, ids, label = np.array(frame["unit"].tolist(), float), frame["item"].to_numpy(), frame["item"].to_numpy().copy()
+        for rows in bounded_clusters(unit, most) if singles else oversize_split(unit, most):
+            label[rows] = ids[rows].min()
+        return frame.assign(cluster=label)[["group", "item", "cluster"]]
 
-    return dealt.groupBy("doc", "block").applyInPandas(run, "doc long, item long, cluster long")
+    return items.groupBy("group").applyInPandas(run, "group string, item long, cluster long")
+
+
+def _single_joined(clusters: DataFrame, most: int) -> DataFrame:
+    """The same joins (group, cluster, other) in waves, as if one after another; None where there are none.
+
+    A single cluster waits if an earlier one has the same nearest or wants to join it, or if its nearest is an
+    earlier single one: these go first. All before the first that waits join at once, as they do not change each other's nearest.
+    """
+    now = written(clusters.select("group", "cluster", "n", "total"), "singles")
+    joins = None
+    while True:
+        lone = now.where("n = 1")
+        best = written(nearest_clusters(lone, now.where(F.col("n") < most)), "nearest")
+        if best.isEmpty():
+            return joins
+        first = best.groupBy("group", "other").agg(F.min("cluster").alias("first"))
+        ready = best.join(first, ["group", "other"]).where("cluster = first")
+        wooed = first.select("group", F.col("other").alias("cluster"), F.col("first").alias("by"))
+        earlier = best.select("group", F.col("cluster").alias("other"), F.lit(True).alias("single"))
+        ready = ready.join(wooed, ["group", "cluster"], "left").join(earlier, ["group", "other"], "left")
+        ready = ready.where("(by is null or by > cluster) and (single is null or other > cluster)").select("group", "cluster", "other")
+        # one that has to wait may yet choose anything, so those after it wait too
+        waits = best.join(ready.select("group", "cluster"), ["group", "cluster"], "left_anti").groupBy("group").agg(F.min("cluster").alias("waits"))
+        ready = ready.join(waits, "group", "left").where("waits is null or cluster < waits")
+        # the joined cluster keeps the smaller name
+        ready = written(ready.select("group", F.least("cluster", "other").alias("cluster"), F.greatest("cluster", "other").alias("other")), "joins")
+        joins = ready if joins is None else joins.unionByName(ready)
+        more = ready.join(now.select("group", F.col("cluster").alias("other"), F.col("n").alias("m"), F.col("total").alias("more")), ["group", "other"])
+        left = now.join(more.select("group", F.col("other").alias("cluster")), ["group", "cluster"], "left_anti").join(more.drop("other"), ["group", "cluster"], "left")
+        now = written(left.select("group", "cluster", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.when(F.col("more").isNotNull(), _added("total", "more")).otherwise(F.col("total")).alias("total")), "singles")
+
+
+def _joined_in_task(clusters: DataFrame, most: int) -> DataFrame:
+    """(group, cluster, other) joins of single clusters in their order; ``other`` goes into the smaller ``cluster``."""
+
+    def run(key, frame):
+        frame = frame.sort_values("cluster").reset_index(drop=True)
+        n, total, ids, out = frame["n"].to_numpy().copy(), np.array(frame["total"].tolist(), float), frame["cluster"].to_numpy(), []
+        for s in np.flatnonzero(n == 1):
+            room = (n > 0) & (n < most)
+            room[s] = False
+            if n[s] != 1 or not room.any():
+                continue
+            score = np.where(room, np.round(total @ total[s] / np.maximum(n, 1), 12), -np.inf)
+            best = int(score.argmax())
+            a, b = min(s, best), max(s, best)
+            out.append((key[0], int(ids[a]), int(ids[b])))
+            n[a], total[a], n[b] = n[a] + n[b], total[a] + total[b], 0
+        return pd.DataFrame(out, columns=["group", "cluster", "other"])
+
+    return clusters.groupBy("group").applyInPandas(run, "group string, cluster long, other long")
+
+
+def oversize_split(unit: np.ndarray, most: int) -> list[list[int]]:
+    """Clusters of at most ``most`` rows, single ones included."""
+
+    def split(rows: list[int]) -> list[list[int]]:
+        found = [[rows[k] for k in c] for c in average_linkage(unit[rows], math.ceil(len(rows) / most))]
+        return [d for c in found for d in (split(c) if len(c) > most and len(c) < len(rows) else [c[k : k + most] for k in range(0, len(c), most)])]
+
+    return sorted(split(list(range(len(unit)))), key=min) if len(unit) else []
+
+
+def cluster_level(items: DataFrame, most: int = 6, in_task: int | None = None) -> DataFrame:
+    """(doc, item, cluster) of items (doc, item, vector); a cluster is named by its smallest item.
+
+    As few clusters as ``most`` items each allow; oversize ones are split again, then single ones join, in their order, the nearest with room.
+    """
+    in_task = max(most, IN_TASK if in_task is None else in_task)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x))
+    unit = F.when(length > 0, F.transform("vector", lambda x: x / length)).otherwise(F.col("vector"))
+    rows = written(items.select(F.col("doc").cast("string").alias("group"), F.col("item").cast("long").alias("item"), unit.alias("unit")), "items")
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
+    big = written(sizes.where(F.col("n") > in_task).select("group"), "big")
+    done = _in_task(rows.join(big, "group", "left_anti"), most, True)
+    if big.isEmpty():
+        return done.select(F.col("group").cast("long").alias("doc"), "item", "cluster")
+    large = rows.join(big, "group", "left_semi")
+    open_items, settled = large, None  # a group under work is a document, or a part of it that is still too large
+    while True:
+        found = written(open_items.join(_cut(open_items, most), ["group", "item"]).select("group", "item", "unit", "cluster"), "parts")
+        counts = found.groupBy("group", "cluster").agg(F.count("*").alias("n"))
+        sized = found.join(counts, ["group", "cluster"])
+        inner = F.concat_ws("/", "group", F.col("cluster").cast("string"))
+        fit = sized.where(F.col("n") <= most).select(F.split("group", "/")[0].alias("group"), "item", "cluster")
+        mid = sized.where((F.col("n") > most) & (F.col("n") <= in_task)).select(inner.alias("group"), "item", "unit")
+        mid = _in_task(mid, most, False).select(F.split("group", "/")[0].alias("group"), "item", "cluster")
+        part = written(fit.unionByName(mid), "settled")
+        settled = part if settled is None else settled.unionByName(part)
+        open_items = written(sized.where(F.col("n") > in_task).select(inner.alias("group"), "item", "unit"), "open")
+        if open_items.isEmpty():
+            break
+    named = settled.join(large, ["group", "item"])
+    each = named.select("group", "cluster", F.posexplode("unit").alias("k", "x")).groupBy("group", "cluster", "k").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    totals = each.groupBy("group", "cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("total"))
+    totals = written(totals, "totals")
+    few = totals.groupBy("group").count().where(F.col("count") <= JOINED_IN_TASK).select("group")
+    joins = _joined_in_task(totals.join(few, "group", "left_semi"), most)
+    waves = _single_joined(totals.join(few, "group", "left_anti"), most)
+    joins = written(joins if waves is None else joins.unionByName(waves), "joins")
+    if not joins.isEmpty():
+        up = written(settled.select("group", "cluster").distinct().join(joins.select("group", F.col("other").alias("cluster"), F.col("cluster").alias("into")), ["group", "cluster"], "left").select("group", "cluster", F.coalesce("into", "cluster").alias("into")), "joined")
+        while True:
+            above = up.select("group", F.col("cluster").alias("into"), F.col("into").alias("above"))
+            after = written(up.join(above, ["group", "into"]).select("group", "cluster", F.col("above").alias("into"), (F.col("above") != F.col("into")).alias("moved")), "joined")
+            up = after.drop("moved")
+            if after.where("moved").isEmpty():
+                break
+        settled = settled.join(up, ["group", "cluster"]).select("group", "item", F.col("into").alias("cluster"))
+    return done.unionByName(settled.select("group", "item", "cluster")).select(F.col("group").cast("long").alias("doc"), "item", "cluster")
 
 
 def build_tree(items: DataFrame, most: int = 6, levels: int = 3) -> DataFrame:
@@ -126,8 +314,6 @@ def build_nodes(items: DataFrame, level: int = 1) -> DataFrame:
     keywords. Keywords are counted before anything is collected, so a node
     gathers as many values as it has distinct ones.
     """
-    from pyspark.sql import Window
-
     from docloom.functions import text as T
 
     def frequent(values: DataFrame, most: int) -> DataFrame:

@@ -204,15 +204,3 @@ def test_more_queries_than_a_block(spark):
         (0, 100_000, 100_000, 0.0, 0.0),
         (1, 100_000, 100_000, 0.8, 0.8),
     ]
-
-
-def test_blocks_of_a_tree_level_are_dealt_in_ranges(spark):
-    from docloom.operators import tree
-
-    ids = [-5, 0, 7, 4095, 4096, 4097, 9000, 20000, 20001]
-    items = spark.createDataFrame([(d, k, [1.0]) for d in (1, 2) for k in ids[d - 1 :]], "doc long, item long, vector array<double>")
-    out = tree._dealt(items, 2)
-    assert {(r.doc, r.item): r.block for r in out.collect()} == {(d, k): n // 2 for d in (1, 2) for n, k in enumerate(ids[d - 1 :])}
-    plan = tree.cluster_level(items, 6, 2)._jdf.queryExecution().optimizedPlan().toString()
-    ranked = [line for line in plan.splitlines() if "Window [row_number" in line]
-    assert ranked and all("range" in line.split("windowspecdefinition(")[1].split(" ASC")[0] for line in ranked)

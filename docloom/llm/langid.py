@@ -295,4 +295,8 @@ def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_s
                 keep = [f and s >= least_score and (wanted is None or n in wanted) for n, s, f in zip(names, scores, fits, strict=True)]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.transform(in_batches, run, docs.schema)
+    # Spark's own call takes columns by name, which a dot in one would break
+    names = [f"column {k}" if set(c) & {".", "`"} else c for k, c in enumerate(docs.columns)]
+    ready = docs if names == docs.columns else docs.toDF(*names)
+    kept = ready.transform(in_batches, run, ready.schema)
+    return kept if names == docs.columns else kept.toDF(*docs.columns)

@@ -145,3 +145,10 @@ def test_wrong_labels_give_way_to_clear_predictions(spark):
         assert kept[7002] == "cc"
     loose = {r.doc_id: r.lang for r in L.keep_identified(every, relabel=2.0, model=model).collect()}
     assert (loose[7000], loose[7001]) == ("bb", "xx")
+
+
+def test_columns_with_dots_pass_through(spark):
+    df, truth = docs(spark, 60)
+    named = df.where("lang is not null").withColumnRenamed("node", "a.b")
+    kept = L.keep_identified(named)
+    assert kept.columns == named.columns and {r.doc_id: r.lang for r in kept.collect()} == truth

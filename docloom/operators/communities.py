@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from docloom.operators.graph import both_ways, components, written
+from docloom.operators.graph import both_ways, components, usable_edges, written
 
 def links_of(edges: DataFrame) -> DataFrame:
     """Undirected links (source, target, weight) of edges (source, target): repeated ones count once, edges from a node to itself do not."""
@@ -107,8 +107,7 @@ def communities(nodes: DataFrame, edges: DataFrame, passes: int = 1, levels: int
     not count; a node without a link is a community of its own; repeated nodes count once.
     """
     nodes = nodes.select("node").where("node is not null").distinct()
-    ends = links_of(edges).join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
-    base = written(ends.select("source", "target", "weight"), "links")
+    base = written(links_of(usable_edges(edges, nodes)), "links")
     power = written(strengths(base), "strengths")
     labels = power.select("node", F.col("node").alias("community"), "strength")
     for _ in range(passes):

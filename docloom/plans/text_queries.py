@@ -249,6 +249,22 @@ def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.round(F.when(F.col("n_tokens") == 0, empty).otherwise(F.col("held") / F.col("n_tokens")), 6).alias("score"))
 
 
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, role, text,
+   string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM conversations),
+t AS (SELECT conv_id, {TOKENS.format('text')} AS a, {TOKENS.format('context')} AS b FROM c WHERE role = 'assistant'),
+s AS (SELECT conv_id, round(CASE WHEN len(a) = 0 THEN (CASE WHEN len(b) = 0 THEN 1.0 ELSE 0.0 END) ELSE len(list_filter(a, lambda x: list_contains(b, x))) * 1.0 / len(a) END, 6) AS score FROM t)
+SELECT k.conv_id, count(score) AS n_replies, round(coalesce(avg(score), 0), 6) AS mean_score FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN s ON s.conv_id = k.conv_id GROUP BY k.conv_id"""
+)
+def faithfulness_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean score of each conversation's replies, 0 where it has none."""
+    every = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    means = faithfulness(spark, sf_dir).groupBy("conv_id").agg(F.count("score").alias("n_replies"), F.avg("score").alias("mean"))
+    return every.join(means, "conv_id", "left").select(
+        "conv_id", F.coalesce("n_replies", F.lit(0)).cast("long").alias("n_replies"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean_score")
+    )
+
+
 @query(
     r"""WITH a AS (SELECT conv_id, turn, text || ' [1] and [' || (turn + 2) || '] [1]' AS reply, turn FROM conversations WHERE role = 'assistant'),
 n AS (SELECT DISTINCT conv_id, turn, CAST(unnest(regexp_extract_all(reply, '\[(\d+)\]', 1)) AS INT) AS cited FROM a),

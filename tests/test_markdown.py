@@ -132,7 +132,7 @@ def test_random_texts_give_sound_trees(spark):
 
 
 def test_faults_are_named(spark):
-    tree = M.markdown_tree(spark.createDataFrame([(1, "| k | v |\n|---|---|\n| a | b |\n\n1. x\n")], "id long, text string"), "id", "text").localCheckpoint()
+    tree = M.markdown_tree(spark.createDataFrame([(1, "| k | v |\n|---|---|\n| a | b |\n\n1. x\n")], "id long, text string"), "id", "text").cache()
     change = lambda where, column, value: tree.withColumn(column, M.F.when(M.F.expr(where), M.F.expr(value)).otherwise(M.F.col(column)))
     said = lambda df: {r.fault for r in M.tree_faults(df, "id").collect()}
     assert said(tree) == set()

@@ -28,15 +28,6 @@ ROWS, COLUMNS = 512, 256
 WEIGHTS = {"vector": 1.0, "keyword": 1.1, "table": 1.2, "graph": 1.1, "tree": 1.05}
 
 
-def postings(docs: DataFrame, id_column: str, text_column: str, terms: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl): the inverted index, or the part of it that ``terms`` asks for, cut out before anything is counted."""
-    tokens = docs.select(F.col(id_column).alias("id"), eval_tokens(F.col(text_column)).alias("tokens"))
-    each = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        each = each.join(terms, "term", "left_semi")
-    return each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
 def _blocks(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
     """Queries dealt by hash to as many blocks as keep each near ``size`` rows."""
     n = max(1, -(-queries.count() // size))

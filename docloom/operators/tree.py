@@ -356,15 +356,3 @@ def inner_similarity(items: DataFrame) -> DataFrame:
     sums = each.groupBy("doc", "cluster").agg(F.max("n").alias("n"), (F.sum(F.col("s") * F.col("s")) - F.sum("q")).alias("pairs"))
     mean = F.when(F.col("n") > 1, F.col("pairs") / (F.col("n") * (F.col("n") - 1)))
     return sums.groupBy("doc").agg(F.coalesce(F.avg(mean), F.lit(0.0)).alias("similarity"))
-
-
-def cluster_signals(clusters: DataFrame, most: int) -> DataFrame:
-    """Per document: clusters, mean and largest size, single ones, compression and balance."""
-    from docloom.functions.scalars import balance_score
-
-    sizes = clusters.groupBy("doc", "cluster").agg(F.count("*").alias("n"))
-    out = sizes.groupBy("doc").agg(
-        F.count("*").alias("n_clusters"), F.avg("n").alias("mean_size"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("single"), F.sum("n").alias("n_items")
-    )
-    out = out.withColumn("compression", F.round(F.col("n_clusters") / F.col("n_items"), 4))
-    return out.withColumn("balance", F.round(balance_score(F.col("single"), F.col("n_clusters"), F.col("mean_size"), F.lit(most)), 4))

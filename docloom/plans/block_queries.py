@@ -50,6 +50,14 @@ def citable_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.citable(refs).select("event_id", "event_type")
 
 
+@query("SELECT event_id, event_type = 'purchase' OR user_id % 5 = 0 OR value > 90 AS is_table FROM events")
+def table_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which references point into a table: those with a table, row or column of their own."""
+    e = table(spark, sf_dir, "events")
+    fields = (F.when(F.col("event_type") == "purchase", F.col("event_type")), F.when(F.col("user_id") % 5 == 0, F.col("user_id")), F.when(F.col("value") > 90, F.col("value")))
+    return e.select("event_id", B.is_table_reference(*fields).alias("is_table"))
+
+
 @query("SELECT event_type AS reason, count(*) AS n FROM events GROUP BY ALL")
 def rejection_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejections by reason; all are counted whatever the sample holds."""

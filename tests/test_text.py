@@ -111,3 +111,13 @@ def test_maps(spark):
     merged = S.without_empty(S.merge_maps(S.json_map(F.lit('{"a": "1", "b": ""}')), S.json_map(F.lit('{"a": 2, "c": null}'))))
     assert value(spark, merged) == {"a": "2"}
     assert value(spark, S.json_map(F.lit("[]"))) == {}
+
+
+def test_options_outside_their_limits_are_named():
+    from docloom.functions import scalars as S
+
+    good = {name: low for name, (low, _) in S.EXTRACTION_LIMITS.items()}
+    assert S.in_ranges(good, S.EXTRACTION_LIMITS) == []
+    bad = good | {"batchChunkLimit": True, "maxQuoteChars": 2001, "maxUnitTextChars": 50.0, "outputReserve": None}
+    bad.pop("promptReserve")
+    assert S.in_ranges(bad, S.EXTRACTION_LIMITS) == ["batchChunkLimit", "maxQuoteChars", "maxUnitTextChars", "outputReserve", "promptReserve"]

@@ -190,7 +190,7 @@ def cascade(ranked: DataFrame, candidates: int, reranked: int, final: int) -> Da
     again = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "doc_id")
     kept = first.where(F.col("rank") <= reranked).withColumn("final_rank", F.row_number().over(again))
     dropped = first.where(F.col("rank") > reranked).withColumn("final_rank", F.lit(None).cast("int"))
-    reason = F.when(F.col("final_rank").isNull(), "FILTERED_BY_RERANK_WINDOW").when(F.col("final_rank") <= final, "SELECTED_BY_RERANK").otherwise("FILTERED_BY_FINAL_TOP_K")
+    reason = F.when(F.col("final_rank").isNull(), "FILTERED_BY_RERANK_CANDIDATE_TOP_K").when(F.col("final_rank") <= final, "SELECTED_BY_RANK").otherwise("FILTERED_BY_FINAL_TOP_K")
     return kept.unionByName(dropped).withColumn("reason", reason)
 
 

@@ -105,7 +105,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {VECTOR}, f AS (SELECT * FROM vr WHERE rank <= 40),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score * (1 + doc_id % 3) DESC, doc_id) AS INT) AS final_rank FROM f WHERE rank <= 24)
-SELECT query_id, doc_id, rank, final_rank, CASE WHEN final_rank IS NULL THEN 'FILTERED_BY_RERANK_WINDOW' WHEN final_rank <= 6 THEN 'SELECTED_BY_RERANK' ELSE 'FILTERED_BY_FINAL_TOP_K' END AS reason
+SELECT query_id, doc_id, rank, final_rank, CASE WHEN final_rank IS NULL THEN 'FILTERED_BY_RERANK_CANDIDATE_TOP_K' WHEN final_rank <= 6 THEN 'SELECTED_BY_RANK' ELSE 'FILTERED_BY_FINAL_TOP_K' END AS reason
 FROM f LEFT JOIN (SELECT query_id, doc_id, final_rank FROM r) USING (query_id, doc_id)"""
 )
 def topk_cascade_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:

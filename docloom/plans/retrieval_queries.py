@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
+from docloom.operators import keyword_index as K
 from docloom.operators import retrieval as R
 from docloom.operators import vector_index as V
 from docloom.plans.catalogue import query
+from docloom.plans.text_queries import BLOCKS, blocks
 from docloom.sources.tables import table
 
 TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
@@ -53,6 +55,65 @@ def keyword_relative_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.relative_floor(keyword_scores(spark, sf_dir, share=0.25), 0.25)
 
 
+def grain_sql(units: str) -> str:
+    """BM25 of units (id, text), several rows of an id being one unit, with every posting scored."""
+    return f"""WITH r AS ({units}), d AS (SELECT id, {TOKENS} AS toks FROM r),
+l AS (SELECT id, sum(len(toks)) AS dl FROM d GROUP BY ALL), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+bm AS (SELECT query_id, tf.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+ FROM q JOIN tf USING (term) JOIN df USING (term) JOIN l ON l.id IS NOT DISTINCT FROM tf.id, stats GROUP BY ALL),
+kw AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM bm)"""
+
+
+CHUNKS, SECTIONS, ROUTES = (
+    f"SELECT {{'doc_id': doc_id, 'block_no': block_no}} AS id, block_text AS text FROM ({BLOCKS})",
+    "SELECT doc_id AS id, text FROM documents",
+    "SELECT {'scope': coalesce(source, ''), 'topic': coalesce(lang, '')} AS id, text FROM documents",
+)
+
+
+def grain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """(unit, text) of the three grains: blocks of a text, texts, and all texts of a scope and topic."""
+    if name == "chunk":
+        return blocks(spark, sf_dir).select(F.struct("doc_id", "block_no").alias("unit"), F.col("block_text").alias("text"))
+    docs = table(spark, sf_dir, "documents")
+    if name == "section":
+        return docs.select(F.col("doc_id").alias("unit"), "text")
+    blank = F.lit("")
+    return docs.select(F.struct(F.coalesce("source", blank).alias("scope"), F.coalesce("lang", blank).alias("topic")).alias("unit"), "text")
+
+
+def indexed(spark: SparkSession, sf_dir: str, name: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Hits and work of all benchmark items in the keyword index of a grain."""
+    return K.search(table(spark, sf_dir, "benchmark"), K.build(grain(spark, sf_dir, name), "unit", "text"), "item_id", "text", k)
+
+
+@query(f"{grain_sql(CHUNKS)} SELECT query_id, id.doc_id AS doc_id, id.block_no AS block_no, score, rank FROM kw WHERE rank <= 10")
+def keyword_index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best blocks of texts by the keyword index."""
+    return indexed(spark, sf_dir, "chunk")[0].select("query_id", "unit.doc_id", "unit.block_no", "score", "rank")
+
+
+@query(f"{grain_sql(SECTIONS)} SELECT query_id, id AS doc_id, score, rank FROM kw WHERE rank <= 10")
+def keyword_index_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best whole texts by the keyword index, the same as ``bm25_topk`` by scoring every text."""
+    return indexed(spark, sf_dir, "section")[0].withColumnRenamed("unit", "doc_id")
+
+
+@query(f"{grain_sql(ROUTES)} SELECT query_id, id.scope AS scope, id.topic AS topic, score, rank FROM kw WHERE rank <= 3")
+def keyword_index_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three best scopes and topics by the words of all their texts."""
+    return indexed(spark, sf_dir, "route", 3)[0].select("query_id", "unit.scope", "unit.topic", "score", "rank")
+
+
+@query()
+def keyword_index_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of each query's terms at the grain of texts, and how many of them its search reads."""
+    return indexed(spark, sf_dir, "section")[1]
+
+
 @query(f"WITH {VECTOR} SELECT query_id, doc_id, score, rank FROM vr WHERE rank <= 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector channel: ten nearest by cosine."""

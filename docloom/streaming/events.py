@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 MESSAGE = "message_id string, text string, thinking string, references string, status string, n_events long"
 
@@ -29,8 +31,8 @@ def fold(state: dict, kind: str, value: str) -> dict:
         return state
     if kind == "text":
         state["text"] += value or ""
-    elif kind == "thinking" and value and value not in state["thinking"].split("\n"):
-        state["thinking"] = (state["thinking"] + "\n" + value).strip("\n")
+    elif kind == "thinking" and value and value not in state["thoughts"]:
+        state["thoughts"].append(value)
     elif kind == "reference":
         state["references"] = value or ""
     elif kind == "error":
@@ -41,41 +43,69 @@ def fold(state: dict, kind: str, value: str) -> dict:
 
 
 def _blank() -> dict:
-    return {"text": "", "thinking": "", "references": "", "status": "STREAMING"}
+    return {"text": "", "thoughts": [], "references": "", "status": "STREAMING"}
 
 
 def fold_batch(events: DataFrame) -> DataFrame:
-    """Messages from all their events (message_id, seq, kind, value), grouped per message."""
-
-    def run(key, frame):
-        state = _blank()
-        for kind, value in frame.sort_values("seq", kind="stable")[["kind", "value"]].itertuples(index=False):
-            state = fold(state, kind, value)
-        return pd.DataFrame([{"message_id": key[0], **state, "n_events": len(frame)}])
-
-    return events.groupBy("message_id").applyInPandas(run, MESSAGE)
-
-
-def fold_stream(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
-    """Messages as their events arrive in order; state of a message is dropped after it was idle."""
-    wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        text, thinking, references, status, n = state.get if state.exists else ("", "", "", "STREAMING", 0)
-        now = {"text": text, "thinking": thinking, "references": references, "status": status}
-        for frame in frames:
-            for kind, value in frame.sort_values("seq", kind="stable")[["kind", "value"]].itertuples(index=False):
-                now = fold(now, kind, value)
-                n += 1
-        state.update((now["text"], now["thinking"], now["references"], now["status"], n))
-        state.setTimeoutDuration(wait_ms)
-        yield pd.DataFrame([{"message_id": key[0], **now, "n_events": n}])
-
-    stored = "text string, thinking string, references string, status string, n long"
-    return events.groupBy("message_id").applyInPandasWithState(run, MESSAGE, stored, "update", "ProcessingTimeTimeout")
+    """Messages from all their events (message_id, seq, kind, value), by column functions; events of one seq go by kind and value.
+
+    What comes after an error counts but changes nothing. A message is as long as its own events.
+    """
+    listed = F.sort_array(F.collect_list(F.struct("seq", "kind", F.coalesce("value", F.lit("")).alias("value"))))
+    failed = F.array_position(F.transform("events", lambda e: e["kind"]), "error")
+    counted = events.groupBy("message_id").agg(listed.alias("events")).withColumn("failed", failed)
+    counted = counted.withColumn("held", F.when(F.col("failed") > 0, F.slice("events", 1, (F.col("failed") - 1).cast("int"))).otherwise(F.col("events")))
+    of = lambda kind: F.transform(F.filter("held", lambda e: e["kind"] == kind), lambda e: e["value"])
+    status = F.when(F.col("failed") > 0, "FAILED").when(F.exists("held", lambda e: e["kind"] == "done"), "DONE").otherwise("STREAMING")
+    thoughts = F.array_join(F.array_distinct(F.filter(of("thinking"), lambda v: v != "")), "\n")
+    reference = F.coalesce(F.try_element_at(of("reference"), F.lit(-1)), F.lit(""))
+    return counted.select(
+        "message_id", F.array_join(of("text"), "").alias("text"), thoughts.alias("thinking"), reference.alias("references"), status.alias("status"), F.size("events").cast("long").alias("n_events")
+    )
+
+
+class _Fold(StatefulProcessor):
+    """Keeps a message's events in a list state and folds all of them by seq whenever some arrive; a timer ends an idle message."""
+
+    def __init__(self, idle_ms: int, kept_ms: int):
+        self.idle_ms, self.kept_ms = idle_ms, kept_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "seq long, kind string, value string", self.kept_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        fresh = [(int(s), k, None if pd.isna(v) else v) for frame in rows for s, k, v in frame[["seq", "kind", "value"]].itertuples(index=False)]
+        self.events.appendList(fresh)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        known = sorted((tuple(e) for e in self.events.get()), key=lambda e: (e[0], e[1], e[2] or ""))
+        message = _blank()
+        for _, kind, value in known:
+            message = fold(message, kind, value)
+        thinking = "\n".join(message.pop("thoughts"))
+        yield pd.DataFrame([{"message_id": key[0], "text": message["text"], "thinking": thinking, "references": message["references"], "status": message["status"], "n_events": len(known)}])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.events.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def fold_stream(events: DataFrame, idle: str = "10 minutes", kept: str = "1 day") -> DataFrame:
+    """Messages as their events arrive, in whatever order: an event of a later trigger with a smaller seq takes its place in the fold.
+
+    A message's events are dropped after it was idle, and at the latest after
+    ``kept``, their time to live. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``). As timers ask for batches
+    without data, a query that is to end by itself (``availableNow``) needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
+    """
+    ms = lambda length: int(pd.Timedelta(length).total_seconds() * 1000)
+    return events.groupBy("message_id").transformWithStateInPandas(_Fold(ms(idle), ms(kept)), MESSAGE, "Update", "ProcessingTime")
 
 
 def current_run(events: DataFrame, active: DataFrame) -> DataFrame:

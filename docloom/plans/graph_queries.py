@@ -198,6 +198,12 @@ def chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.recursive_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 800, 120)
 
 
+@query()
+def parent_child_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of every text, cut to parents, and their children."""
+    return P.parent_child_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query()
 def segment_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments that cover every text once, packed into batches by token cost."""

@@ -181,6 +181,49 @@ def recursive_chunks(df: DataFrame, id_column: str, text_column: str, size: int,
     return exploded(df, id_column, text_column, "chunk_no int, start int, end int", lambda t: ((k, a, b) for k, (a, b) in enumerate(chunk_spans(t, size, overlap))))
 
 
+_HEADING = re.compile(r"^(#{1,6})[ \t]+(.*)$", re.M)
+
+
+def sections_of(text: str) -> Iterator[tuple[str, int, int]]:
+    """(path, start, end) of the sections that headings open: a stack of open headings gives the path, text before the first has none.
+
+    A heading closes those of its own level and of deeper ones. Sections cover
+    every character once.
+    """
+    stack: list[tuple[int, str]] = []
+    at, path = 0, ""
+    for mark in _HEADING.finditer(text):
+        if mark.start() > at:
+            yield path, at, mark.start()
+        level, at = len(mark[1]), mark.start()
+        stack = [h for h in stack if h[0] < level] + [(level, mark[2].strip())]
+        path = " > ".join(title for _, title in stack)
+    if at < len(text):
+        yield path, at, len(text)
+
+
+def parent_child_chunks(df: DataFrame, id_column: str, text_column: str, parent: tuple[int, int] = (2200, 180), child: tuple[int, int] = (800, 120)) -> DataFrame:
+    """(id, section_no, section_path, parent_no, parent_start, parent_end, child_no, start, end) of two levels of chunks; sizes are (most characters, overlap).
+
+    Parents end at headings and are cut where a section is too long; children
+    are cut from one parent each, so each lies in its parent and every character
+    in one child at least. Both are numbered over the text. Null and empty texts
+    have no rows.
+    """
+
+    def parse(text: str) -> Iterator[tuple]:
+        parents = children = 0
+        for no, (path, first, last) in enumerate(sections_of(text)):
+            for a, b in chunk_spans(text[first:last], *parent):
+                for c, d in chunk_spans(text[first + a : first + b], *child):
+                    yield no, path, parents, first + a, first + b, children, first + a + c, first + a + d
+                    children += 1
+                parents += 1
+
+    columns = "section_no int, section_path string, parent_no int, parent_start int, parent_end int, child_no int, start int, end int"
+    return exploded(df, id_column, text_column, columns, parse)
+
+
 def token_cost(text: str) -> int:
     """Bytes of the text as canonical JSON, and a fixed frame."""
     return len(json.dumps(text, ensure_ascii=False).encode()) + 64

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+#: Rows of a partition about, where a task sorts or holds the keys of a partition.
+PART_ROWS = 500_000
+#: Parts by hash of a node's neighbours, so that no task gets all that a seed reaches.
+SPREAD = 16
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -31,36 +35,52 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(df: DataFrame, rows: int = PART_ROWS) -> int:
+    """Partitions that keep ``df``, a table as it is read, near ``rows`` rows each; never fewer than the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def usable_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (source, target) of which both ends are nodes (node)."""
     return edges.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target")
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct()
+def both_ways(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Links (source, target) in both directions, each once; ``parts`` partitions if given, so that a task's share can stay the same as edges grow."""
+    ends = F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target")))
+    both = edges.where("source <> target").select(F.explode(ends).alias("e")).select("e.source", "e.target")
+    return (both.repartition(parts, "source", "target") if parts else both).distinct()
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def degrees(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, degree) with 0 for isolated nodes."""
-    counted = both_ways(edges).groupBy(F.col("source").alias("node")).agg(F.count("*").alias("degree"))
+    counted = both_ways(edges, parts).groupBy(F.col("source").alias("node")).agg(F.count("*").alias("degree"))
     return nodes.join(counted, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def within_hops(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(seed, node, distance) of the nodes within some hops of each seed, the shortest distance kept."""
-    links = both_ways(edges)
-    reached = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance"))
-    front = reached
+def within_hops(seeds: DataFrame, edges: DataFrame, hops: int, parts: int | None = None) -> DataFrame:
+    """(seed, node, distance) of the nodes within some hops of each seed, the shortest distance kept.
+
+    Neighbours move as arrays, and are listed only where all that a seed reaches
+    of one part of the nodes meets; so a step shuffles no row per path.
+    """
+    part = lambda node: F.pmod(F.xxhash64(node), F.lit(SPREAD)).alias("part")
+    near = both_ways(edges, parts).groupBy("source", part("target")).agg(F.collect_list("target").alias("nodes"))
+    near = written(near, "near") if hops > 1 else near
+    reached = seeds.select(F.col("node").alias("seed"), part("node"), "node", F.lit(0).alias("distance"))
     for k in range(hops):
-        step = front.join(links, F.col("node") == F.col("source")).select("seed", F.col("target").alias("node"), F.lit(k + 1).alias("distance")).distinct()
-        front = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti")
-        reached = reached.unionByName(front)
-    return reached
+        front = reached.where(F.col("distance") == k).select("seed", F.col("node").alias("source"))
+        step = front.join(near, "source").select("seed", "part", "nodes", F.lit(k + 1).alias("distance"))
+        met = step.unionByName(reached.select("seed", "part", F.array("node").alias("nodes"), "distance"))
+        met = met.repartition(parts, "seed", "part") if parts else met.repartition("seed", "part")
+        reached = met.select("seed", "part", F.explode("nodes").alias("node"), "distance").groupBy("seed", "part", "node").agg(F.min("distance").alias("distance"))
+        reached = written(reached, "reached") if k < hops - 1 else reached
+    return reached.select("seed", "node", "distance")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, by rounds of minima and pointer jumps until nothing changes."""
-    links = written(both_ways(edges), "links")
+    links = written(both_ways(edges, parts), "links")
     labels = written(nodes.select("node", F.col("node").alias("component")), "labels")
     while True:
         near = links.join(labels, F.col("source") == F.col("node")).groupBy(F.col("target").alias("n")).agg(F.min("component").alias("m"))
@@ -73,9 +93,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = after
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5, parts: int | None = None) -> DataFrame:
     """(node, community): each round a node takes its neighbours' most frequent label, ties to the smallest; named by the smallest member."""
-    links = written(both_ways(edges), "links")
+    links = written(both_ways(edges, parts), "links")
     labels = nodes.select("node", F.col("node").alias("community"))
     for _ in range(rounds):
         votes = links.join(labels, F.col("source") == F.col("node")).groupBy(F.col("target").alias("n"), "community").agg(F.count("*").alias("votes"))

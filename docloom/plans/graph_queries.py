@@ -22,16 +22,23 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("node")).unionByName(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("node")))
 
 
+def edge_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for the links of orders; there is at most one for each line."""
+    return G.parts_for(table(spark, sf_dir, "lineitem"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers that orders link."""
-    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.expr("o_orderkey = l_orderkey"))
-    return joined.select((F.col("o_custkey") * 2).alias("source"), (F.col("l_suppkey") * 2 + 1).alias("target")).distinct()
+    """Customers and suppliers that orders link, in partitions whose number grows with the lines."""
+    parts = edge_parts(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey")
+    joined = orders.join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").repartition(parts, "l_orderkey").hint("merge"), F.expr("o_orderkey = l_orderkey"))
+    return joined.select((F.col("o_custkey") * 2).alias("source"), (F.col("l_suppkey") * 2 + 1).alias("target")).repartition(parts, "source", "target").distinct()
 
 
 @query(f"WITH {EDGES}, {NODES}, {BOTH}, d AS (SELECT source, count(*) AS degree FROM b GROUP BY ALL) SELECT node, coalesce(degree, 0) AS degree FROM n LEFT JOIN d ON source = node")
 def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degree of every node, isolated ones included."""
-    return G.degrees(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return G.degrees(nodes(spark, sf_dir), edges(spark, sf_dir), parts=edge_parts(spark, sf_dir))
 
 
 @query(
@@ -42,7 +49,7 @@ SELECT seed, node, CAST(min(distance) AS INT) AS distance FROM u GROUP BY ALL"""
 def graph_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes within two hops of some seeds."""
     e = edges(spark, sf_dir)
-    return G.within_hops(e.where("source % 100 = 0").select(F.col("source").alias("node")).distinct(), e, 2)
+    return G.within_hops(e.where("source % 100 = 0").select(F.col("source").alias("node")).distinct(), e, 2, edge_parts(spark, sf_dir))
 
 
 @query(
@@ -55,7 +62,7 @@ def graph_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components named by their smallest node."""
-    return G.components(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return G.components(nodes(spark, sf_dir), edges(spark, sf_dir), parts=edge_parts(spark, sf_dir))
 
 
 @query(
@@ -70,7 +77,7 @@ l{k + 1} AS MATERIALIZED (SELECT l{k}.node, coalesce(w{k}.c, l{k}.c) AS c FROM l
 )
 def graph_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities by label propagation, named by their smallest member."""
-    return G.label_propagation(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return G.label_propagation(nodes(spark, sf_dir), edges(spark, sf_dir), parts=edge_parts(spark, sf_dir))
 
 
 @query()
@@ -137,7 +144,9 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Markdown text per part: title, table, nested list and quote around its columns."""
     text = """concat('# ', p_name, '\n\n| key | **value** |\n| :-- | --: |\n| brand | ', p_brand, ' |\n| type \\\\| kind | `', p_type, '` |\n\n3. ', p_brand, '\n   - size ', p_size, '\n4. end\n\n> *', p_type, '*\n')"""
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr(text).alias("text"))
+    # a part is a short row whose text takes long to parse: parts are dealt out, as a file of them may be a single task's
+    parts = table(spark, sf_dir, "part")
+    return parts.repartition(G.parts_for(parts, 5000), "p_partkey").select("p_partkey", F.expr(text).alias("text"))
 
 
 @query(

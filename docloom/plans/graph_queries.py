@@ -83,7 +83,7 @@ def graph_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of customers and suppliers by modularity, connected and named by their smallest member."""
-    return communities.communities(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return communities.communities(nodes(spark, sf_dir), edges(spark, sf_dir), parts=edge_parts(spark, sf_dir))
 
 
 @query(

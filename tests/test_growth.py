@@ -2,6 +2,7 @@
 
 import random
 
+from docloom.operators import communities as C
 from docloom.operators import graph as G
 from docloom.plans import graph_queries as Q
 
@@ -45,3 +46,10 @@ def test_hops_list_neighbours_only_where_they_meet(spark):
     shown = plan(found).splitlines()
     listed, dealt = (next(k for k, line in enumerate(shown) if word in line) for word in ("Generate explode(nodes", "REPARTITION_BY_NUM"))
     assert listed < dealt
+
+
+def test_links_of_communities_move_packed(spark):
+    links = C.links_of(spark.createDataFrame([(0, k) for k in range(1, 3001)], "source long, target long"))
+    near = [(r.target, [x.source for x in r.near]) for r in C.packed(links).collect()]
+    assert len(near) == 3003 and max(len(x) for _, x in near) < 2 * C.BLOCK
+    assert sorted((s, t) for t, x in near for s in x) == sorted((r.source, r.target) for r in links.collect())

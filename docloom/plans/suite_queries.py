@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docloom.functions import scalars as S
 from docloom.functions import text as T
 from docloom.operators import tree
+from docloom.operators.graph import parts_for
 from docloom.plans.catalogue import query
 from docloom.sources import files
 from docloom.sources.tables import table
@@ -23,6 +24,12 @@ def _case(cases: dict, key: str = "event_id") -> Column:
     return F.get(F.array(*[F.lit(x) for x in inputs]), (F.col(key) % len(inputs)).cast("int"))
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events dealt out: their rows are short but take long, and a file of them may be a single task's."""
+    events = table(spark, sf_dir, "events").select("event_id")
+    return events.repartition(parts_for(events, 25_000), "event_id")
+
+
 def _expected(cases: dict, key: str = "event_id") -> str:
     said = ", ".join("NULL" if v is None else f"'{str(v).replace(chr(39), chr(39) * 2)}'" for v in cases.values())
     return f"list_extract([{said}], CAST({key} % {len(cases)} AS INT) + 1)"
@@ -60,7 +67,7 @@ def text_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "labels": lambda c: joined(T.label_set(c, {"公开": "PUBLIC", "内部": "INTERNAL"})), "pages": lambda c: T.merge_page_ranges(F.split(c, "#")), "reply": T.summary_of_reply, "error": T.operator_error,
         "template": lambda c: T.render_template("{{a}}-{{c}} y", a=F.when(c == "x", c), c=F.lit(None)), "terms": lambda c: joined(T.extract_terms(c)), "hashed": lambda c: T.stable_hash(c).cast("string"),
     }
-    return table(spark, sf_dir, "events").select("event_id", *[got[name](_case(cases)).alias(name) for name, cases in TEXTS.items()])
+    return _events(spark, sf_dir).select("event_id", *[got[name](_case(cases)).alias(name) for name, cases in TEXTS.items()])
 
 
 VALUES = {
@@ -105,7 +112,7 @@ def value_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "parser": lambda c: files.route(files.file_type(c, none, no_type)), "decoded": lambda c: files.decode_text(files.decode_base64(c)), "table": lambda c: T.table_text(grid(c)),
         "html": lambda c: T.table_html(grid(c)),
     }
-    return table(spark, sf_dir, "events").select("event_id", *[got[name](_case(cases)).alias(name) for name, cases in VALUES.items()])
+    return _events(spark, sf_dir).select("event_id", *[got[name](_case(cases)).alias(name) for name, cases in VALUES.items()])
 
 
 SHOWN = ("%Y-%m-%d", "%Y-%m-%d %H", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S:%g", "%Y%m%d", "%Y%m%d%H", "%Y%m%d%H%M", "%Y%m%d%H%M%S", "%Y%m%d%H%M%S%g", "%Y-%m-%dT%H:%M:%S.%gZ")

@@ -4,7 +4,9 @@ import random
 
 from docloom.operators import communities as C
 from docloom.operators import graph as G
+from docloom.operators import retrieval as R
 from docloom.plans import graph_queries as Q
+from docloom.plans import suite_queries as S
 
 
 def plan(df):
@@ -53,3 +55,15 @@ def test_links_of_communities_move_packed(spark):
     near = [(r.target, [x.source for x in r.near]) for r in C.packed(links).collect()]
     assert len(near) == 3003 and max(len(x) for _, x in near) < 2 * C.BLOCK
     assert sorted((s, t) for t, x in near for s in x) == sorted((r.source, r.target) for r in links.collect())
+
+
+def test_cases_deal_their_events_out(spark, sf_dir):
+    assert all("REPARTITION_BY_NUM" in plan(q(spark, sf_dir)) for q in (S.text_cases, S.value_cases))
+
+
+def test_keyword_scores_bound_their_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    rows = spark.createDataFrame([(1, "a b"), (2, "b")], "id long, text string")
+    assert R.bm25(rows, rows, "id", "text", "id", "text").count() == 4
+    assert spark.conf.get(name, None) == "6m"

@@ -42,9 +42,11 @@ def build(rows: DataFrame, unit: str, text: str) -> Index:
     tokens = rows.select(F.struct(F.col(unit).alias("id")).alias("unit"), eval_tokens(F.col(text)).alias("tokens"))
     lengths = written(tokens.groupBy("unit").agg(F.sum(F.size("tokens")).alias("length")), "lengths")
     n, average = lengths.agg(F.count("*"), F.avg("length")).first()
-    counts = tokens.select("unit", F.explode("tokens").alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    # lengths join rows of texts, which are fewer than postings, and a row counts its words before they move
+    words = tokens.join(lengths, "unit").select("unit", "length", F.explode("tokens").alias("term"))
+    counts = words.groupBy("unit", "length", "term").agg(F.count("*").alias("tf"))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average or 1.0)))
-    gains = written(counts.join(lengths, "unit").select("unit", "term", gain.alias("gain")), "gains")
+    gains = written(counts.select("unit", "term", gain.alias("gain")), "gains")
     terms = gains.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("most"))
     tier = F.least(F.lit(TIERS - 1), F.floor((1 - F.col("gain") / F.col("most")) * TIERS))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))

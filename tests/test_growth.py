@@ -4,6 +4,7 @@ import random
 
 from docloom.operators import communities as C
 from docloom.operators import graph as G
+from docloom.operators import keyword_index as K
 from docloom.operators import retrieval as R
 from docloom.plans import graph_queries as Q
 from docloom.plans import suite_queries as S
@@ -67,3 +68,10 @@ def test_keyword_scores_bound_their_batches(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, "b")], "id long, text string")
     assert R.bm25(rows, rows, "id", "text", "id", "text").count() == 4
     assert spark.conf.get(name, None) == "6m"
+
+
+def test_lengths_join_texts_before_words_are_listed(spark, monkeypatch):
+    shown, write = {}, K.written
+    monkeypatch.setattr(K, "written", lambda df, tag: (shown.setdefault(tag, plan(df)), write(df, tag))[1])
+    K.build(spark.createDataFrame([(1, "a b"), (1, "b"), (2, None)], "unit long, text string"), "unit", "text")
+    assert shown["gains"].index("Generate") < shown["gains"].index("Join")

@@ -1,9 +1,10 @@
 """Summary trees: per-document clustering level by level, parents, weighted texts.
 
-Clustering is average linkage on cosine with a bounded cluster size. Documents of
-few items are clustered each in a task. In larger ones, clusters that are each other's nearest merge in rounds: average
-linkage is reducible, so these are the merges that the best pair first would make, and the strongest of them
-give the same clusters. Nearest clusters come from products of blocks of cluster sums.
+Clustering is average linkage on cosine with a bounded cluster size. Clusters that are each other's nearest
+merge in rounds: average linkage is reducible, so these are the merges that the best pair first would make, and the
+strongest of them give the same clusters. A document that fits a task runs its rounds there, and looks for the nearest
+of a cluster again only where a merge took it. Rounds of larger documents are joins of blocks of cluster sums, until as
+few clusters are left as fit a task.
 """
 
 from __future__ import annotations
@@ -17,52 +18,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.graph import written
+from docloom.operators.graph import parts_for, written
+from docloom.operators.retrieval import BATCH_BYTES, BATCH_SETTING
 
-#: Items up to which a document is clustered in one task; larger ones give the same clusters by rounds.
-IN_TASK = 512
+#: Clusters up to which the rounds of a document run in one task, over 8 MB of vectors of 64 components; larger ones give the same clusters by joins.
+IN_TASK = 16_384
 #: Clusters of a document among which single ones are joined in one task; in larger documents they join in waves, with the same result.
 JOINED_IN_TASK = 16_384
 #: Clusters of a block about; products of two blocks are taken at once.
-BLOCK = 256
+BLOCK = 1024
+#: Rows of products that a task holds at once, parts that the blocks of a document are dealt to, and items of a partition about.
+ROWS, PARTS_OF_GROUP, PART_ITEMS = 128, 16, 256
+
+
+def linkage_merges(total: np.ndarray, n: np.ndarray, need: int | None = None) -> tuple[np.ndarray, ...]:
+    """(cluster, other, score, round) of merges of clusters (sums ``total`` of ``n`` rows each): ``other`` goes into the smaller ``cluster``.
+
+    In each round, pairs that are each other's nearest merge; of equally near ones the smallest is the nearest. Rounds
+    end when no later merge can be among the ``need`` strongest, or when one cluster is left.
+    """
+    total, n, names = np.array(total, float), np.array(n, float), np.arange(len(n))
+    mean = total / n[:, None]
+    other, score, gone = np.zeros(len(n), np.int64), np.full(len(n), -np.inf), np.zeros(0, np.int64)
+    made, strong, left, k = [], np.zeros(0), len(n), 0
+
+    def look(rows: np.ndarray, tell: bool) -> None:
+        """Nearest of ``rows``; if asked for, the others learn how near these are."""
+        for part in (rows[at : at + ROWS] for at in range(0, len(rows), ROWS)):
+            grid = np.round(mean[part] @ mean.T, 12)
+            grid[:, gone] = -np.inf
+            grid[np.arange(len(part)), part] = -np.inf
+            other[part] = grid.argmax(1)
+            score[part] = grid[np.arange(len(part)), other[part]]
+            if tell:
+                best = grid.argmax(0)
+                value, best = grid[best, np.arange(len(names))], part[best]
+                nearer = (value > score) | ((value == score) & (best < other) & (value > -np.inf))
+                other[nearer], score[nearer] = best[nearer], value[nearer]
+
+    if left > 1 and need != 0:
+        look(names, False)
+    while left > 1 and (need is None or (strong > score.max()).sum() < need):
+        rows = np.arange(len(names))
+        first = np.flatnonzero((other[other] == rows) & (rows < other) & (score > -np.inf))
+        if not len(first):  # the last digit of a product may depend on the side it is seen from
+            best = int(score.argmax())
+            first, second = np.array([min(best, other[best])]), np.array([max(best, other[best])])
+        else:
+            second = other[first]
+        made.append((names[first], names[second], score[first], np.full(len(first), k)))
+        strong, left, k = np.append(strong, score[first]), left - len(first), k + 1
+        total[first] += total[second]
+        n[first] += n[second]
+        mean[first] = total[first] / n[first, None]
+        hit, into = np.zeros(len(names), bool), rows
+        hit[first] = hit[second] = True
+        into[second] = first
+        lost, before = hit[other] & ~hit, score.copy()
+        other = into[other]
+        score[hit | lost] = -np.inf
+        gone = np.append(gone, second)
+        look(first, True)
+        # a cluster whose nearest has merged keeps it if it is as near as before, as no merge comes nearer than its parts
+        look(np.flatnonzero(lost & (score < before)), False)
+        if 8 * len(gone) > len(names):
+            keep = np.ones(len(names), bool)
+            keep[gone] = False
+            other = (np.cumsum(keep) - 1)[other[keep]]
+            total, n, mean, names, score, gone = total[keep], n[keep], mean[keep], names[keep], score[keep], gone[:0]
+    columns = zip(*made, strict=True) if made else [[np.zeros(0, np.int64)]] * 2 + [[np.zeros(0)], [np.zeros(0, np.int64)]]
+    return tuple(np.concatenate(c) for c in columns)
 
 
 def average_linkage(unit: np.ndarray, target: int) -> list[list[int]]:
     """``target`` clusters of rows of ``unit`` by merging the pair with the highest mean similarity; ties to the lowest indexes."""
-    members = [[k] for k in range(len(unit))]
-    sums = unit.astype(float).copy()
-    alive = list(range(len(unit)))
-    while len(alive) > max(1, target):
-        sizes = np.array([len(members[k]) for k in alive], float)
-        mean = (sums[alive] @ sums[alive].T) / np.outer(sizes, sizes)
-        mean[np.tril_indices(len(alive))] = -np.inf
-        a, b = np.unravel_index(int(np.round(mean, 12).argmax()), mean.shape)
-        a, b = alive[a], alive[b]
-        members[a] += members[b]
-        sums[a] += sums[b]
-        alive.remove(b)
-    return [sorted(members[k]) for k in alive]
+    need = max(0, len(unit) - max(1, target))
+    cluster, other, score, turn = linkage_merges(unit, np.ones(len(unit)), need)
+    strongest = np.lexsort((turn, cluster, -score))[:need]
+    up = np.arange(len(unit))
+    up[other[strongest]] = cluster[strongest]
+    while (up[up] != up).any():
+        up = up[up]
+    order = np.argsort(up, kind="stable")
+    return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(up[order])) + 1)] if len(unit) else []
+
+
+def single_joins(n: np.ndarray, total: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(cluster, other) joins of single clusters, in their order, to the nearest with room; ``other`` goes into the smaller ``cluster``."""
+    n, total, out = n.copy(), np.array(total, float), []
+    for s in np.flatnonzero(n == 1):
+        room = (n > 0) & (n < most)
+        room[s] = False
+        if n[s] != 1 or not room.any():
+            continue
+        score = np.where(room, np.round(total @ total[s] / np.maximum(n, 1), 12), -np.inf)
+        best = int(score.argmax())
+        a, b = int(min(s, best)), int(max(s, best))
+        out.append((a, b))
+        n[a], total[a], n[b] = n[a] + n[b], total[a] + total[b], 0
+    return out
 
 
 def bounded_clusters(unit: np.ndarray, most: int) -> list[list[int]]:
     """Clusters of at most ``most`` rows: as few as fit, oversize ones split again, single ones joined, in their order, to the nearest with room."""
-
     clusters = oversize_split(unit, most)
-    while True:
-        lone = next((c for c in clusters if len(c) == 1 and any(len(d) < most and d is not c for d in clusters)), None)
-        if lone is None:
-            return sorted(sorted(c) for c in clusters)
-        others = [d for d in clusters if d is not lone and len(d) < most]
-        best = max(others, key=lambda d: (round(float(np.mean(unit[d] @ unit[lone[0]])), 12), -min(d)))
-        best += lone
-        clusters.remove(lone)
+    for a, b in single_joins(np.array([len(c) for c in clusters], np.int64), np.array([unit[c].sum(0) for c in clusters]), most):
+        clusters[a], clusters[b] = clusters[a] + clusters[b], []
+    return sorted(sorted(c) for c in clusters if c)
 
 
 def _packed(clusters: DataFrame, name: str) -> DataFrame:
-    """Rows of (group, cluster, n, total) as blocks of about BLOCK; a block is one row."""
+    """Rows of (group, cluster, n, total) as blocks (group, block, blocks) of about BLOCK; a block is one row."""
     counts = clusters.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = clusters.join(counts, "group").withColumn("block", F.pmod(F.xxhash64("cluster"), F.col("blocks")))
-    return dealt.groupBy("group", "block").agg(F.collect_list(F.struct("cluster", "n", "total")).alias(name)).drop("block")
+    return dealt.groupBy("group", "block", "blocks").agg(F.collect_list(F.struct("cluster", "n", "total")).alias(name))
 
 
 def _members(rows: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +161,17 @@ def nearest_clusters(left: DataFrame, right: DataFrame) -> DataFrame:
     """(group, cluster, other, score): for each cluster of ``left`` (group, cluster, n, total) the one of ``right`` in its group with the highest mean similarity.
 
     It is not the cluster itself; of equal ones it is the smallest. Blocks keep only their best, so pairs are never listed.
+    Blocks of ``left`` are dealt to parts, each of which meets all blocks of ``right``, so that no task has a whole group's pairs.
     """
-    pairs = _packed(left, "left").join(_packed(right, "right"), "group")
+    conf = left.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), 4 * PARTS_OF_GROUP)
+    ours = _packed(left, "left").select("group", F.pmod("block", F.lit(PARTS_OF_GROUP)).alias("part"), "left")
+    # a group of few blocks on the left has as few parts
+    met = ours.groupBy("group").agg(F.collect_set("part").alias("met"))
+    theirs = _packed(right, "right").join(met, "group").select("group", F.explode("met").alias("part"), "right")
+    pairs = ours.repartition(parts, "group", "part").join(theirs.repartition(parts, "group", "part").hint("merge"), ["group", "part"])
     found = pairs.mapInArrow(_local_best, "group string, cluster long, other long, score double")
     best = F.min(F.struct((-F.col("score")).alias("less"), "other")).alias("best")
     return found.groupBy("group", "cluster").agg(best).select("group", "cluster", F.col("best.other").alias("other"), (-F.col("best.less")).alias("score"))
@@ -103,28 +181,59 @@ def _added(left: str, right: str):
     return F.zip_with(left, right, lambda x, y: x + y)
 
 
-def merges_of(items: DataFrame, most: int) -> DataFrame:
+def _copies(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clusters (group, cluster, n, total), merges) of items (group, cluster, total): copies of a unit vector are one cluster, as nothing is nearer.
+
+    By rounds each copy would take one of its own. Vectors of zeros are no nearer to each other than to any, and stay apart.
+    """
+    apart = F.when(~F.exists("total", lambda x: x != 0), F.col("cluster"))
+    kinds = written(items.groupBy("group", "total", apart.alias("apart")).agg(F.min("cluster").alias("first"), F.count("*").alias("n")), "kinds")
+    clusters = kinds.select("group", F.col("first").alias("cluster"), "n", F.transform("total", lambda x: x * F.col("n")).alias("total"))
+    several = kinds.where("n > 1").select("group", "total", "first")
+    merges = items.join(several, ["group", "total"]).where("cluster > first")
+    return clusters, merges.select("group", F.col("first").alias("cluster"), F.col("cluster").alias("other"), F.lit(1.0).alias("score"), F.lit(-1).alias("round"))
+
+
+def _finished(clusters: DataFrame, turn: int) -> DataFrame:
+    """(group, cluster, other, score, round) of all merges of groups of clusters that fit a task, from round ``turn`` on."""
+
+    def run(key, frame):
+        frame = frame.sort_values("cluster").reset_index(drop=True)
+        ids = frame["cluster"].to_numpy()
+        cluster, other, score, rounds = linkage_merges(np.array(frame["total"].tolist(), float), frame["n"].to_numpy())
+        return pd.DataFrame({"group": key[0], "cluster": ids[cluster], "other": ids[other], "score": score, "round": (rounds + turn).astype("int32")})
+
+    return clusters.repartition(parts_for(clusters, PART_ITEMS), "group").groupBy("group").applyInPandas(run, "group string, cluster long, other long, score double, round int")
+
+
+def merges_of(items: DataFrame, most: int, in_task: int | None = None) -> DataFrame:
     """(group, cluster, other, score, round) of merges of items (group, cluster, total): ``other`` goes into the smaller ``cluster``.
 
     In each round, pairs that are each other's nearest merge. A group is left when no later merge can be among
-    the strongest that leave one cluster for each ``most`` items.
+    the strongest that leave one cluster for each ``most`` items; what fits a task is merged to the end there.
     """
-    now = written(items.select("group", "cluster", F.lit(1).cast("long").alias("n"), "total"), "clusters")
-    need = written(now.groupBy("group").agg((F.count("*") - F.ceil(F.count("*") / most)).alias("need")), "need")
-    done, k = None, 0
+    in_task = IN_TASK if in_task is None else in_task
+    now, copies = (written(x, "clusters") for x in _copies(items))
+    need = written(items.groupBy("group").agg((F.count("*") - F.ceil(F.count("*") / most)).alias("need")), "need")
+    done, k = copies, 0
     while True:
+        fit = written(now.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") <= in_task).select("group"), "fit")
+        if not fit.isEmpty():
+            done = done.unionByName(written(_finished(now.join(fit, "group", "left_semi"), k), "merges"))
+            now = written(now.join(fit, "group", "left_anti"), "clusters")
+        if now.isEmpty():
+            return done
         best = written(nearest_clusters(now, now), "nearest")
-        if done is not None:
-            # merges to come are no stronger than the best pair of now
-            top = best.groupBy("group").agg(F.max("score").alias("top"))
-            strong = done.join(top, "group").where("score >= top").groupBy("group").agg(F.count("*").alias("strong"))
-            ready = strong.join(need, "group").where("strong >= need").select("group")
-            best = best.join(written(ready, "ready"), "group", "left_anti")
+        # merges to come are no stronger than the best pair of now
+        top = best.groupBy("group").agg(F.max("score").alias("top"))
+        strong = done.join(top, "group").where("score > top").groupBy("group").agg(F.count("*").alias("strong"))
+        ready = strong.join(need, "group").where("strong >= need").select("group")
+        best = best.join(written(ready, "ready"), "group", "left_anti")
         back = best.select("group", F.col("other").alias("cluster"), F.col("cluster").alias("other"))
         pairs = written(best.where("cluster < other").join(back, ["group", "cluster", "other"]).select("group", "cluster", "other", "score", F.lit(k).alias("round")), "merges")
         if pairs.isEmpty():
-            return pairs if done is None else done
-        done, k = pairs if done is None else done.unionByName(pairs), k + 1
+            return done
+        done, k = done.unionByName(pairs), k + 1
         gone = pairs.select("group", F.col("other").alias("cluster"))
         absorbed = pairs.select("group", "cluster", "other").join(now.select("group", F.col("cluster").alias("other"), F.col("n").alias("m"), F.col("total").alias("more")), ["group", "other"]).drop("other")
         live = now.join(best.select("group").distinct(), "group", "left_semi").join(gone, ["group", "cluster"], "left_anti").join(absorbed, ["group", "cluster"], "left")
@@ -133,12 +242,12 @@ def merges_of(items: DataFrame, most: int) -> DataFrame:
         )
 
 
-def _cut(items: DataFrame, most: int) -> DataFrame:
+def _cut(items: DataFrame, most: int, in_task: int | None = None) -> DataFrame:
     """(group, item, cluster) of items (group, item, unit): average linkage into one cluster for each ``most`` items."""
     named = items.select("group", F.col("item").alias("cluster"), F.col("unit").alias("total"))
     need = named.groupBy("group").agg((F.count("*") - F.ceil(F.count("*") / most)).alias("need"))
-    place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "round", "cluster"))
-    kept = merges_of(named, most).withColumn("place", place).join(need, "group").where("place <= need")
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "cluster", "round", "other"))
+    kept = merges_of(named, most, in_task).withColumn("place", place).join(need, "group").where("place <= need")
     # an absorbed cluster points to what took it in, and that to what took this in
     up = written(items.select("group", "item").join(kept.select("group", F.col("other").alias("item"), "cluster"), ["group", "item"], "left").select("group", "item", F.coalesce("cluster", "item").alias("cluster")), "up")
     while True:
@@ -159,7 +268,8 @@ def _in_task(items: DataFrame, most: int, singles: bool) -> DataFrame:
             label[rows] = ids[rows].min()
         return frame.assign(cluster=label)[["group", "item", "cluster"]]
 
-    return items.groupBy("group").applyInPandas(run, "group string, item long, cluster long")
+    # a group is a short row of vectors whose linkage takes long: groups are dealt out, as all of them may be few bytes
+    return items.repartition(parts_for(items, PART_ITEMS), "group").groupBy("group").applyInPandas(run, "group string, item long, cluster long")
 
 
 def _single_joined(clusters: DataFrame, most: int) -> DataFrame:
@@ -197,18 +307,9 @@ def _joined_in_task(clusters: DataFrame, most: int) -> DataFrame:
 
     def run(key, frame):
         frame = frame.sort_values("cluster").reset_index(drop=True)
-        n, total, ids, out = frame["n"].to_numpy().copy(), np.array(frame["total"].tolist(), float), frame["cluster"].to_numpy(), []
-        for s in np.flatnonzero(n == 1):
-            room = (n > 0) & (n < most)
-            room[s] = False
-            if n[s] != 1 or not room.any():
-                continue
-            score = np.where(room, np.round(total @ total[s] / np.maximum(n, 1), 12), -np.inf)
-            best = int(score.argmax())
-            a, b = min(s, best), max(s, best)
-            out.append((key[0], int(ids[a]), int(ids[b])))
-            n[a], total[a], n[b] = n[a] + n[b], total[a] + total[b], 0
-        return pd.DataFrame(out, columns=["group", "cluster", "other"])
+        ids = frame["cluster"].to_numpy()
+        joins = single_joins(frame["n"].to_numpy(), np.array(frame["total"].tolist(), float), most)
+        return pd.DataFrame([(key[0], int(ids[a]), int(ids[b])) for a, b in joins], columns=["group", "cluster", "other"])
 
     return clusters.groupBy("group").applyInPandas(run, "group string, cluster long, other long")
 
@@ -240,7 +341,7 @@ def cluster_level(items: DataFrame, most: int = 6, in_task: int | None = None) -
     large = rows.join(big, "group", "left_semi")
     open_items, settled = large, None  # a group under work is a document, or a part of it that is still too large
     while True:
-        found = written(open_items.join(_cut(open_items, most), ["group", "item"]).select("group", "item", "unit", "cluster"), "parts")
+        found = written(open_items.join(_cut(open_items, most, in_task), ["group", "item"]).select("group", "item", "unit", "cluster"), "parts")
         counts = found.groupBy("group", "cluster").agg(F.count("*").alias("n"))
         sized = found.join(counts, ["group", "cluster"])
         inner = F.concat_ws("/", "group", F.col("cluster").cast("string"))

@@ -97,3 +97,60 @@ def test_zero_vectors_and_few_items(spark):
     five = spark.createDataFrame([(1, k, [0.0, 0.0]) for k in range(5)], "doc long, item long, vector array<double>")
     assert sorted(map(len, found(tree.cluster_level(five, 2, in_task=1))[1])) == sorted(map(len, found(tree.cluster_level(five, 2))[1]))
     assert tree.cluster_level(items.limit(0)).count() == 0
+
+
+def best_pair_first(unit, target):
+    """Average linkage as it reads: the best pair merges, then all means are taken anew; of equal ones the lowest pair."""
+    members, sums, alive = [[k] for k in range(len(unit))], unit.astype(float).copy(), list(range(len(unit)))
+    while len(alive) > max(1, target):
+        sizes = np.array([len(members[k]) for k in alive], float)
+        mean = (sums[alive] @ sums[alive].T) / np.outer(sizes, sizes)
+        mean[np.tril_indices(len(alive))] = -np.inf
+        a, b = np.unravel_index(int(np.round(mean, 12).argmax()), mean.shape)
+        a, b = alive[a], alive[b]
+        members[a] += members[b]
+        sums[a] += sums[b]
+        alive.remove(b)
+    return [sorted(members[k]) for k in alive]
+
+
+@pytest.mark.parametrize("kind", ["spread", "copies", "ties", "zeros"])
+def test_rounds_in_a_task_merge_the_best_pair_first(kind):
+    r = np.random.default_rng(2)
+    v = {"spread": vectors(3, 120), "copies": vectors(4, 7)[r.integers(7, size=120)], "ties": r.integers(-1, 2, size=(90, 3)).astype(float), "zeros": np.zeros((9, 4))}[kind]
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    unit = v / np.where(length > 0, length, 1)
+    for target in (1, 5, 20):
+        assert tree.average_linkage(unit, target) == best_pair_first(unit, target)
+
+
+def rounds_by_joins(monkeypatch):
+    calls, nearest = [], tree.nearest_clusters
+    monkeypatch.setattr(tree, "nearest_clusters", lambda *x: (calls.append(1), nearest(*x))[1])
+    return calls
+
+
+def test_a_document_that_fits_a_task_needs_no_joins(spark, monkeypatch):
+    v = vectors(6, 900, groups=200)
+    items = spark.createDataFrame([(1, k, x.tolist()) for k, x in enumerate(v)], "doc long, item long, vector array<double>")
+    calls = rounds_by_joins(monkeypatch)
+    assert found(tree.cluster_level(items, 6))[1] == plain(np.arange(900), v, 6) and not calls
+
+
+def test_copies_take_no_rounds_of_their_own(spark, monkeypatch):
+    v = vectors(7, 6)[np.arange(180) % 6]
+    items = spark.createDataFrame([(1, k, x.tolist()) for k, x in enumerate(v)], "doc long, item long, vector array<double>")
+    calls = rounds_by_joins(monkeypatch)
+    assert found(tree.cluster_level(items, 30, in_task=40))[1] == plain(np.arange(180), v, 30)
+    assert len(calls) == 1  # for single clusters, not for a round
+
+
+def test_pairs_of_blocks_are_dealt_to_parts_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(tree, "BLOCK", 4)
+    clusters = spark.createDataFrame([("1", k, 1, x.tolist()) for k, x in enumerate(vectors(9, 90))], "group string, cluster long, n long, total array<double>")
+    best = tree.nearest_clusters(clusters, clusters)
+    assert best._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    v = np.array([r.total for r in clusters.orderBy("cluster").collect()])
+    grid = np.round(v @ v.T, 12)
+    np.fill_diagonal(grid, -np.inf)
+    assert {r.cluster: r.other for r in best.collect()} == dict(enumerate(grid.argmax(1).tolist()))

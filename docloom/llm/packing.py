@@ -33,6 +33,8 @@ UNIT = 64
 END_ID = 2
 #: Bytes of words and ids that a Python worker remembers: at most two generations of about this many.
 CACHE_BYTES = 48_000_000
+#: Texts whose words are looked up together; a batch bounds their bytes.
+PART_TEXTS = 1024
 #: Pieces that one greedy group or one rank bucket holds about.
 GROUP_PIECES = 8000
 
@@ -101,17 +103,14 @@ class WordTokenizer:
     def token_bytes(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [None if self._whole(t) else t.encode("utf-8", "replace").lower().decode().split() for t in texts]
-        words = set(chain.from_iterable(s for s in split if s))
-        ids = self.memory.known(words)
-        fresh = words.difference(ids)
+        fresh = self.memory.missing(set(chain.from_iterable(s for s in split if s)))
+        ids = self.memory.young  # holds every word of these texts once the fresh ones are put in
         # a letter before a final comma or full stop ends a token, so such parts share the ids of what precedes
         ended = {w for w in fresh if w[-1] in ",." and len(w) > 1 and w[-2].isalpha()}
         rest = list({w for w in chain((w[:-1] for w in ended), (",", ".")) if w not in ids} | (fresh - ended))
         made = dict(zip(rest, self.encode(rest), strict=True))
-        ids |= made
-        made |= {w: ids[w[:-1]] + ids[w[-1]] for w in ended}
-        ids |= made
-        self.memory.add(made)
+        self.memory.put(made)
+        self.memory.put({w: ids[w[:-1]] + ids[w[-1]] for w in ended})
         return [array("I", self.full.encode(t, add_special_tokens=False).ids).tobytes() if s is None else b"".join(map(ids.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
@@ -130,8 +129,8 @@ def _cut(definition, window: int, unit: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(definition.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, PART_TEXTS):
+                part = batch.slice(at, PART_TEXTS)
                 rows: list[list] = [[] for _ in range(6)]
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenizer.token_bytes([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     ids += tail

@@ -69,6 +69,20 @@ def test_words_are_forgotten_within_the_bound(monkeypatch):
         assert len(t.memory.young) + len(t.memory.old) < 200
 
 
+def test_remembered_words_are_not_copied_for_each_batch(monkeypatch):
+    monkeypatch.setattr(packing.WordMemory, "known", None)
+    with open(PATH, encoding="utf-8") as f:
+        t = packing.WordTokenizer(f.read())
+    texts = [prose(k, 80) for k in range(4)]
+    for bound in (10**6, 100):
+        t.memory.most_bytes = bound
+        for _ in range(3):
+            assert t.token_bytes(texts) == [ids_of(x)[:-1].tobytes() for x in texts]
+            words = {w for x in texts for w in x.lower().split()}
+            assert words <= t.memory.young.keys()
+            assert bound == 100 or not t.memory.missing(words)
+
+
 def test_repeated_rows_are_documents_of_their_own(spark):
     rows = packing.pack(frame(spark, [(1, "some words"), (1, "some words"), (None, "x")]), PATH).collect()
     assert len([r for r in rows if r.doc_id == 1]) == 2 and len([r for r in rows if r.doc_id is None]) == 1

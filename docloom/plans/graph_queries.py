@@ -27,12 +27,17 @@ def edge_parts(spark: SparkSession, sf_dir: str) -> int:
     return G.parts_for(table(spark, sf_dir, "lineitem"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers that orders link, in partitions whose number grows with the lines."""
+def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer and supplier of every line."""
     parts = edge_parts(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey")
     joined = orders.join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").repartition(parts, "l_orderkey").hint("merge"), F.expr("o_orderkey = l_orderkey"))
-    return joined.select((F.col("o_custkey") * 2).alias("source"), (F.col("l_suppkey") * 2 + 1).alias("target")).repartition(parts, "source", "target").distinct()
+    return joined.select((F.col("o_custkey") * 2).alias("source"), (F.col("l_suppkey") * 2 + 1).alias("target"))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers that orders link, in partitions whose number grows with the lines."""
+    return order_links(spark, sf_dir).repartition(edge_parts(spark, sf_dir), "source", "target").distinct()
 
 
 @query(f"WITH {EDGES}, {NODES}, {BOTH}, d AS (SELECT source, count(*) AS degree FROM b GROUP BY ALL) SELECT node, coalesce(degree, 0) AS degree FROM n LEFT JOIN d ON source = node")
@@ -83,7 +88,7 @@ def graph_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of customers and suppliers by modularity, connected and named by their smallest member."""
-    return communities.communities(nodes(spark, sf_dir), edges(spark, sf_dir), parts=edge_parts(spark, sf_dir))
+    return communities.communities(nodes(spark, sf_dir), order_links(spark, sf_dir), parts=edge_parts(spark, sf_dir))
 
 
 @query(

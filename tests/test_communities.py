@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,40 @@ def test_no_edges_leave_each_node_alone(spark):
     n, e = frames(spark, [7, 8], [])
     assert {r.node: r.community for r in C.communities(n, e).collect()} == {7: 7, 8: 8}
     assert C.communities(n.limit(0), e).count() == 0 and C.modularity(C.links_of(e), n.withColumn("community", F.col("node"))) == 0.0
+
+
+def test_blocks_and_one_task_find_the_same(spark, monkeypatch):
+    nodes, edges = groups_graph(3, groups=5, size=10, inner=0.5, outer=0.06)
+    # repeated, turned, loops, null ends, ends that are no node, and a node of which only such links are left
+    odd = edges[:9] + [(b, a) for a, b in edges[3:12]] + [(4, 4), (None, 1), (2, None), (7, 990), (991, 992), (60, 993)]
+    n, e = frames(spark, [*nodes, 60, 61, 61, None], edges + odd)
+    alone = sorted(C.communities(n, e, rounds=2, levels=2).collect())
+    monkeypatch.setattr(C, "HELD", 60)
+    blocks = sorted(C.communities(n.repartition(5), e.repartition(3), rounds=2, levels=2).collect())
+    assert alone == blocks and len(alone) == 52 and {r.community for r in alone if r.node >= 60} == {60, 61}
+
+
+def test_a_graph_that_a_task_can_hold_takes_few_jobs(spark):
+    tracker, nodes_edges = spark.sparkContext.statusTracker(), groups_graph(1)
+    spark.sparkContext.setJobGroup("few", "communities")
+    C.communities(*frames(spark, *nodes_edges)).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(tracker.getJobIdsForGroup("few")) < 60
+
+
+def test_hashes_are_those_of_spark(spark):
+    x = np.array([0, 1, -1, 5, 2**62, -(2**63)])
+    rows = spark.createDataFrame([(int(v),) for v in x], "x long").selectExpr("x", "xxhash64(x) as a", "xxhash64(x, 7) as b", "xxhash64(7, x) as c").collect()
+    assert [r.x for r in rows] == list(x)
+    for got, want in ((C._hashed(x), "a"), (C._hashed(7, C._hashed(x)), "b"), (C._hashed(x, C._hashed(7)), "c")):
+        assert list(got.view(np.int64)) == [r[want] for r in rows]
+
+
+def test_nodes_may_have_any_type(spark):
+    nodes, edges = groups_graph(4, groups=3, size=8)
+    named = lambda x: f"n{x:03d}"
+    n, e = spark.createDataFrame([(named(x),) for x in nodes], "node string"), spark.createDataFrame([(named(a), named(b)) for a, b in edges], "source string, target string")
+    want = {named(r.node): named(r.community) for r in C.communities(*frames(spark, nodes, edges)).collect()}
+    assert {r.node: r.community for r in C.communities(n, e).collect()} == want
+    small = [f.selectExpr(*[f"cast({c} as int) as {c}" for c in f.columns]) for f in frames(spark, nodes, edges)]
+    assert {named(r.node): named(r.community) for r in C.communities(*small).collect()} == want

@@ -85,3 +85,34 @@ def test_no_units_and_ties(spark):
 def test_the_index_reads_no_more_than_all(spark, sf_dir):
     rows = Q.keyword_index_work(spark, sf_dir).collect()
     assert rows and all(0 < r.n_read <= r.n_postings for r in rows)
+
+
+def test_shards_move_only_their_best_units(spark, monkeypatch):
+    shown, write = {}, K.written
+    monkeypatch.setattr(K, "written", lambda df, tag: shown.setdefault(tag, write(df, tag)))
+    r = random.Random(9)
+    rows = [(u, " ".join(r.choices(["the", "of", "and", *[f"w{j}" for j in range(90)]], k=r.randint(0, 30)))) for u in range(900)] + [(5000 + u, "of w1 w2") for u in range(50)]
+    asked = [(q, f"the of and w{q} w{q + 1}") for q in range(20)]
+    index = K.build(spark.createDataFrame(rows, SCHEMA).repartition(7), "unit", "text")
+    hits, work = K.search(spark.createDataFrame(asked, "query_id long, q string"), index, "query_id", "q", 4)
+    found = {}
+    for h in sorted(hits.collect(), key=lambda h: (h.query_id, h["rank"])):
+        found.setdefault(h.query_id, []).append((h.unit, h.score))
+    want = plain(rows, asked, 4)
+    assert {q: [u for u, _ in x] for q, x in found.items()} == {q: [u for u, _ in x] for q, x in want.items()}
+    assert all([x for _, x in found[q]] == pytest.approx([x for _, x in want[q]], abs=2e-6) for q in want)
+    df = Counter(t for _, text in rows for t in set(text.split()))
+    assert {w.query_id: w.n_postings for w in work.collect()} == {q: sum(df[t] for t in set(text.split())) for q, text in asked}
+    # of 20 queries with about 1500 postings each, seven shards give four units and a count; texts with a unit of their own are read once
+    assert shown["scored"].count() <= 7 * 20 * 5 and "gains" not in shown and index.n == 950
+    assert shown["shards"].where("term is null").count() == 7
+
+
+@pytest.mark.parametrize("kind", ["string", "struct<a: string, b: int>"])
+def test_units_of_any_type_are_ordered_as_spark_orders_them(spark, kind):
+    names = ["b", "a", "", None, "é", "Z", "aa"]
+    values = [(n, "x y") for n in names] if kind == "string" else [((n, b), "x y") for n in names for b in (2, None, -1)]
+    rows = spark.createDataFrame(values, f"unit {kind}, text string")
+    hits, _ = K.search(spark.createDataFrame([("q", "y")], "query_id string, q string"), K.build(rows.repartition(3), "unit", "text"), "query_id", "q", 5)
+    want = [r.unit for r in rows.orderBy("unit").limit(5).collect()]
+    assert [h.unit for h in sorted(hits.collect(), key=lambda h: h["rank"])] == want
